@@ -154,10 +154,10 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, n: int = 5, least
     classes = cut(classes.withColumn("uid", F.monotonically_increasing_id()), "neardup-classes")
 
     keyed = classes.select("uid", "fp").mapInArrow(lambda it: _block_batches(it, r, blocks), "key long, uid long, bits long")
-    # 4.5 standard deviations above the bits that differ on average in a pair at the threshold
+    # 3.7 standard deviations above the bits that differ on average in a pair at the threshold: of those pairs, 1 in 9,000 has more
     differ = (1 - least) / 2
     bits = min(SKETCH, m)
-    bits_most = int(bits * differ + 4.5 * (bits * differ * (1 - differ)) ** 0.5)
+    bits_most = int(bits * differ + 3.7 * (bits * differ * (1 - differ)) ** 0.5)
     met = keyed.toDF("key", "a", "bits_a").join(keyed.toDF("key", "b", "bits_b"), "key").where("a < b")
     pairs = met.where(F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= bits_most).select("a", "b").distinct()
     prints_a, prints_b = (classes.select(F.col("uid").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
