@@ -1 +1 @@
-
+"""Readers and writers of the formats of retrieval experiments."""

@@ -1 +1 @@
-
+"""Incremental ingest by Structured Streaming."""
