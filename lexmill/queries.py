@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.plans import text_queries  # noqa: F401 - registers its queries
+from lexmill.plans import boolean_queries, ranking_queries, text_queries  # noqa: F401 - they register their queries
+from lexmill.plans.ranking_queries import flagship  # noqa: F401
 from lexmill.plans.registry import REGISTERED
 
 
