@@ -73,9 +73,12 @@ def _sweep_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     gaps.sort()
     placed, items_left, gaps_left = sweep(sizes, gaps)
     rows = [("placed", i, s, c, pid, 0) for i, s, c in placed]
-    # leftovers are ranked from the largest item and from the smallest gap
+    # leftovers are ranked from the largest item and from the smallest gap; a gap that took something has less room than
+    # its partition stands for and waits for the next round
+    taken = {c for _, _, c in placed}
     rows += [("item", i, s, None, pid, k) for k, (s, i) in enumerate(reversed(items_left))]
-    rows += [("gap", None, r, c, pid, k) for k, (r, c) in enumerate(gaps_left)]
+    rows += [("used", None, r, c, pid, 0) for r, c in gaps_left if c in taken]
+    rows += [("gap", None, r, c, pid, k) for k, (r, c) in enumerate(x for x in gaps_left if x[1] not in taken)]
     out = pd.DataFrame(rows, columns=["kind", "item", "size", "container", "pid", "rank"])
     out["container"] = out["container"].astype("Int64")
     yield out
@@ -133,7 +136,7 @@ def pack(items: DataFrame, capacity: int, sweep_rows: int = SWEEP_ROWS, max_roun
         # at equal size items come before gaps, so that a gap meets an item that fills it exactly
         ordered = state.repartitionByRange(parts, F.col("size"), F.desc("kind"), F.xxhash64("item", "container")) if parts > 1 else state.coalesce(1)
         swept = cut(ordered.mapInPandas(_sweep_batches, _STATE), "pack-swept")
-        seen = swept.groupBy("pid", "kind").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("size").alias("least")).collect()  # 3 rows a partition
+        seen = swept.groupBy("pid", "kind").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("size").alias("least")).collect()  # 4 rows a partition
         left = {}
         for r in seen:
             left.setdefault(r["pid"], {})[r["kind"]] = r["n"]
@@ -142,7 +145,7 @@ def pack(items: DataFrame, capacity: int, sweep_rows: int = SWEEP_ROWS, max_roun
         total = sum(r["size"] for r in seen if r["kind"] == "item")
         least = min((r["least"] for r in seen if r["kind"] == "item"), default=0)
         matches = match_leftovers([(p, v.get("item", 0), v.get("gap", 0)) for p, v in left.items()])
-        gaps = swept.where((F.col("kind") == "gap") & (F.col("size") >= least))
+        gaps = swept.where(F.col("kind").isin("gap", "used") & (F.col("size") >= least)).withColumn("kind", F.lit("gap"))
         rest = swept.where("kind = 'item'")
         if matches:
             table = spark.createDataFrame([(k, p, first, n, number) for (k, p), v in matches.items() for first, n, number in v], "kind string, pid int, first long, n long, number long")
@@ -157,7 +160,7 @@ def pack(items: DataFrame, capacity: int, sweep_rows: int = SWEEP_ROWS, max_roun
             matched, met_size = met.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
             items_now, total = items_now - matched, total - met_size
         stuck = items_now == n_items
-        n_items, n_gaps = items_now, sum(r["n"] for r in seen if r["kind"] == "gap")
+        n_items, n_gaps = items_now, sum(r["n"] for r in seen if r["kind"] in ("gap", "used"))
         state = rest.union(gaps)
     else:
         raise RuntimeError(f"{n_items} items have no container after {max_rounds} rounds")
