@@ -209,20 +209,25 @@ def similar_pairs(df: DataFrame, id_col: str, text_col: str, n: int = 5, least:
 
 
 def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``uid, root``: the smallest uid that each uid of ``links(a, b)`` is connected with, by hook and pointer jump."""
+    """``uid, root``: the smallest uid that each uid of ``links(a, b)`` is connected with.
+
+    In each round every root is hooked to the smallest root next to its tree, and all paths are halved, so that a
+    chain takes rounds as the logarithm of its length. Each round is a written table.
+    """
     edges = links.select("a", "b").where("a <> b")
     edges = cut(edges.union(edges.select(F.col("b"), F.col("a"))).distinct().toDF("u", "v"), "cc-edges")
-    label = cut(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("root")), "cc-label")
+    label = cut(edges.select("u", F.col("u").alias("root")).distinct(), "cc-label")
     for _ in range(max_rounds):
-        # the smallest root among the neighbours, then the root of that root
-        offered = edges.join(label.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("root").alias("offer"))
-        hooked = label.join(offered, "u").select("u", F.least("root", "offer").alias("root"), F.col("root").alias("old"))
-        hooked = cut(hooked, "cc-hooked")
-        up = hooked.select(F.col("u").alias("root"), F.col("root").alias("top"))
-        jumped = cut(hooked.join(up, "root", "left").select("u", F.least("root", F.coalesce("top", "root")).alias("root"), "old"), "cc-jump")
-        label = jumped.select("u", "root")
-        if jumped.where("root <> old").limit(1).count() == 0:
+        beside = edges.join(label.toDF("v", "offer"), "v").groupBy("u").agg(F.min("offer").alias("offer"))
+        met = label.join(beside, "u")
+        hooks = met.groupBy("root").agg(F.min("offer").alias("top")).where("top < root")
+        hooks = cut(hooks, "cc-hooks")
+        if hooks.limit(1).count() == 0:
             return label.withColumnRenamed("u", "uid")
+        for _ in range(2):  # where the root was hooked to one that was hooked itself
+            further = hooks.toDF("top", "beyond")
+            hooks = hooks.join(further, "top", "left").select("root", F.coalesce("beyond", "top").alias("top"))
+        label = cut(label.join(hooks, "root", "left").select("u", F.coalesce("top", "root").alias("root")), "cc-label")
     raise RuntimeError("the components aren't complete")
 
 
