@@ -84,13 +84,15 @@ def read_expansions(spark: SparkSession, path: str) -> DataFrame:
         .when(upper == "VERBS", "verb")
         .when(upper.isin("KEY_ENTITIES", "CORE") | upper.rlike("^(KEY|CORE):"), "key")
     )
-    listed, mapped, deep = F.from_json("v", "array<string>"), F.from_json("v", "map<string,array<string>>"), F.from_json("v", "map<string,map<string,array<string>>>")
+    listed = lambda v: F.from_json(v, "array<string>")
     known = entries.withColumn("role", role).where("role IS NOT NULL")
     aspect = F.when(F.col("name").rlike("^[A-Za-z]+: *"), F.regexp_replace("name", "^[A-Za-z]+: *", "")).otherwise(F.lit(""))
-    flat = known.where(F.startswith("v", F.lit("["))).select("qid", "role", aspect.alias("aspect"), F.explode(listed).alias("keyword"))
-    nested = known.where(F.startswith("v", F.lit("{"))).select("qid", "role", F.explode(mapped).alias("aspect", "ks")).where("ks IS NOT NULL").select("qid", "role", "aspect", F.explode("ks").alias("keyword"))
-    faceted = known.where(F.startswith("v", F.lit("{"))).select("qid", "role", F.explode(deep).alias("aspect", "fs")).where("fs IS NOT NULL").select("qid", "role", "aspect", F.explode(F.flatten(F.map_values("fs"))).alias("keyword"))
-    return flat.unionByName(nested).unionByName(faceted).where("keyword IS NOT NULL")
+    flat = known.where(F.startswith("v", F.lit("["))).select("qid", "role", aspect.alias("aspect"), F.explode(listed("v")).alias("keyword"))
+    # each aspect's value is read by its own shape
+    nested = known.where(F.startswith("v", F.lit("{"))).select("qid", "role", F.explode(F.from_json("v", "map<string,string>")).alias("aspect", "w"))
+    lists = F.when(F.startswith("w", F.lit("{")), F.flatten(F.filter(F.map_values(F.from_json("w", "map<string,array<string>>")), lambda x: x.isNotNull()))).otherwise(listed("w"))
+    nested = nested.select("qid", "role", "aspect", F.explode(lists).alias("keyword"))
+    return flat.unionByName(nested).where("keyword IS NOT NULL")
 
 
 def read_found(spark: SparkSession, path: str, qid_pattern: str | None = None) -> DataFrame:
