@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.operators.index import positions
-from lexmill.plans.shared import BROADCAST_ROWS
+from lexmill.plans.shared import if_small, sized_broadcast
 
 #: A query's clauses, each a list of phrases, each a list of words.
 Cnf = Sequence[Sequence[Sequence[str]]]
@@ -36,19 +36,26 @@ def phrase_hits(documents: DataFrame, phrases: DataFrame) -> DataFrame:
     A document's words meet the phrases' words by a join; a phrase begins where all its words meet at one start. The
     words of a document stay together up to that count, so they are added up before any exchange.
     """
+    met = positions(documents).join(if_small(_phrase_words(phrases)), "tok")
+    return _starts(met)
+
+
+def _phrase_words(phrases: DataFrame) -> DataFrame:
     each = phrases.select("phrase").distinct().where("phrase <> ''").select("phrase", F.split("phrase", " ").alias("w"))
-    wanted = each.select("phrase", F.size("w").alias("length"), F.posexplode("w").alias("off", "tok"))
-    small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    met = positions(documents).join(F.broadcast(wanted) if small else wanted, "tok")
+    return each.select("phrase", F.size("w").alias("length"), F.posexplode("w").alias("off", "tok"))
+
+
+def _starts(met: DataFrame) -> DataFrame:
     starts = met.groupBy("phrase", "doc_id", (F.col("pos") - F.col("off")).alias("pos"), "length").agg(F.count("*").alias("c"))
     return starts.where("c = length").select("phrase", "doc_id", "pos", "length")
 
 
 def clause_hits(documents: DataFrame, alts: DataFrame) -> DataFrame:
     """``query_id, n_clauses, clause, doc_id, pos, length``: the hits of each clause."""
-    hits = phrase_hits(documents, alts)
-    small = alts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return hits.join(F.broadcast(alts) if small else alts, "phrase").select("query_id", "n_clauses", "clause", "doc_id", "pos", "length").distinct()
+    few, small = sized_broadcast(alts)
+    wanted = _phrase_words(alts)  # no more phrases than alternatives
+    hits = _starts(positions(documents).join(F.broadcast(wanted) if small else wanted, "tok"))
+    return hits.join(few, "phrase").select("query_id", "n_clauses", "clause", "doc_id", "pos", "length").distinct()
 
 
 def spans(hits: DataFrame, most_clauses: int, ends: bool = False) -> DataFrame:
@@ -105,8 +112,7 @@ def combined_hits(hits: DataFrame, groups: DataFrame, members: Sequence[str]) ->
     takes the place of one count for each pair or triple. Clauses of later pieces are numbered after those before.
     """
     per = hits.groupBy("query_id", "doc_id", "n_clauses").agg(F.count_distinct("clause").alias("c")).where("c = n_clauses").select(F.col("query_id").alias("piece"), "doc_id", "n_clauses")
-    small = groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    asked = F.broadcast(groups) if small else groups
+    asked = if_small(groups)
     first, rest = members[0], members[1:]
     both = per.select(F.col("piece").alias(first), "doc_id", F.col("n_clauses").alias(f"n_{first}")).join(asked, first)
     for m in rest:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import numbers
 from lexmill.functions.text import words
-from lexmill.plans.shared import col
+from lexmill.plans.shared import col, if_small
 
 
 def doc_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenize=words) -> DataFrame:
@@ -20,8 +20,16 @@ def doc_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", token
 
 
 def positions(documents: DataFrame) -> DataFrame:
-    """``doc_id, pos, tok`` with 0-based positions, from :func:`doc_words`."""
-    return documents.select("doc_id", F.posexplode("ws").alias("pos", "tok"))
+    """``doc_id, pos, tok`` with 0-based positions, from :func:`doc_words`.
+
+    The outer form, as before the inner one Spark puts a filter on the array's size that makes all arrays twice.
+    """
+    return documents.select("doc_id", F.posexplode_outer("ws").alias("pos", "tok")).where("pos IS NOT NULL")
+
+
+def all_words(documents: DataFrame) -> DataFrame:
+    """``doc_id, tok`` without positions."""
+    return documents.select("doc_id", F.explode_outer("ws").alias("tok")).where("tok IS NOT NULL")
 
 
 def write_index(docs: DataFrame, name: str, buckets: int = 200, **columns) -> None:
@@ -36,7 +44,7 @@ def vocabulary(documents: DataFrame) -> DataFrame:
 
     A document's words are counted within the document first, so that both counts need one exchange.
     """
-    per_doc = documents.select(F.explode("ws").alias("tok"), "doc_id").groupBy("tok", "doc_id").agg(F.count("*").alias("c"))
+    per_doc = all_words(documents).groupBy("tok", "doc_id").agg(F.count("*").alias("c"))
     counts = per_doc.groupBy("tok").agg(F.sum("c").alias("tf"), F.count("*").alias("df"))
     total = documents.agg(F.sum(F.size("ws")).alias("total"))  # one row
     return counts.crossJoin(F.broadcast(total)).select("tok", "tf", "df", (F.col("tf") / F.col("total")).alias("p"))
@@ -44,7 +52,13 @@ def vocabulary(documents: DataFrame) -> DataFrame:
 
 def term_frequencies_only(documents: DataFrame) -> DataFrame:
     """``tok, tf`` where documents don't matter: partial counts per task, one exchange."""
-    return documents.select(F.explode("ws").alias("tok")).groupBy("tok").agg(F.count("*").alias("tf"))
+    return all_words(documents).groupBy("tok").agg(F.count("*").alias("tf"))
+
+
+def frequencies_of(documents: DataFrame, asked: DataFrame) -> DataFrame:
+    """``tok, tf`` of the words in ``asked`` (a column ``tok``) that occur: the vocabulary without counting it all."""
+    met = all_words(documents).select("tok").join(if_small(asked.select("tok").distinct()), "tok", "left_semi")
+    return met.groupBy("tok").agg(F.count("*").alias("tf"))
 
 
 def below_probability(vocab: DataFrame, spans: DataFrame, span_words: str, most: float) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import numbers
 from lexmill.operators import analyze, cnf, evaluate, index, lm, vectors
-from lexmill.plans.boolean_queries import _PAIRS, _SP, _docs, _pair_counts, _piece_spans
+from lexmill.plans.boolean_queries import _PAIRS, _SP, _docs, _piece_hits, _piece_spans
 from lexmill.plans.ranking_queries import _OUTCOME, _RUNS, _rounded, stage_runs
 from lexmill.plans.registry import SQL_PIECES, SQL_WORDS, lower_pieces, query, table
 from lexmill.plans.shared import cut, fresh_path
@@ -45,9 +45,8 @@ def aspect_pairs(spark, d):
 
 @query(f"WITH {SQL_WORDS}, {SQL_PIECES}, p AS (SELECT DISTINCT qid, aspect, piece FROM pc WHERE role = 'key'), h AS (SELECT DISTINCT p.qid, doc_id, aspect, pos FROM p JOIN ph USING (piece)) SELECT x.qid, x.doc_id, x.aspect a, y.aspect b, min(abs(x.pos - y.pos)) distance FROM h x JOIN h y ON x.qid = y.qid AND x.doc_id = y.doc_id AND x.aspect < y.aspect GROUP BY ALL")
 def cross_distance(spark, d):
-    docs = _docs(spark, d)
-    p, alts = lower_pieces(spark, docs)
-    return analyze.cross_distance(cnf.clause_hits(docs, alts), p)
+    p, _, hits, _ = _piece_hits(spark, d)
+    return analyze.cross_distance(hits, p)
 
 
 @query(f"""WITH {SQL_WORDS}, {SQL_PIECES}, {_TABLE}, s AS (SELECT qid, count(*) al, unnest([{{'s': 'any_standalone', 'n': count(*) FILTER (n_keys > 0 OR n_assoc > 0)}}, {{'s': 'any_key', 'n': count(*) FILTER (n_keys > 0)}}, {{'s': 'any_assoc', 'n': count(*) FILTER (n_assoc > 0)}}, {{'s': 'aspects_2', 'n': count(*) FILTER (n_aspects >= 2)}}, {{'s': 'aspects_3', 'n': count(*) FILTER (n_aspects >= 3)}},
@@ -81,7 +80,8 @@ def span_stats(spark, d):
 
 
 def _pair_spans(spark, d):
-    p, hits, pairs, _ = _pair_counts(spark, d)
+    p, _, hits, _ = _piece_hits(spark, d)
+    pairs = cnf.pairs_of(p.select("qid", "piece", "role", "aspect_ix").distinct())
     return cut(cnf.spans(cnf.combined_hits(hits, pairs.select("query_id", "a", "b"), ["a", "b"]), 4), "pair-spans")
 
 

@@ -55,11 +55,15 @@ def pieces(spark, d):
 _SP = sql_spans("ph", "piece", 4)
 
 
-def _piece_spans(spark, d):
+def _piece_hits(spark, d):
     docs = _docs(spark, d)
     p, alts = lower_pieces(spark, docs)
-    alts = cut(alts, "alts")
-    return p, alts, cut(cnf.matches(docs, alts), "matches"), docs
+    return p, alts, cut(cnf.clause_hits(docs, alts), "hits"), docs
+
+
+def _piece_spans(spark, d):
+    p, alts, hits, docs = _piece_hits(spark, d)
+    return p, alts, cut(cnf.spans(hits, cnf.most_clauses(alts)), "matches"), docs
 
 
 @query(f"WITH {SQL_WORDS}, {SQL_PIECES}, {_SP} SELECT piece query_id, doc_id, span, n_occ FROM sp")
@@ -97,19 +101,17 @@ _PAIRS = """pr AS (
     prk AS (SELECT prh.* FROM prh JOIN prd USING (query_id, n, doc_id)), """ + sql_spans("prk", "query_id", 4, "ps")
 
 
-def _pair_counts(spark, d, within=100):
-    docs = _docs(spark, d)
-    p, alts = lower_pieces(spark, docs)
-    p, hits = cut(p, "pieces"), cut(cnf.clause_hits(docs, alts), "hits")
+def _pair_counts(p, hits, within=100):
     pairs = cnf.pairs_of(p.select("qid", "piece", "role", "aspect_ix").distinct())
     met = cnf.spans(cnf.combined_hits(hits, pairs.select("query_id", "a", "b"), ["a", "b"]), 4)
     n = met.where(F.col("span") <= within).groupBy("query_id").agg(F.count("*").alias("n_docs"))
-    return p, hits, pairs.join(n, "query_id", "left").na.fill(0, ["n_docs"]), docs
+    return pairs.join(n, "query_id", "left").na.fill(0, ["n_docs"])
 
 
 @query(f"WITH {SQL_WORDS}, {SQL_PIECES}, {_PAIRS} SELECT pr.qid, pr.query_id, a, b, kind, count(*) FILTER (span <= 100) n_docs FROM pr LEFT JOIN ps USING (query_id) GROUP BY ALL")
 def pair_counts(spark, d):
-    return _pair_counts(spark, d)[2].select("qid", "query_id", "a", "b", "kind", "n_docs")
+    p, _, hits, _ = _piece_hits(spark, d)
+    return _pair_counts(p, hits).select("qid", "query_id", "a", "b", "kind", "n_docs")
 
 
 @query(f"""WITH {SQL_WORDS}, {SQL_PIECES}, dp AS (SELECT piece, doc_id FROM ph GROUP BY piece, doc_id, n HAVING count(DISTINCT clause) = n),
@@ -117,9 +119,7 @@ def pair_counts(spark, d):
     t AS (SELECT a.qid, a.piece a, b.piece b, c.piece c FROM k a JOIN k b ON a.qid = b.qid AND a.aspect_ix < b.aspect_ix JOIN k c ON c.qid = b.qid AND b.aspect_ix < c.aspect_ix)
     SELECT t.qid, t.a || ' + ' || t.b || ' + ' || t.c query_id, count(x.doc_id) n_docs FROM t LEFT JOIN (SELECT p.piece a, q.piece b, r.piece c, p.doc_id FROM dp p JOIN dp q USING (doc_id) JOIN dp r USING (doc_id)) x ON x.a = t.a AND x.b = t.b AND x.c = t.c GROUP BY ALL""")
 def triple_counts(spark, d):
-    docs = _docs(spark, d)
-    p, alts = lower_pieces(spark, docs)
-    hits = cut(cnf.clause_hits(docs, alts), "hits")
+    p, _, hits, _ = _piece_hits(spark, d)
     three = build.ceiling_queries(p, ["3way_and"]).select("qid", "query_id", *[F.col("members")[i].alias(x) for i, x in enumerate("abc")])
     met = cnf.combined_hits(hits, three.select("query_id", "a", "b", "c"), ["a", "b", "c"]).groupBy("query_id").agg(F.count_distinct("doc_id").alias("n_docs"))
     return three.join(met, "query_id", "left").na.fill(0, ["n_docs"]).select("qid", "query_id", "n_docs")
@@ -130,8 +130,8 @@ _PEEK = f"""{_SP}, {_LIMITS}, pk AS (SELECT DISTINCT p.qid, p.piece, p.role, p.a
     pg AS (SELECT pk.*, n_docs > 0 AND n_docs <= CASE WHEN role = 'key' THEN key_most ELSE assoc_most END grabbed FROM pk, lim)"""
 
 
-def _peeked(spark, d):
-    p, alts, m, docs = _piece_spans(spark, d)
+def _peeked(spark, d, evaluated=None):
+    p, alts, m, docs = evaluated or _piece_spans(spark, d)
     n = table(spark, d, "documents").count()
     counts = cnf.counts(m, alts, [10]).select(F.col("query_id").alias("piece"), "n_docs")
     all_ = p.select("qid", "piece", "role", "aspect_ix").distinct().join(counts, "piece")
@@ -167,9 +167,10 @@ def peek_and_grab(spark, d):
 
 
 def selected(spark, d):
-    p, n = _peeked(spark, d)
+    pieces_, alts, hits, docs = _piece_hits(spark, d)
+    p, n = _peeked(spark, d, (pieces_, alts, cnf.spans(hits, cnf.most_clauses(alts)), docs))
     p = cut(p, "peeked")
-    pairs = cut(_pair_counts(spark, d)[2], "pairs")
+    pairs = cut(_pair_counts(pieces_, hits), "pairs")
     combos = cut(select.combos_of_rest(p, pairs, n * KEY_SHARE), "combos")
     return select.peek_and_grab(p, combos, int(n * BUDGET_SHARE), n * ASSOC_SHARE), p, pairs
 

@@ -96,6 +96,10 @@ def sql_spans(source: str, key: str, clauses: int, name: str = "sp") -> str:
 def lower_pieces(spark: SparkSession, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The pieces of :data:`KEYWORDS` over a lower-cased index, and their alternatives."""
     from lexmill.operators import build, index
+    from lexmill.plans.shared import cut
 
-    given = build.keywords_with_aspects(keywords(spark).where("role <> 'verb'"))
-    return build.pieces(given, index.term_frequencies_only(documents), F.lower("w"))
+    given = cut(build.keywords_with_aspects(keywords(spark).where("role <> 'verb'")), "keywords")
+    asked = given.select(F.explode(F.split(F.lower("keyword"), " ")).alias("tok"))
+    known = cut(index.frequencies_of(documents, asked), "known-words")
+    p, alts = build.pieces(given, known, F.lower("w"))
+    return cut(p, "pieces"), cut(alts, "alts")

@@ -8,6 +8,7 @@ loss of any executor; unlike an RDD checkpoint, it is columnar and compressed.
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 _OWN: dict[str, str] = {}
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,19 +30,36 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = f"file://{tempfile.mkdtemp(prefix='lexmill-')}"
-        atexit.register(_remove_local, _OWN[app])
+        _MADE.append(_OWN[app])
     return _OWN[app]
 
 
-def _remove_local(uri: str) -> None:
-    import shutil
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A path below the shared folder that nothing else uses; it is removed when the driver ends, or by :func:`release`."""
+    path = f"{shared_dir(spark)}/lexmill-{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
 
-    shutil.rmtree(uri.removeprefix("file://"), ignore_errors=True)
 
+def release() -> None:
+    """Removes all tables written so far. Results that still read from them must have been used."""
+    spark = SparkSession.getActiveSession()
+    while _MADE and spark is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _OWN.clear()
 
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path below the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/lexmill-{label}-{uuid.uuid4().hex}"
+
+@atexit.register
+def _at_end() -> None:
+    left = list(_MADE)
+    try:
+        release()
+    except Exception:  # noqa: BLE001, S110 - the JVM may have ended before
+        pass
+    for path in left:  # what a stopped session has left behind, where the folder is reached without Spark
+        if "://" not in path or path.startswith("file:"):
+            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
@@ -60,6 +79,11 @@ def sized_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFram
     return (F.broadcast(df), True) if small else (df, False)
 
 
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """:func:`sized_broadcast` without saying which it was: beyond the bound the join is Catalyst's choice."""
+    return sized_broadcast(df, rows)[0]
+
+
 def reading_partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session, for explicit repartitioning."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
