@@ -124,6 +124,12 @@ def extension_counts(exts: DataFrame, k: int | None = None) -> DataFrame:
     return counted.withColumn("__r", at).where(F.col("__r") <= k).drop("__r")
 
 
+def passage_counts(exts: DataFrame, pad: str = "<pad>") -> DataFrame:
+    """``query_id, passage, n``: the different extensions as text without padding, blank ones dropped, with their numbers."""
+    text = F.trim(F.array_join(F.filter("ext", lambda t: t != pad), " "))
+    return exts.select("query_id", text.alias("passage")).where("passage <> ''").groupBy("query_id", "passage").agg(F.count("*").alias("n"))
+
+
 def containing_document(pointers: DataFrame, pointer: str, offsets: DataFrame, offset: str, doc_id: str) -> DataFrame:
     """Each pointer with the document of the greatest offset not above it; pointers before all offsets go to the first.
 

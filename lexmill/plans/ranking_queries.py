@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import numbers
 from lexmill.functions.text import SPACE, STOPWORDS, words
-from lexmill.operators import evaluate, index, rank, resolve
+from lexmill.operators import cnf, evaluate, index, rank, resolve
 from lexmill.plans.boolean_queries import _POOL, _SP, ceiling_pools, piece_pool
 from lexmill.plans.registry import KEYWORDS, SQL_PIECES, SQL_WORDS, keywords, query, stop_list, table, values
 from lexmill.plans.shared import cut
@@ -141,6 +141,28 @@ def sparse_topk(spark, d):
     return rank.ranked(met, ["query_id"], 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+_PASSAGES = f"""ps AS (SELECT phrase, string_split(phrase, ' ') ws FROM {values([(p,) for p in ("heat pump", "blood pressure")])} v(phrase)), pt AS (SELECT phrase, len(ws) n, unnest(ws) word, generate_subscripts(ws, 1) - 1 off FROM ps),
+    hit AS (SELECT phrase, doc_id, pos - off pos FROM pt JOIN tok ON tok.tok = word GROUP BY phrase, doc_id, pos - off, n HAVING count(*) = n),
+    pg AS (SELECT phrase query_id, list_aggregate(ws[pos + 1:pos + 12], 'string_agg', ' ') passage, count(*) n FROM hit JOIN w USING (doc_id) GROUP BY ALL)"""
+
+
+@query(f"""WITH {SQL_WORDS}, {_PASSAGES}, vp AS (SELECT tok, ln((SELECT count(*) FROM tok) / count(*)::DOUBLE) i FROM tok GROUP BY tok), g AS (SELECT unnest(string_split('price of a heat pump near the coast', ' ')) tok),
+    s AS (SELECT query_id, passage, n, round(coalesce(sum(i), 0), 9) score FROM (SELECT DISTINCT query_id, passage, n, unnest(string_split(passage, ' ')) tok FROM pg) x LEFT JOIN (SELECT tok, i FROM vp WHERE tok IN (SELECT tok FROM g)) y USING (tok) GROUP BY ALL)
+    SELECT query_id, passage, n, round(score, 6) score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage DESC) AS rank FROM s QUALIFY rank <= 10""")
+def similar_extensions(spark, d):
+    """The different passages after a phrase, ranked by the rare words they share with a reference text."""
+    docs = index.doc_words(table(spark, d, "documents"))
+    phrases = spark.createDataFrame([("heat pump",), ("blood pressure",)], "phrase string")
+    hits = cnf.phrase_hits(docs, phrases).withColumnRenamed("phrase", "query_id")
+    passages = cut(index.passage_counts(index.extensions(hits, docs, 12)), "passages")
+    asked = spark.createDataFrame([(w,) for w in set("price of a heat pump near the coast".split())], "tok string")
+    total = docs.agg(F.sum(F.size("ws"))).first()[0]
+    weights = index.frequencies_of(docs, asked).select("tok", F.log(F.lit(float(total)) / F.col("tf")).alias("i"))
+    each = passages.select("query_id", "passage", "n", F.explode(F.array_distinct(F.split("passage", " "))).alias("tok"))
+    scored = each.join(weights, "tok", "left").groupBy("query_id", "passage", "n").agg(F.round(F.coalesce(F.sum("i"), F.lit(0.0)), 9).alias("score"))
+    return rank.ranked(scored, ["query_id"], 10, tie="passage").select("query_id", "passage", "n", F.round("score", 6).alias("score"), "rank")
+
+
 @query()
 def encoder_topk(spark, d):
     """Topics against passages by a model that is plugged in; here one that needs no weights."""

@@ -158,3 +158,53 @@ def beir_corpus(rows: DataFrame) -> DataFrame:
 def beir_topics(topics: DataFrame, qrels: DataFrame) -> DataFrame:
     """Topics that have judgments, by qid."""
     return topics.join(qrels.select("qid"), "qid", "left_semi").orderBy("qid")
+
+
+def read_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """``filename, size, n, values`` of a folder's ``.npy`` files of whole numbers; files that aren't arrays are left out."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "length", "content")
+
+    def parse(batches):
+        import io
+
+        import numpy as np
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for p, length, content in zip(b["path"], b["length"], b["content"]):
+                try:
+                    a = np.load(io.BytesIO(content), allow_pickle=False).astype("int64").reshape(-1)
+                except (ValueError, EOFError):
+                    continue
+                rows.append((p.rsplit("/", 1)[-1], length, len(a), a))
+            yield pd.DataFrame(rows, columns=["filename", "size", "n", "values"])
+
+    return files.mapInPandas(parse, "filename string, size long, n long, values array<long>")
+
+
+def sentences_of_shard(arrays: DataFrame, ids: str = "_ids.npy", offsets: str = "_offsets.npy") -> DataFrame:
+    """``shard, sentence, tokens`` from pairs of id and offset arrays; empty sentences, as at joints of batches, are left out."""
+    of = lambda end, name: arrays.where(F.endswith("filename", F.lit(end))).select(F.regexp_replace("filename", end.replace(".", "\\.") + "$", "").alias("shard"), F.col("values").alias(name))
+    both = of(ids, "ids").join(of(offsets, "offs"), "shard")
+    at = both.select("shard", "ids", "offs", F.posexplode(F.slice("offs", F.lit(1), F.greatest(F.size("offs") - 1, F.lit(0)))).alias("sentence", "begin"))
+    end = F.get("offs", F.col("sentence") + 1)
+    return at.where(end > F.col("begin")).select("shard", "sentence", F.slice("ids", (F.col("begin") + 1).cast("int"), (end - F.col("begin")).cast("int")).alias("tokens"))
+
+
+def read_unigrams(spark: SparkSession, path: str) -> DataFrame:
+    """``token_id, token, count, probability`` from Parquet, or from CSV with a header."""
+    schema = "token_id long, token string, count long, probability double"
+    rows = spark.read.schema(schema).option("header", True).csv(path) if path.rstrip("/").endswith((".csv", ".csv.gz")) else spark.read.parquet(path)
+    return rows.select("token_id", "token", "count", "probability")
+
+
+def unigrams_of(unigrams: DataFrame, tokens: Iterable[str]) -> DataFrame:
+    """The rows of the given tokens, the rarest first."""
+    return unigrams.where(F.col("token").isin(*tokens)).orderBy("probability", "token")
+
+
+def read_results(spark: SparkSession, root: str) -> DataFrame:
+    """Saved runs below ``root``, one Parquet folder each, with the folder's name as ``run``; whatever else lies there is passed over."""
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(root)
+    return rows.withColumn("run", F.regexp_extract(F.input_file_name(), "([^/]+)/[^/]+$", 1))

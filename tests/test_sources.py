@@ -121,3 +121,38 @@ def test_wordwise_index_tables(spark):
     finally:
         spark.sql("DROP TABLE t_index_docs")
         spark.sql("DROP TABLE t_index_positions")
+
+
+def test_arrays_and_shards(spark, tmp_path):
+    import numpy as np
+
+    np.save(tmp_path / "s0_ids.npy", np.array([5, 6, 7, 8], np.uint16))
+    np.save(tmp_path / "s0_offsets.npy", np.array([0, 3, 3, 4]))
+    (tmp_path / "odd.npy").write_bytes(b"not an array")
+    arrays = readers.read_arrays(spark, str(tmp_path))
+    assert {r["filename"]: r["n"] for r in arrays.collect()} == {"s0_ids.npy": 4, "s0_offsets.npy": 4}
+    got = sorted((r["shard"], r["sentence"], r["tokens"]) for r in readers.sentences_of_shard(arrays).collect())
+    assert got == [("s0", 0, [5, 6, 7]), ("s0", 2, [8])]
+
+
+def test_unigrams_and_results(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", 5, 0.5), (2, "b", 1, 0.1)], "token_id long, token string, count long, probability double")
+    df.write.parquet(str(tmp_path / "u.parquet"))
+    df.coalesce(1).write.option("header", True).csv(str(tmp_path / "u.csv"))
+    for name in ("u.parquet", "u.csv"):
+        assert [r["token"] for r in readers.unigrams_of(readers.read_unigrams(spark, str(tmp_path / name)), ["a", "b", "z"]).collect()] == ["b", "a"]
+    for run in ("r1", "r2"):
+        df.select("token").coalesce(1).write.parquet(str(tmp_path / "runs" / run))
+    assert {(r["run"], r["n"]) for r in readers.read_results(spark, str(tmp_path / "runs")).groupBy("run").agg(F.count("*").alias("n")).collect()} == {("r1", 2), ("r2", 2)}
+
+
+def test_settings(tmp_path):
+    from lexmill.plans.settings import Settings
+
+    (tmp_path / "c.yml").write_text("# comment\nbudget: 5_000  # less\nrun_name: 'mine'\ncutoffs: [5, 10]\nqrels:\nodd: 1\n")
+    s = Settings.load(str(tmp_path / "c.yml"))
+    assert (s.budget, s.run_name, s.cutoffs, s.qrels, s.key_standalone) == (5000, "mine", (5, 10), None, 1500)
+    s.save(str(tmp_path / "c.json"))
+    assert Settings.load(str(tmp_path / "c.json")) == s
+    with pytest.raises(ValueError, match="odd"):
+        Settings.load(str(tmp_path / "c.yml"), strict=True)
