@@ -17,18 +17,20 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the public byte-level vocabulary's own tokenizer splits a text before merging.
 PRE_SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_ENCODERS: dict[int, object] = {}
-
 
 def encoder(ranks: bytes, pattern: str = PRE_SPLIT):
-    """The encoder of a ranks file, made once in a process."""
+    """The encoder of a ranks file, made once in a process.
+
+    It is kept with the library, as this module's own variables are new in each task: its code travels by value.
+    """
     import tiktoken
 
+    made = tiktoken.__dict__.setdefault("_made_encoders", {})
     key = hash((ranks, pattern))
-    if key not in _ENCODERS:
+    if key not in made:
         table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
-        _ENCODERS[key] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-    return _ENCODERS[key]
+        made[key] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+    return made[key]
 
 
 def token_counts(df: DataFrame, text_col: str = "text", out: str = "n_tokens", vocabulary: str = VOCABULARY, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
