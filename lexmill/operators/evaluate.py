@@ -7,11 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.plans.ordered import numbered_within
+
 
 def positions_in_run(run: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``rank`` from 1 by score, then document, both descending; a document counts once, with its highest score."""
+    """``rank`` from 1 by score, then document, both descending; a document counts once, with its highest score.
+
+    A topic's run may be longer than one task should hold: ranks are numbered over range partitions.
+    """
     best = run.where(F.col("score").isNotNull() & ~F.isnan("score")).groupBy(*keys, "doc_id").agg(F.max("score").alias("score"))
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("doc_id"))))
+    return numbered_within(best, keys, [F.desc("score"), F.desc("doc_id")], "rank")
 
 
 def metrics(ranked: DataFrame, qrels: DataFrame, cutoffs: Sequence[int] = (10, 100), run_keys: Sequence[str] = (), binary: bool = False) -> DataFrame:
@@ -22,21 +27,23 @@ def metrics(ranked: DataFrame, qrels: DataFrame, cutoffs: Sequence[int] = (10, 1
     grade 0. Precision divides by k, recall and average precision by all relevant documents, and the ideal gain is
     that of all judgments; the gain is the grade, or 1 if ``binary``. Topics without relevant documents have 0.
 
-    The judgments' ideal ranking and the run are each reduced to one row a topic before they meet.
+    The judgments' ideal ranking is cut to the largest cutoff in each task, and only relevant results are numbered for
+    the average precision, so no topic has to fit into one task.
     """
     keys = [*run_keys, "qid"]
     gain = F.when(F.col("rel") > 0, F.lit(1.0) if binary else F.col("rel").cast("double")).otherwise(F.lit(0.0))
     judged = qrels.where(F.col("rel").isNotNull()).withColumn("gain", gain)
-    ideal = judged.withColumn("__r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("gain"), "doc_id")))
+    ideal = judged.withColumn("__r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("gain"), "doc_id"))).where(F.col("__r") <= max(cutoffs))
     discount = lambda r: 1.0 / F.log2(F.col(r) + 1.0)
-    best = ideal.groupBy("qid").agg(F.count_if(F.col("gain") > 0).alias("n_rel"), *[F.coalesce(F.sum(F.when(F.col("__r") <= k, F.col("gain") * discount("__r"))), F.lit(0.0)).alias(f"ideal_{k}") for k in cutoffs])
+    wanted = judged.groupBy("qid").agg(F.count_if(F.col("gain") > 0).alias("n_rel"))
+    best = ideal.groupBy("qid").agg(*[F.coalesce(F.sum(F.when(F.col("__r") <= k, F.col("gain") * discount("__r"))), F.lit(0.0)).alias(f"ideal_{k}") for k in cutoffs]).join(wanted, "qid")
     hit = ranked.join(judged.select("qid", "doc_id", "gain"), ["qid", "doc_id"], "left").withColumn("gain", F.coalesce("gain", F.lit(0.0))).withColumn("hit", (F.col("gain") > 0).cast("int"))
-    so_far = F.sum("hit").over(Window.partitionBy(*keys).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    hit = hit.withColumn("prec", F.when(F.col("hit") == 1, so_far / F.col("rank")))
-    parts = [F.count("*").alias("n_ret"), F.coalesce(F.sum("prec"), F.lit(0.0)).alias("sum_prec"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first")]
+    found = numbered_within(hit.where("hit = 1").select(*keys, "rank"), keys, ["rank"], "hit_no")
+    average = found.groupBy(*keys).agg(F.sum(F.col("hit_no") / F.col("rank")).alias("sum_prec"))
+    parts = [F.count("*").alias("n_ret"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first")]
     for k in cutoffs:
         parts += [F.coalesce(F.sum(F.when(F.col("rank") <= k, F.col("hit"))), F.lit(0)).alias(f"found_{k}"), F.coalesce(F.sum(F.when(F.col("rank") <= k, F.col("gain") * discount("rank"))), F.lit(0.0)).alias(f"dcg_{k}")]
-    met = hit.groupBy(*keys).agg(*parts).join(best, "qid")
+    met = hit.groupBy(*keys).agg(*parts).join(average, keys, "left").na.fill(0.0, ["sum_prec"]).join(best, "qid")
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     out = [*keys, "n_rel", "n_ret"]
     for k in cutoffs:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import numbers
 from lexmill.functions.text import words
+from lexmill.plans.ordered import numbered
 from lexmill.plans.shared import col, if_small
 
 
@@ -76,14 +77,8 @@ def word_probability(spans: DataFrame, key: str, span_words: str, vocab: DataFra
 
 
 def with_token_ids(vocab: DataFrame) -> DataFrame:
-    """The vocabulary with ``tok_id`` 0, 1, … from the most frequent word, ties by the word.
-
-    Ranks are made of a range sort and the sizes of its partitions, not in one task.
-    """
-    ordered = vocab.orderBy(F.desc("tf"), "tok")
-    spark = vocab.sparkSession
-    ranked = ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return spark.createDataFrame(ranked, "tok string, tf long, df long, p double, tok_id long")
+    """The vocabulary with ``tok_id`` 0, 1, … from the most frequent word, ties by the word."""
+    return numbered(vocab, [F.desc("tf"), "tok"], "tok_id")
 
 
 def encode(documents: DataFrame, ids: DataFrame) -> DataFrame:
@@ -137,7 +132,7 @@ def containing_document(pointers: DataFrame, pointer: str, offsets: DataFrame, o
     those before the block's first offset take the last document before the block, of which there is one row a block.
     So no task sees more than a block, however many pointers there are.
     """
-    block = 1 << 20
+    block = 1 << 28
     o = offsets.select(col(offset).cast("long").alias("at"), col(doc_id).alias("d"), F.lit(0).alias("asked")).withColumn("ptr", F.lit(None).cast("long"))
     p = pointers.select(col(pointer).cast("long").alias("at"), F.lit(None).cast(offsets.schema[doc_id].dataType).alias("d"), F.lit(1).alias("asked"), col(pointer).cast("long").alias("ptr"))
     both = o.unionByName(p).withColumn("b", F.floor(F.col("at") / block))

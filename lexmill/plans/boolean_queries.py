@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexmill.operators import build, cnf, index, rank, resolve, select
+from lexmill.plans.ordered import running_total
 from lexmill.plans.registry import SQL_PIECES, SQL_WORDS, keywords, lower_pieces, query, sql_spans, table, values
 from lexmill.plans.shared import cut
 
@@ -239,8 +240,7 @@ def ext_top(spark, d):
 
 @query("WITH o AS (SELECT doc_id, coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT off FROM documents WHERE n_chars > 0), p AS (SELECT event_id, event_id * 97 ptr FROM events) SELECT ptr, coalesce(o.doc_id, (SELECT min(doc_id) FROM o)) doc_id FROM p ASOF LEFT JOIN o ON p.ptr >= o.off")
 def ptr_to_doc(spark, d):
-    before = Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    o = table(spark, d, "documents").where("n_chars > 0").select("doc_id", F.coalesce(F.sum("n_chars").over(before), F.lit(0)).alias("off"))
+    o = running_total(table(spark, d, "documents").where("n_chars > 0").select("doc_id", "n_chars"), ["doc_id"], "n_chars", "off")
     p = table(spark, d, "events").select((F.col("event_id") * 97).alias("ptr"))
     return index.containing_document(p, "ptr", o, "off", "doc_id")
 

@@ -18,9 +18,12 @@ CORPUS_SCHEMA = "text string, added string, created string, attributes string, d
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``value, file, line_no``: the lines of text files in their order within each file."""
-    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
-    return lines.select("value", "file", F.row_number().over(Window.partitionBy("file").orderBy("at")).alias("line_no"))
+    """``value, file, line_no``: the lines of text files, with a value that rises from line to line of a file.
+
+    It is made of the place of the file's part and the line's place within it, so that no file has to be in one task.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at"))
+    return lines.select("value", "file", F.struct("file", "part", "at").alias("line_no"))
 
 
 def columns_of(line: Column) -> Column:

@@ -180,3 +180,22 @@ def test_vectors(spark):
     assert {r["n"] for r in enc} == {64}
     s = rank.pair_scored(spark.createDataFrame([("a b", "b c"), ("", None)], "q string, t string"), "q", "t", rank.overlap_scorer).collect()
     assert sorted(r["score"] for r in s) == [0.0, 0.5]
+
+
+def test_numbers_over_partitions(spark):
+    from lexmill.plans import ordered
+
+    rng = random.Random(1)
+    rows = [("hot" if rng.random() < 0.7 else rng.choice("abc"), i, rng.randrange(5)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, i int, v int").repartition(6)
+    got = {r["i"]: r["n"] for r in ordered.numbered(df, [F.desc("i")], "n").collect()}
+    assert got == {i: 2999 - i for i in range(3000)}
+    want, seen = {}, {}
+    for k, i, _ in sorted(rows):
+        seen[k] = want[i] = seen.get(k, 0) + 1
+    assert {r["i"]: r["n"] for r in ordered.numbered_within(df, ["k"], ["i"], "n").collect()} == want
+    total, sums = 0, {}
+    for _, i, v in sorted(rows, key=lambda r: r[1]):
+        sums[i], total = total, total + v
+    assert {r["i"]: r["s"] for r in ordered.running_total(df, ["i"], "v", "s").collect()} == sums
+    assert ordered.numbered_within(df.limit(0), ["k"], ["i"], "n").count() == 0
