@@ -17,9 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.plans.shared import col, cut
+from lexmill.plans.shared import col, cut, sized_broadcast
 
 LANGS = ("en", "de", "fr", "es")
+#: Salts a word's votes are repeated over where the words are too many to broadcast.
+SALTS = 16
 
 # Function words by language.
 STOPWORDS = {
@@ -242,10 +244,16 @@ def _languages(read: DataFrame, votes: DataFrame) -> DataFrame:
     fields = F.map_from_arrays(F.array(F.lit("p"), F.lit("e"), F.lit("a")), F.array("prompt_words", "entity_words", "associated_words"))
     each = read.where(F.col("defect").isNull()).select("expansion_id", F.explode(fields).alias("field", "words"))
     each = each.select("expansion_id", "field", F.explode(F.array_distinct("words")).alias("word"))
-    scored = each.join(votes.where(F.col("n") >= 5), "word").groupBy("expansion_id", "field").agg(*[F.sum(k).alias(k) for k in LANGS], F.count("*").alias("voters"))
+    known, small = sized_broadcast(cut(votes.where(F.col("n") >= 5), "pair-words"))
+    if small:
+        voted = each.join(known, "word")
+    else:  # salted, as one word may be in a third of all answers
+        known = known.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+        voted = each.withColumn("salt", F.pmod(F.xxhash64("expansion_id"), F.lit(SALTS)).cast("int")).join(known, ["word", "salt"])
+    scored = voted.groupBy("expansion_id", "field").agg(*[F.sum(k).alias(k) for k in LANGS], F.count("*").alias("voters"))
     best = F.greatest(*[F.col(k) for k in LANGS])
-    voted = F.coalesce(*[F.when(F.col(k) == best, F.lit(k)) for k in LANGS])
-    scored = scored.select("expansion_id", "field", voted.alias("voted"), F.struct(*LANGS).alias("s"), best.alias("best"), "voters")
+    winner = F.coalesce(*[F.when(F.col(k) == best, F.lit(k)) for k in LANGS])
+    scored = scored.select("expansion_id", "field", winner.alias("voted"), F.struct(*LANGS).alias("s"), best.alias("best"), "voters")
     pick = lambda f, c: F.max(F.when(F.col("field") == f, F.col(c)))
     return scored.groupBy("expansion_id").agg(*[pick(f, c).alias(f"{f}_{c}") for f in "pea" for c in ("voted", "s", "best", "voters")])
 
