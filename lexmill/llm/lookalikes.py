@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.plans.shared import col, cut
+from lexmill.plans.shared import col, cut, if_small
 
 # Letters of other scripts and the Latin letters that they look like, in the same order.
 CYRILLIC = ("асԁеһіјӏорԛѕԝхуѵАВСЕԌНІЈКМОРԚЅТԜХУҮӀѴ", "acdehijlopqswxyvABCEGHIJKMOPQSTWXYYIV")
@@ -83,7 +83,7 @@ def look_alike_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     looks = look_alike_forms(df, id_col, text_col)
     forms = looks.groupBy("look", "text_key").agg(F.count("*").alias("c"))
     mixed = forms.groupBy("look").agg(F.count("*").alias("forms")).where("forms > 1").select("look")
-    among = cut(looks.join(mixed, "look"), "looks-mixed")
+    among = cut(looks.join(if_small(cut(mixed, "looks-several")), "look"), "looks-mixed")
     f = among.select("look", "text_key").distinct()
     pairs = f.select("look", F.col("text_key").alias("k_a")).join(f.select("look", F.col("text_key").alias("k_b")), "look").where("k_a < k_b").select("k_a", "k_b")
     one, two = (among.select(F.col("text_key").alias(f"k_{x}"), F.col("doc_id").alias(f"d_{x}")) for x in "ab")
