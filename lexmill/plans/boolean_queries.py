@@ -296,6 +296,11 @@ def _clusters(spark, d):
     return c, cut(pc, "pair-counts")
 
 
+_CLUSTERS = """cl AS (SELECT qid, piece, role, n_docs, dense_rank() OVER (PARTITION BY qid ORDER BY piece) cluster, round(1 / ln(n_docs + 2.0), 6) score FROM pk),
+    pcn AS (SELECT pr.qid, a, b, count(*) FILTER (span <= 100) n_docs FROM pr LEFT JOIN ps USING (query_id) GROUP BY ALL),
+    pcc AS (SELECT pcn.qid, least(x.cluster, y.cluster) a, greatest(x.cluster, y.cluster) b, pcn.n_docs FROM pcn JOIN cl x ON x.qid = pcn.qid AND x.piece = pcn.a JOIN cl y ON y.qid = pcn.qid AND y.piece = pcn.b)"""
+
+
 _LINKS = [("q1", 0, 1, 2), ("q1", 1, 2, 3), ("q1", 2, 5, 6), ("q1", 3, 6, 1), ("q2", 0, 1, 3)]
 
 
@@ -304,15 +309,30 @@ def linked_units(spark, d):
     return build.link_units(spark.createDataFrame(_LINKS, "qid string, ord int, a long, b long"))
 
 
-@query()
+@query(f"""WITH {SQL_WORDS}, {SQL_PIECES}, {_PAIRS}, {_PEEK}, {_CLUSTERS}, mx AS (SELECT CAST(floor(count(*) * 0.03) AS BIGINT) one, CAST(floor(count(*) * 0.06) AS BIGINT) two FROM documents),
+    p AS (SELECT * FROM pcc WHERE n_docs > 0), bw AS (SELECT qid, a, b, n_docs FROM p UNION ALL SELECT qid, b, a, n_docs FROM p),
+    l0 AS (SELECT * FROM {values(_LINKS)} v(qid, ord, a, b)), lk AS (SELECT qid, ord, a, b FROM l0 UNION ALL SELECT qid, ord, b, a FROM l0),
+    an AS (SELECT * FROM cl WHERE role = 'key'), inf AS (SELECT * FROM cl WHERE role = 'assoc'), wide AS (SELECT an.* FROM an, mx WHERE n_docs > one),
+    fst AS (SELECT w.qid, w.cluster a, lk.b, bw.n_docs, w.score + coalesce(y.score, 0) score FROM wide w JOIN lk ON lk.qid = w.qid AND lk.a = w.cluster JOIN bw ON bw.qid = w.qid AND bw.a = w.cluster AND bw.b = lk.b LEFT JOIN cl y ON y.qid = w.qid AND y.cluster = lk.b, mx WHERE bw.n_docs <= two QUALIFY row_number() OVER (PARTITION BY w.qid, w.cluster ORDER BY ord, lk.b) = 1),
+    al AS (SELECT qid, cluster a, NULL::BIGINT b, 'direct' kind, n_docs, score, 0 r FROM an, mx WHERE n_docs > 0 AND n_docs <= one
+        UNION ALL SELECT qid, a, b, 'linked', n_docs, score, 1 FROM fst
+        UNION ALL SELECT w.qid, w.cluster, i.cluster, 'informative', bw.n_docs, w.score * i.score, 2 FROM wide w JOIN inf i ON i.qid = w.qid AND i.cluster <> w.cluster JOIN bw ON bw.qid = w.qid AND bw.a = w.cluster AND bw.b = i.cluster WHERE NOT EXISTS (SELECT 1 FROM fst WHERE fst.qid = w.qid AND fst.a = w.cluster)
+        UNION ALL SELECT x.qid, x.cluster, y.cluster, 'cross', p.n_docs, x.score * y.score, 3 FROM an x JOIN an y ON x.qid = y.qid AND x.cluster < y.cluster JOIN p ON p.qid = x.qid AND p.a = x.cluster AND p.b = y.cluster WHERE NOT EXISTS (SELECT 1 FROM lk WHERE lk.qid = x.qid AND lk.a = x.cluster AND lk.b = y.cluster))
+    SELECT qid, coalesce(least(a, b), a) a, CASE WHEN b IS NOT NULL THEN greatest(a, b) END b, kind, n_docs, round(score, 9) score FROM al QUALIFY row_number() OVER (PARTITION BY qid, coalesce(least(a, b), a), greatest(a, b) ORDER BY r, score DESC) = 1""")
 def adaptive_queries(spark, d):
     c, pc = _clusters(spark, d)
     links = spark.createDataFrame(_LINKS, "qid string, ord int, a long, b long")
     n = table(spark, d, "documents").count()
-    return build.adaptive_queries(c.where("role = 'key'"), pc, links, c.where("role = 'assoc'").select("qid", "cluster", "score"), int(n * 0.03), int(n * 0.06))
+    out = build.adaptive_queries(c.where("role = 'key'"), pc, links, c.where("role = 'assoc'").select("qid", "cluster", "score"), int(n * 0.03), int(n * 0.06))
+    return out.withColumn("score", F.round("score", 9))
 
 
-@query()
+@query(f"""WITH {SQL_WORDS}, {SQL_PIECES}, {_PAIRS}, {_PEEK}, {_CLUSTERS}, mx AS (SELECT floor(count(*) * 0.05) most FROM documents),
+    wk AS (SELECT pcc.qid, cl.piece term, sum(pcc.n_docs) n_docs FROM pcc JOIN cl ON cl.qid = pcc.qid AND cl.cluster = pcc.a GROUP BY ALL),
+    al AS (SELECT qid, piece query_id, 1 AS level, n_docs FROM cl, mx WHERE n_docs > 0 AND n_docs <= most
+        UNION ALL SELECT wk.qid, wk.term || ' AND keys', 2, wk.n_docs FROM wk JOIN cl ON cl.qid = wk.qid AND cl.piece = wk.term, mx WHERE wk.n_docs > 0 AND cl.n_docs > most
+        UNION ALL SELECT qid, a || '&' || b, 3, n_docs FROM pcc WHERE n_docs > 0)
+    SELECT qid, query_id, level, n_docs::BIGINT n_docs, (most - n_docs)::DOUBLE score, row_number() OVER (PARTITION BY qid ORDER BY most - n_docs DESC, query_id) place FROM al, mx""")
 def keyword_adaptive_queries(spark, d):
     c, pc = _clusters(spark, d)
     n = table(spark, d, "documents").count()
@@ -331,12 +351,14 @@ def static_queries(spark, d):
     return build.static_queries(units, "all_pairs").select("qid", "query_id", F.round("score", 9).alias("score"), "place")
 
 
-@query(f"""WITH {SQL_WORDS}, {SQL_PIECES}, {_SP}, dp AS (SELECT piece, doc_id FROM sp), k AS (SELECT DISTINCT qid, piece, role, aspect_ix, aspect, keyword FROM pc),
+_CEILING = f"""WITH {SQL_WORDS}, {SQL_PIECES}, {_SP}, dp AS (SELECT piece, doc_id FROM sp), k AS (SELECT DISTINCT qid, piece, role, aspect_ix, aspect, keyword FROM pc),
     m AS (SELECT qid, 'keys_only' AS mode, doc_id FROM k JOIN dp USING (piece) WHERE role = 'key' AND lower(keyword) = lower(aspect)
         UNION SELECT qid, 'keys_expanded', doc_id FROM k JOIN dp USING (piece) WHERE role = 'key' UNION SELECT qid, 'full', doc_id FROM k JOIN dp USING (piece)
         UNION SELECT a.qid, '2way_and', x.doc_id FROM k a JOIN k b ON a.qid = b.qid AND a.role = 'key' AND b.role = 'key' AND a.aspect_ix < b.aspect_ix JOIN dp x ON x.piece = a.piece JOIN dp y ON y.piece = b.piece AND y.doc_id = x.doc_id
-        UNION SELECT a.qid, '3way_and', x.doc_id FROM k a JOIN k b ON a.qid = b.qid AND a.role = 'key' AND b.role = 'key' AND a.aspect_ix < b.aspect_ix JOIN k c ON c.qid = b.qid AND c.role = 'key' AND b.aspect_ix < c.aspect_ix JOIN dp x ON x.piece = a.piece JOIN dp y ON y.piece = b.piece AND y.doc_id = x.doc_id JOIN dp z ON z.piece = c.piece AND z.doc_id = x.doc_id)
-    SELECT qid, mode, count(*) n_retrieved FROM m GROUP BY ALL""")
+        UNION SELECT a.qid, '3way_and', x.doc_id FROM k a JOIN k b ON a.qid = b.qid AND a.role = 'key' AND b.role = 'key' AND a.aspect_ix < b.aspect_ix JOIN k c ON c.qid = b.qid AND c.role = 'key' AND b.aspect_ix < c.aspect_ix JOIN dp x ON x.piece = a.piece JOIN dp y ON y.piece = b.piece AND y.doc_id = x.doc_id JOIN dp z ON z.piece = c.piece AND z.doc_id = x.doc_id)"""
+
+
+@query(f"{_CEILING} SELECT qid, mode, count(*) n_retrieved FROM m GROUP BY ALL")
 def ceiling_modes(spark, d):
     return ceiling_pools(spark, d).groupBy("qid", "mode").agg(F.count("*").alias("n_retrieved"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import numbers
 from lexmill.functions.text import SPACE, STOPWORDS, words
 from lexmill.operators import cnf, evaluate, index, rank, resolve
-from lexmill.plans.boolean_queries import _POOL, _SP, ceiling_pools, piece_pool
+from lexmill.plans.boolean_queries import _CEILING, _POOL, _SP, ceiling_pools, piece_pool
 from lexmill.plans.registry import KEYWORDS, SQL_PIECES, SQL_WORDS, keywords, query, stop_list, table, values
 from lexmill.plans.shared import cut
 from lexmill.plans.text_queries import qrels_last
@@ -173,13 +173,16 @@ def encoder_topk(spark, d):
     return rank.ranked(both.select("qid", "doc_id", numbers.cosine(F.col("q"), F.col("v")).alias("score")), ["qid"], 10)
 
 
-@query()
+@query(rf"""WITH q AS (SELECT qid, list_distinct(list_filter(string_split_regex(lower(min(text)), '{SPACE}'), lambda x: x <> '')) qw FROM topics WHERE text IS NOT NULL AND qid IS NOT NULL GROUP BY qid),
+    p AS (SELECT doc_id, list_filter(string_split_regex(lower(min(coalesce(segment, body))), '{SPACE}'), lambda x: x <> '') tw FROM passages WHERE coalesce(segment, body) IS NOT NULL GROUP BY doc_id), j AS (SELECT DISTINCT qid, doc_id FROM qrels WHERE rel IS NOT NULL),
+    s AS (SELECT qid, doc_id, CASE WHEN len(qw) > 0 THEN len(list_filter(qw, lambda x: list_contains(tw, x))) / len(qw)::DOUBLE ELSE 0.0 END score FROM j JOIN q USING (qid) JOIN p USING (doc_id))
+    SELECT qid, doc_id, round(score, 6) score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id DESC) AS rank FROM s QUALIFY rank <= 10""")
 def pair_scorer_topk(spark, d):
     """Judged pairs by a pair model that is plugged in; here the share of the topic's words."""
     t = table(spark, d, "topics").where("text IS NOT NULL AND qid IS NOT NULL").groupBy("qid").agg(F.min("text").alias("query"))
     p = table(spark, d, "passages").select("doc_id", F.coalesce("segment", "body").alias("text")).where("text IS NOT NULL").groupBy("doc_id").agg(F.min("text").alias("text"))
     pairs = qrels_last(spark, d).select("qid", "doc_id").join(t, "qid").join(p, "doc_id")
-    return rank.ranked(rank.pair_scored(pairs, "query", "text", rank.overlap_scorer).select("qid", "doc_id", "score"), ["qid"], 10)
+    return rank.ranked(rank.pair_scored(pairs, "query", "text", rank.overlap_scorer).select("qid", "doc_id", "score"), ["qid"], 10).withColumn("score", F.round("score", 6))
 
 
 _RUNS = """e AS (SELECT qid, 'biencoder' stage, unnest(biencoder_ranked) x FROM rerank_results WHERE qid IS NOT NULL UNION ALL SELECT qid, 'crossencoder', unnest(crossencoder_ranked) FROM rerank_results WHERE qid IS NOT NULL),
@@ -296,7 +299,7 @@ def once_merged(spark, d):
     return one.select("doc_id", "text", F.when(F.size("sites") > 0, F.array_join("sites", ",")).alias("sites"))
 
 
-@query()
+@query(f"{_CEILING}, g AS (SELECT qid, doc_id FROM m WHERE mode = '3way_and'), n AS (SELECT qid, count(*) n FROM g GROUP BY qid) SELECT m.mode, m.qid, any_value(n.n) n_relevant, count(*) n_retrieved, count(g.doc_id) n_found, round(count(g.doc_id) / any_value(n.n)::DOUBLE, 6) recall, round(count(g.doc_id) / count(*)::DOUBLE, 6) AS precision FROM m JOIN n ON n.qid = m.qid LEFT JOIN g ON g.qid = m.qid AND g.doc_id = m.doc_id GROUP BY ALL")
 def ceiling_recall(spark, d):
     """What each ablation finds of the documents that have all keys of an aspect, as a stand-in for judgments."""
     pools = cut(ceiling_pools(spark, d), "ceiling")
