@@ -8,6 +8,7 @@ does the parts one after the other, splitting a part that is still too large by
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
@@ -20,6 +21,9 @@ from lexmill.plans.shared import col, cut, fresh_path
 WORD = r"[\p{L}\p{N}]+"
 #: Rows of partial counts that one task holds at once, and spill files made by one split.
 HELD_ROWS, FAN_OUT_BITS = 1_000_000, 4
+#: Bytes of texts that DuckDB counts at once.
+PORTION = 16_000_000
+_NO_WORD = re.compile(r"[\W_]")
 
 _PARTIAL = pa.schema([("field_name", pa.string()), ("term", pa.string()), ("occurrences", pa.int64()), ("records", pa.int64()), ("h", pa.int64())])
 _TOTAL = pa.schema([("field_name", pa.string()), ("term", pa.string()), ("occurrences", pa.int64()), ("records", pa.int64())])
@@ -46,7 +50,7 @@ def value_records(df: DataFrame, id_col: str, values_col: str, field_name: str)
 def _connect():
     import duckdb
 
-    con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+    con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
     con.execute("SET preserve_insertion_order = false")
     return con
 
@@ -56,17 +60,39 @@ def _add_up(con, parts: list[pa.Table]) -> pa.Table:
     return con.sql("SELECT field_name, term, CAST(sum(occurrences) AS BIGINT) occurrences, CAST(sum(records) AS BIGINT) records, any_value(h) h FROM counted GROUP BY field_name, term").to_arrow_table().cast(_PARTIAL)
 
 
+def _portions(t: pa.Table) -> Iterator[pa.Table]:
+    """``t`` in portions of at most :data:`PORTION` bytes, with a column ``rid`` that numbers the records.
+
+    A single text beyond that becomes several rows of one record, cut where no word is.
+    """
+    if t.nbytes <= PORTION:
+        yield t.append_column("rid", pa.array(range(t.num_rows), pa.int64()))
+    elif t.num_rows > 1:
+        half = t.num_rows // 2
+        yield from _portions(t.slice(0, half).combine_chunks())
+        yield from _portions(t.slice(half).combine_chunks())
+    else:
+        text, parts = t["txt"][0].as_py(), []
+        while text:
+            gap = _NO_WORD.search(text, PORTION // 4)
+            end = gap.end() if gap else len(text)
+            parts.append(text[:end])
+            text = text[end:]
+        n = max(1, len(parts))
+        first = t["vals"].to_pylist()
+        yield pa.table({"field_name": t["field_name"].to_pylist() * n, "txt": pa.array(parts or [None], pa.string()), "vals": pa.array(first + [None] * (n - 1), t.schema.field("vals").type), "rid": pa.array([0] * n, pa.int64())})
+
+
 def _count_batches(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[pa.RecordBatch]:
     con, parts, rows = _connect(), [], 0
     count = f"""
-        WITH r AS (SELECT field_name, row_number() OVER () rid, CASE WHEN vals IS NULL THEN regexp_extract_all(txt, '{WORD}') ELSE vals END words FROM t),
+        WITH r AS (SELECT field_name, rid, CASE WHEN vals IS NULL THEN regexp_extract_all(txt, '{WORD}') ELSE vals END words FROM t),
         w AS (SELECT field_name, rid, unnest(words) term FROM r),
         per AS (SELECT field_name, rid, term, count(*) tf FROM w GROUP BY ALL)
         SELECT field_name, term, CAST(sum(tf) AS BIGINT) occurrences, count(*) records, CAST(hash(term) >> 1 AS BIGINT) h FROM per GROUP BY field_name, term
-        UNION ALL SELECT field_name, NULL, 0, count(*), 0 FROM r GROUP BY field_name"""
+        UNION ALL SELECT field_name, NULL, 0, count(DISTINCT rid), 0 FROM r GROUP BY field_name"""
     for batch in batches:
-        if batch.num_rows:
-            t = pa.Table.from_batches([batch])  # noqa: F841
+        for t in _portions(pa.Table.from_batches([batch])) if batch.num_rows else ():  # noqa: B007 - DuckDB finds t by name
             parts.append(con.sql(count).to_arrow_table().cast(_PARTIAL))
             rows += parts[-1].num_rows
             if rows > held:

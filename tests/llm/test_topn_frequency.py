@@ -82,6 +82,17 @@ def test_values(spark):
     assert [tuple(r) for r in out] == [("f", "heat pump", 3, 2, "rare")]
 
 
+def test_portions_keep_records(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(frequency, "PORTION", 400)
+    texts = ["short one", "a bb ccc " * 200, None, "x" * 3000, "", "one more"]
+    t = pa.table({"field_name": ["f"] * 6, "txt": pa.array(texts, pa.string()), "vals": pa.array([None] * 6, pa.list_(pa.string()))})
+    out = pa.Table.from_batches(list(frequency._count_batches(iter(t.to_batches()), 10**6))).to_pylist()
+    got = {r["term"]: (r["occurrences"], r["records"]) for r in out}
+    assert got == {None: (0, 6), "short": (1, 1), "one": (2, 2), "a": (200, 1), "bb": (200, 1), "ccc": (200, 1), "x" * 3000: (1, 1), "more": (1, 1)}
+
+
 def test_terms_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id string, segment string")
     assert frequency.term_frequencies(frequency.text_records(df, "doc_id", "segment", "segment"), {"segment": 20.0}).count() == 0
