@@ -209,7 +209,9 @@ def read_pair(prompt, entities, associated, later_empty: bool, automaton) -> tup
     # the answer's last term: of the associated terms, or of the entities where those are missing altogether
     tail = ([tidy(x) for x in associated][-1:] if associated is not None and len(associated) else [tidy(x) for x in raw_terms[-1:]] if associated is None else []) if later_empty else []
     if tail and tail[0]:
-        if stops_short(tail[0]):
+        # where nothing follows, a last aspect with fewer terms than each before it was broken off within its list
+        sizes = [len(v) for _, v in lists]
+        if stops_short(tail[0]) or (associated is None and len(sizes) > 1 and sizes[-1] < min(sizes[:-1])):
             return "truncated", lang, p_words, e_words, a_words, None
         ws = words_of(tail[0])
         if ws and tail[0][-1].isalpha():
