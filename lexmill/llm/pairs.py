@@ -11,6 +11,8 @@ else but begins a common one was cut off.
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -162,6 +164,13 @@ def stops_short(term: str) -> bool:
     return unclosed(t) or (len(t.split()) > 1 and bool(last) and last[0] in DANGLING and t[-1].isalnum() and t.split()[-1].lower() == last[0])
 
 
+def script(words: list[str]) -> str | None:
+    """The script of more than half of the letters of ``words``, if there is one."""
+    n = Counter(unicodedata.name(ch, "").split(" ")[0] for w in words for ch in w if ch.isalpha())
+    name, most = n.most_common(1)[0] if n else (None, 0)
+    return name if most * 2 > n.total() else None
+
+
 def stop_votes(words: list[str]) -> dict[str, int]:
     return {lang: sum(w in s for w in words) for lang, s in _STOP.items()}
 
@@ -221,6 +230,9 @@ def read_pair(prompt, entities, associated, later_empty: bool, automaton) -> tup
                 last_word = ws[-1]
                 if len(last_word) >= 2 and any(o != last_word and o.startswith(last_word) and o in p_words for o in own):
                     return "truncated", lang, p_words, e_words, a_words, None
+    home = script(p_words)
+    if home and any(s and s != home for s in (script(e_words), script(a_words))):
+        return "other_language", lang, p_words, e_words, a_words, None
     return None, lang, p_words, e_words, a_words, last_word
 
 
@@ -272,7 +284,7 @@ def _cut_words(read: DataFrame, votes: DataFrame, more: int, known: int) -> Data
     return last.join(hit.select("last_word"), "last_word").select("expansion_id", F.lit(True).alias("cut"))
 
 
-def pair_defects(expansions: DataFrame, lead: float = 4.0, more: int = 8, known: int = 1, voters: int = 3) -> DataFrame:
+def pair_defects(expansions: DataFrame, margin: float = 0.75, more: int = 8, known: int = 1, voters: int = 3) -> DataFrame:
     """``expansion_id, defect`` of each defective pair; ``expansion_id`` and a null defect of every other one.
 
     Defects, the first that holds: ``refusal``, ``empty``, ``copied``, ``truncated``, ``other_language``. Rows
@@ -280,8 +292,10 @@ def pair_defects(expansions: DataFrame, lead: float = 4.0, more: int = 8, known:
     terms. A null or wordless prompt can't be copied and has no language. An answer counts as cut off only at its
     end, that is where nothing follows (no associated terms after the entities, no verbs after either).
 
-    ``lead`` is the lead (natural log) another language needs over the prompt's, with at least ``voters`` words known
-    to the vote; ``more`` is how many times as frequent a word must be for a last word to be its beginning.
+    A field is in another language if its words, at least ``voters`` of them known to the vote, don't answer prompts of
+    this language clearly more often than those of any other: by ``margin`` a word (natural log) on average. So a language
+    that no prompt is in shows too, as its words answer all prompts alike. Words of another script than the prompt's
+    tell by themselves. ``more`` is how many times as frequent a word must be for a last word to be its beginning.
     """
     late = F.coalesce(F.size(col("verbs")), F.lit(0)) <= 0
     one = expansions.select(*[col(c) for c in ("expansion_id", "text", "key_entities", "associated_terms")], late.alias("later_empty")).where(F.col("expansion_id").isNotNull()).dropDuplicates(["expansion_id"])
@@ -293,7 +307,8 @@ def pair_defects(expansions: DataFrame, lead: float = 4.0, more: int = 8, known:
 
     def foreign(f: str):
         at_home = F.coalesce(*[F.when(home == k, F.col(f"{f}_s")[k]) for k in LANGS])
-        return (F.col(f"{f}_voters") >= voters) & (F.col(f"{f}_voted") != home) & (F.col(f"{f}_best") - at_home >= lead)
+        elsewhere = F.greatest(*[F.when(home != k, F.col(f"{f}_s")[k]) for k in LANGS])
+        return (F.col(f"{f}_voters") >= voters) & (at_home - elsewhere < margin * F.col(f"{f}_voters"))
 
     other = F.coalesce(foreign("e"), F.lit(False)) | F.coalesce(foreign("a"), F.lit(False))
     defect = F.coalesce("defect", F.when(F.col("cut"), F.lit("truncated")), F.when(other, F.lit("other_language")))

@@ -66,9 +66,11 @@ def test_each_defect(spark):
         (15, "heat pump cost", {"x": ["heat pump survey", "I cannot provide keyword expansions for this query."]}, ["power grid", "coal mine", "insulation"], V),
         (16, "what is the heat pump cost", {"heat pump": ["heat pump", "cost of heat pump", "power grid"], "power grid": ["power grid", "insulation Zumrab"]}, None, None),
         (17, "what is the heat pump cost", {"heat pump": ["heat pump", "cost of heat pump", "power grid"], "power grid": ["power grid", "insulation Zumrab"]}, None, V),
+        (18, "what is the heat pump cost", {"heat pump": ["тепловой насос", "цена насоса"]}, ["сеть", "power grid"], V),
+        (19, "what is the heat pump cost", {"heat pump": ["heat pump", "cost of heat pump", "насос"]}, ["power grid", "coal mine"], V),
     ]
     got, others = found(spark, [*rows, rows[0], (None, "a", None, None, None)])
-    assert got == {1: "empty", 2: "empty", 3: "refusal", 4: "refusal", 5: None, 6: "copied", 7: "truncated", 8: "truncated", 9: None, 10: "other_language", 11: "other_language", 12: None, 13: None, 14: None, 15: None, 16: "truncated", 17: None}
+    assert got == {1: "empty", 2: "empty", 3: "refusal", 4: "refusal", 5: None, 6: "copied", 7: "truncated", 8: "truncated", 9: None, 10: "other_language", 11: "other_language", 12: None, 13: None, 14: None, 15: None, 16: "truncated", 17: None, 18: "other_language", 19: None}
     assert others == {None}
 
 
