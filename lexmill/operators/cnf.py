@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.operators.index import positions
+from lexmill.operators.index import positions, positions_of
 from lexmill.plans.shared import if_small, sized_broadcast
 
 #: A query's clauses, each a list of phrases, each a list of words.
@@ -50,11 +50,16 @@ def _starts(met: DataFrame) -> DataFrame:
     return starts.where("c = length").select("phrase", "doc_id", "pos", "length")
 
 
-def clause_hits(documents: DataFrame, alts: DataFrame) -> DataFrame:
-    """``query_id, n_clauses, clause, doc_id, pos, length``: the hits of each clause."""
+def clause_hits(documents: DataFrame | None, alts: DataFrame, at: DataFrame | None = None) -> DataFrame:
+    """``query_id, n_clauses, clause, doc_id, pos, length``: the hits of each clause.
+
+    With ``at``, a position table as :func:`lexmill.operators.index.write_index` makes it, the documents themselves are
+    not read, and of that table only the words that are asked for.
+    """
     few, small = sized_broadcast(alts)
     wanted = _phrase_words(alts)  # no more phrases than alternatives
-    hits = _starts(positions(documents).join(F.broadcast(wanted) if small else wanted, "tok"))
+    there = positions(documents) if at is None else positions_of(at, wanted)
+    hits = _starts(there.join(F.broadcast(wanted) if small else wanted, "tok"))
     return hits.join(few, "phrase").select("query_id", "n_clauses", "clause", "doc_id", "pos", "length").distinct()
 
 
@@ -92,9 +97,9 @@ def most_clauses(alts: DataFrame) -> int:
     return alts.agg(F.max("n_clauses")).first()[0] or 1
 
 
-def matches(documents: DataFrame, alts: DataFrame, within: int | None = None) -> DataFrame:
+def matches(documents: DataFrame | None, alts: DataFrame, within: int | None = None, at: DataFrame | None = None) -> DataFrame:
     """``query_id, doc_id, span, n_occ`` of each query's documents, with a span of at most ``within`` words if given."""
-    found = spans(clause_hits(documents, alts), most_clauses(alts))
+    found = spans(clause_hits(documents, alts, at), most_clauses(alts))
     return found if within is None else found.where(F.col("span") <= within)
 
 

@@ -40,6 +40,17 @@ def write_index(docs: DataFrame, name: str, buckets: int = 200, **columns) -> No
     positions(documents).write.mode("overwrite").bucketBy(buckets, "tok").sortBy("tok", "doc_id").saveAsTable(f"{name}_positions")
 
 
+def positions_of(at: DataFrame, asked: DataFrame, few: int = 5_000) -> DataFrame:
+    """The rows of a written position table for the words in ``asked`` (a column ``tok``).
+
+    Up to ``few`` words are named in the filter, so that the scan reads only their buckets and row groups; more are joined.
+    """
+    words_ = [r["tok"] for r in asked.select("tok").distinct().limit(few + 1).collect()]
+    if len(words_) <= few:
+        return at.where(F.col("tok").isin(words_))
+    return at.join(if_small(asked.select("tok").distinct()), "tok", "left_semi")
+
+
 def vocabulary(documents: DataFrame) -> DataFrame:
     """``tok, tf, df, p``: occurrences, documents, and the share of all occurrences.
 

@@ -117,7 +117,12 @@ def test_wordwise_index_tables(spark):
     try:
         hits = cnf.phrase_hits(spark.table("t_index_docs"), spark.createDataFrame([("b c",)], "phrase string"))
         assert [(r["doc_id"], r["pos"]) for r in hits.collect()] == [(2, 0)]
-        assert spark.table("t_index_positions").count() == 4
+        at = spark.table("t_index_positions")
+        assert at.count() == 4
+        alts = cnf.alternatives(spark, {"q": [[["b", "c"]], [["b"], ["zz"]]]})
+        assert cnf.matches(None, alts, at=at).collect() == cnf.matches(spark.table("t_index_docs"), alts).collect()
+        plan = index.positions_of(at, spark.createDataFrame([("b",)], "tok string"))._jdf.queryExecution().executedPlan().toString()
+        assert "EqualTo(tok,b)" in plan
     finally:
         spark.sql("DROP TABLE t_index_docs")
         spark.sql("DROP TABLE t_index_positions")
