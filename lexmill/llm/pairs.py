@@ -254,7 +254,7 @@ def language_votes(read: DataFrame) -> DataFrame:
 
 
 def _languages(read: DataFrame, votes: DataFrame) -> DataFrame:
-    """For each pair: the language voted for each field, the lead of that vote over the prompt's language, and the voters."""
+    """For each pair: the language that the prompt's words vote for, and of each field the votes ``s`` and their number."""
     fields = F.map_from_arrays(F.array(F.lit("p"), F.lit("e"), F.lit("a")), F.array("prompt_words", "entity_words", "associated_words"))
     each = read.where(F.col("defect").isNull()).select("expansion_id", F.explode(fields).alias("field", "words"))
     each = each.select("expansion_id", "field", F.explode(F.array_distinct("words")).alias("word"))
@@ -267,9 +267,9 @@ def _languages(read: DataFrame, votes: DataFrame) -> DataFrame:
     scored = voted.groupBy("expansion_id", "field").agg(*[F.sum(k).alias(k) for k in LANGS], F.count("*").alias("voters"))
     best = F.greatest(*[F.col(k) for k in LANGS])
     winner = F.coalesce(*[F.when(F.col(k) == best, F.lit(k)) for k in LANGS])
-    scored = scored.select("expansion_id", "field", winner.alias("voted"), F.struct(*LANGS).alias("s"), best.alias("best"), "voters")
+    scored = scored.select("expansion_id", "field", winner.alias("voted"), F.struct(*LANGS).alias("s"), "voters")
     pick = lambda f, c: F.max(F.when(F.col("field") == f, F.col(c)))
-    return scored.groupBy("expansion_id").agg(*[pick(f, c).alias(f"{f}_{c}") for f in "pea" for c in ("voted", "s", "best", "voters")])
+    return scored.groupBy("expansion_id").agg(*[pick(f, c).alias(f"{f}_{c}") for f, cs in (("p", ["voted"]), ("e", ["s", "voters"]), ("a", ["s", "voters"])) for c in cs])
 
 
 def _cut_words(read: DataFrame, votes: DataFrame, more: int, known: int) -> DataFrame:
