@@ -166,7 +166,13 @@ def stops_short(term: str) -> bool:
 
 def script(words: list[str]) -> str | None:
     """The script of more than half of the letters of ``words``, if there is one."""
-    n = Counter(unicodedata.name(ch, "").split(" ")[0] for w in words for ch in w if ch.isalpha())
+    joined = "".join(words)
+    if joined.isascii():
+        return "LATIN" if any(map(str.isalpha, joined)) else None
+    n: Counter[str] = Counter()
+    for ch, times in Counter(joined).items():
+        if ch.isalpha():
+            n[unicodedata.name(ch, "").split(" ")[0]] += times
     name, most = n.most_common(1)[0] if n else (None, 0)
     return name if most * 2 > n.total() else None
 
