@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The words that carry no content in keywords.
 STOPWORDS = (
-    "a an the and or but if of in on at to for from by with about as into through during before after above below between under over "
-    "is are was were be been being am do does did doing have has had having can could should would will may might must shall "
-    "i you he she it we they me him her us them my your his its our their this that these those what which who whom whose "
-    "when where why how all any both each few more most other some such no nor not only own same so than too very"
+    "a an the and or but in on at to for of with by from as is was are were be been being have has had do does did will would could "
+    "should may might can shall it its this that these those what which who whom how when where why not no nor if then than so up out "
+    "about into through during before after above below between under again further once here there all each every both few more most "
+    "other some such only own same too very just also"
 ).split()
 
 #: White space of any script, spelt so that Java and RE2 read it alike.
@@ -96,9 +97,21 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def clean_html(text: Column) -> Column:
+def unescape_all(text: Column) -> Column:
+    """All named and numeric entities, by Python's table; in Arrow batches, and only worth it where others than the five occur."""
+    import html
+
+    @F.pandas_udf("string")
+    def each(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: html.unescape(t) if isinstance(t, str) and "&" in t else t)
+
+    return each(text)
+
+
+def clean_html(text: Column, all_entities: bool = False) -> Column:
     """Entities first, so that escaped tags go too; then tags whose names begin with one of :data:`TAGS` become a blank."""
-    return F.regexp_replace(unescape(text), f"(?i)</?({TAGS})[^>]*>", " ")
+    plain = unescape_all(text) if all_entities else unescape(text)
+    return F.regexp_replace(plain, f"(?i)</?({TAGS})[^>]*>", " ")
 
 
 def simple_tokens(text: Column, least: int = 2, most: int = 15) -> Column:
@@ -128,9 +141,9 @@ def occurrences(text: Column, keyword: Column) -> Column:
 
 
 def step_class(query: Column) -> Column:
-    """``single``, ``pair`` or ``multi`` by the parts joined with AND."""
+    """``standalone``, ``2way_and`` or ``3way_and`` (three and more) by the parts joined with AND."""
     n = F.size(F.split(query, " AND "))
-    return F.when(n == 1, "single").when(n == 2, "pair").otherwise("multi")
+    return F.when(n == 1, "standalone").when(n == 2, "2way_and").otherwise("3way_and")
 
 
 def describe(clauses: Column, shown: int = 3) -> Column:

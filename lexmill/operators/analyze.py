@@ -54,27 +54,44 @@ def cross_distance(hits: DataFrame, pieces: DataFrame) -> DataFrame:
     return near.groupBy("qid", "doc_id", F.least("aspect", "other").alias("a"), F.greatest("aspect", "other").alias("b")).agg(F.min(F.col("at") - F.col("p")).alias("distance"))
 
 
-def strategy_coverage(covered: DataFrame) -> DataFrame:
-    """``qid, strategy, docs, share``: documents that each kind of query would find."""
-    k, a, n = F.col("n_aspects"), F.col("n_assoc"), F.col("n_keys")
-    rules = {"any_standalone": (n > 0) | (a > 0), "any_key": n > 0, "any_assoc": a > 0, "aspects_2": k >= 2, "aspects_3": k >= 3, "key_and_assoc": (n > 0) & (a > 0), "aspects_2_or_key_assoc": (k >= 2) | ((n > 0) & (a > 0)), "aspects_2_and_assoc": (k >= 2) & (a > 0)}
-    counted = covered.groupBy("qid").agg(F.count("*").alias("all"), *[F.count_if(c).alias(s) for s, c in rules.items()])
+def strategy_coverage(covered: DataFrame, pieces: DataFrame) -> DataFrame:
+    """``qid, strategy, docs, share``: documents that each kind of query would find.
+
+    ``all_aspects`` needs a topic of two aspects and more, and all of them matched.
+    """
+    aspects = pieces.where("role = 'key'").groupBy("qid").agg(F.count_distinct("aspect").alias("of"))
+    k, key, assoc = F.col("n_aspects"), F.col("n_keys") > 0, F.col("n_assoc") > 0
+    every = (k == F.col("of")) & (F.col("of") >= 2)
+    rules = {
+        "standalone_key": key,
+        "standalone_assoc": assoc,
+        "any_standalone": key | assoc,
+        "pairwise_key": k >= 2,
+        "all_aspects_key": every,
+        "key_plus_assoc": key & assoc,
+        "pairwise_key_plus_assoc": (k >= 2) & assoc,
+        "all_aspects_plus_assoc": every & assoc,
+    }
+    known = covered.join(F.broadcast(aspects), "qid", "left").withColumn("of", F.coalesce("of", F.lit(0)))  # a row a topic of a setting
+    counted = known.groupBy("qid").agg(F.count("*").alias("all"), *[F.count_if(c).alias(s) for s, c in rules.items()])
     long = counted.unpivot(["qid", "all"], list(rules), "strategy", "docs")
     return long.select("qid", "strategy", "docs", (F.col("docs") / F.col("all")).alias("share"))
 
 
 def strategy_query_counts(pieces: DataFrame) -> DataFrame:
-    """``qid, keys, assocs, pairs, triples, key_assoc``: queries of each kind, from the sizes of the aspects alone.
+    """A row a topic: how many queries each strategy would fire, from the sizes of the aspects alone.
 
-    Pairs and triples of different aspects follow from the sums of the sizes' powers.
+    Pairs and triples of different aspects follow from the sums of the sizes' powers; all aspects from their product.
     """
     sizes = pieces.where("role = 'key'").groupBy("qid", "aspect").agg(F.count_distinct("piece").alias("s"))
-    p = sizes.groupBy("qid").agg(F.sum("s").alias("p1"), F.sum(F.col("s") * F.col("s")).alias("p2"), F.sum(F.col("s") * F.col("s") * F.col("s")).alias("p3"))
-    assoc = pieces.where("role = 'assoc'").groupBy("qid").agg(F.count_distinct("piece").alias("assocs"))
+    p = sizes.groupBy("qid").agg(*[F.sum(F.pow("s", F.lit(i))).cast("long").alias(f"p{i}") for i in (1, 2, 3)], F.product("s").cast("long").alias("ways"), F.count("*").alias("aspects"))
+    assoc = pieces.where("role = 'assoc'").groupBy("qid").agg(F.count_distinct("piece").alias("standalone_assoc"))
     both = p.join(assoc, "qid", "full").na.fill(0)
-    pairs = (F.col("p1") * F.col("p1") - F.col("p2")) / 2
-    triples = (F.col("p1") * F.col("p1") * F.col("p1") - 3 * F.col("p1") * F.col("p2") + 2 * F.col("p3")) / 6
-    return both.select("qid", F.col("p1").alias("keys"), "assocs", pairs.cast("long").alias("pairs"), triples.cast("long").alias("triples"), (F.col("p1") * F.col("assocs")).alias("key_assoc"))
+    p1, p2, p3, a = (F.col(c) for c in ("p1", "p2", "p3", "standalone_assoc"))
+    pairs, triples = ((p1 * p1 - p2) / 2).cast("long"), ((p1 * p1 * p1 - 3 * p1 * p2 + 2 * p3) / 6).cast("long")
+    every = F.when(F.col("aspects") >= 2, F.col("ways")).otherwise(p1)
+    named = {"standalone_key": p1, "standalone_assoc": a, "pairwise_key": pairs, "triple_key": triples, "all_aspects_key": every, "key_plus_assoc": p1 * a, "pairwise_key_plus_assoc": pairs * a, "all_aspects_plus_assoc": every * a}
+    return both.select("qid", *[c.alias(n) for n, c in named.items()])
 
 
 def maximal_combinations(table: DataFrame) -> DataFrame:

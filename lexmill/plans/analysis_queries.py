@@ -49,16 +49,20 @@ def cross_distance(spark, d):
     return analyze.cross_distance(hits, p)
 
 
-@query(f"""WITH {SQL_WORDS}, {SQL_PIECES}, {_TABLE}, s AS (SELECT qid, count(*) al, unnest([{{'s': 'any_standalone', 'n': count(*) FILTER (n_keys > 0 OR n_assoc > 0)}}, {{'s': 'any_key', 'n': count(*) FILTER (n_keys > 0)}}, {{'s': 'any_assoc', 'n': count(*) FILTER (n_assoc > 0)}}, {{'s': 'aspects_2', 'n': count(*) FILTER (n_aspects >= 2)}}, {{'s': 'aspects_3', 'n': count(*) FILTER (n_aspects >= 3)}},
-    {{'s': 'key_and_assoc', 'n': count(*) FILTER (n_keys > 0 AND n_assoc > 0)}}, {{'s': 'aspects_2_or_key_assoc', 'n': count(*) FILTER (n_aspects >= 2 OR (n_keys > 0 AND n_assoc > 0))}}, {{'s': 'aspects_2_and_assoc', 'n': count(*) FILTER (n_aspects >= 2 AND n_assoc > 0)}}]) x FROM cv GROUP BY qid)
-    SELECT qid, x.s strategy, x.n docs, round(x.n / al::DOUBLE, 9) share FROM s""")
+@query(f"""WITH {SQL_WORDS}, {SQL_PIECES}, {_TABLE}, na AS (SELECT qid, count(DISTINCT aspect) t FROM pc WHERE role = 'key' GROUP BY qid),
+    f AS (SELECT cv.*, n_keys > 0 k, n_assoc > 0 a, n_aspects >= 2 p, n_aspects = t AND t >= 2 e FROM cv JOIN na USING (qid)),
+    l AS (SELECT qid, unnest(['standalone_key', 'standalone_assoc', 'any_standalone', 'pairwise_key', 'all_aspects_key', 'key_plus_assoc', 'pairwise_key_plus_assoc', 'all_aspects_plus_assoc']) strategy, unnest([k, a, k OR a, p, e, k AND a, p AND a, e AND a]) hit FROM f)
+    SELECT qid, strategy, count(*) FILTER (hit) docs, round(count(*) FILTER (hit) / count(*)::DOUBLE, 9) share FROM l GROUP BY ALL""")
 def strategy_coverage(spark, d):
-    return analyze.strategy_coverage(_covered(spark, d)[0]).withColumn("share", F.round("share", 9))
+    t, p, _, docs = _table(spark, d)
+    covered = analyze.coverage(t, docs.select("doc_id").crossJoin(F.broadcast(p.select("qid").distinct())))
+    return analyze.strategy_coverage(covered, p).withColumn("share", F.round("share", 9))
 
 
-@query(f"""WITH {SQL_WORDS}, {SQL_PIECES}, k AS (SELECT DISTINCT qid, piece, aspect_ix FROM pc WHERE role = 'key'), a AS (SELECT qid, count(DISTINCT piece) n FROM pc WHERE role = 'assoc' GROUP BY qid)
-    SELECT q.qid, (SELECT count(*) FROM k WHERE k.qid = q.qid) AS "keys", n assocs, (SELECT count(*) FROM k x JOIN k y ON x.qid = y.qid AND x.aspect_ix < y.aspect_ix WHERE x.qid = q.qid) pairs,
-    (SELECT count(*) FROM k x JOIN k y ON x.qid = y.qid AND x.aspect_ix < y.aspect_ix JOIN k z ON z.qid = y.qid AND y.aspect_ix < z.aspect_ix WHERE x.qid = q.qid) triples, (SELECT count(*) FROM k WHERE k.qid = q.qid) * n key_assoc FROM a q""")
+@query(f"""WITH {SQL_WORDS}, {SQL_PIECES}, k AS (SELECT DISTINCT qid, piece, aspect_ix FROM pc WHERE role = 'key'), a AS (SELECT qid, count(DISTINCT piece) n FROM pc WHERE role = 'assoc' GROUP BY qid),
+    c AS (SELECT q.qid, n, (SELECT count(*) FROM k WHERE k.qid = q.qid) o, (SELECT count(*) FROM k x JOIN k y ON x.qid = y.qid AND x.aspect_ix < y.aspect_ix WHERE x.qid = q.qid) p,
+        (SELECT count(*) FROM k x JOIN k y ON x.qid = y.qid AND x.aspect_ix < y.aspect_ix JOIN k z ON z.qid = y.qid AND y.aspect_ix < z.aspect_ix WHERE x.qid = q.qid) t, (SELECT product(s) FROM (SELECT count(*) s FROM k WHERE k.qid = q.qid GROUP BY aspect_ix))::BIGINT w FROM a q)
+    SELECT qid, o standalone_key, n standalone_assoc, p pairwise_key, t triple_key, w all_aspects_key, o * n key_plus_assoc, p * n pairwise_key_plus_assoc, w * n all_aspects_plus_assoc FROM c""")
 def strategy_query_counts(spark, d):
     p, _ = lower_pieces(spark, _docs(spark, d))
     return analyze.strategy_query_counts(p)

@@ -45,6 +45,10 @@ def test_clean_html(spark):
     assert one(spark, text.clean_html(F.col("t")), t="a&lt;br&gt;b<DIV class='x'>c</div> d &amp;amp; <pre>e</pre><u>f</u>") == "a b c  d &amp;  e <u>f</u>"
 
 
+def test_all_entities(spark):
+    assert one(spark, text.clean_html(F.col("t"), all_entities=True), t="caf&eacute; &#x41; &lt;p&gt;x") == "café A  x"
+
+
 def test_stems_and_occurrences(spark):
     assert one(spark, text.prefix_stems(F.col("t"), 5), t="civilian") == ["civil", "civili", "civilia", "civilian"]
     assert one(spark, text.prefix_stems(F.col("t"), 5), t="civi") == []
@@ -54,7 +58,7 @@ def test_stems_and_occurrences(spark):
 
 
 def test_step_class_and_describe(spark):
-    assert [one(spark, text.step_class(F.col("t")), t=t) for t in ("a", "a AND b", "a AND b AND c")] == ["single", "pair", "multi"]
+    assert [one(spark, text.step_class(F.col("t")), t=t) for t in ("a", "a AND b", "a AND b AND c")] == ["standalone", "2way_and", "3way_and"]
     df = spark.createDataFrame([([["a", "b"], ["c", "d", "e", "f"]],)], "c array<array<string>>")
     assert df.select(text.describe(F.col("c"))).first()[0] == "(a OR b) AND (c OR d OR e +1)"
     assert one(spark, text.qid_of_path(F.col("t")), t="file:/x/y/q12.jsonl.gz") == "q12"
