@@ -176,6 +176,24 @@ def selected(spark, d):
     return select.peek_and_grab(p, combos, int(n * BUDGET_SHARE), n * ASSOC_SHARE), p, pairs
 
 
+@query(f"""WITH RECURSIVE {SQL_WORDS}, {SQL_PIECES}, {_PAIRS}, {_LIMITS}, dp AS (SELECT piece, doc_id FROM ph GROUP BY piece, doc_id, n HAVING count(DISTINCT clause) = n), k AS (SELECT DISTINCT qid, piece, aspect_ix FROM pc WHERE role = 'key'),
+    t AS (SELECT a.qid, a.piece || ' + ' || b.piece || ' + ' || c.piece query_id, count(*) n FROM k a JOIN k b ON a.qid = b.qid AND a.aspect_ix < b.aspect_ix JOIN k c ON c.qid = b.qid AND b.aspect_ix < c.aspect_ix JOIN dp x ON x.piece = a.piece JOIN dp y ON y.piece = b.piece AND y.doc_id = x.doc_id JOIN dp z ON z.piece = c.piece AND z.doc_id = x.doc_id GROUP BY ALL),
+    cand AS (SELECT qid, query_id, 1 step, n FROM t UNION ALL SELECT pr.qid, query_id, CASE WHEN kind = 'key-key' THEN 2 ELSE 4 END, count(*) FROM pr JOIN ps USING (query_id) WHERE span <= 100 GROUP BY ALL),
+    o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY step, n, query_id) i FROM cand),
+    f AS (SELECT qid, 0::BIGINT i, 0::HUGEINT used, NULL::VARCHAR kept FROM (SELECT DISTINCT qid FROM o)
+        UNION ALL SELECT f.qid, o.i, CASE WHEN used + n <= budget THEN used + n ELSE used END, CASE WHEN used + n <= budget THEN query_id END FROM f JOIN o ON o.qid = f.qid AND o.i = f.i + 1, lim)
+    SELECT o.qid, o.query_id, o.step, o.n n_docs FROM f JOIN o ON o.qid = f.qid AND o.i = f.i WHERE kept IS NOT NULL""")
+def combination_queries(spark, d):
+    """All aspects together, then pairs, then keys with associated pieces, each from the cheapest, while the budget lasts."""
+    p, _, hits, _ = _piece_hits(spark, d)
+    three = build.ceiling_queries(p, ["3way_and"]).select("qid", "query_id", *[F.col("members")[i].alias(x) for i, x in enumerate("abc")])
+    met = cnf.combined_hits(hits, three.select("query_id", "a", "b", "c"), ["a", "b", "c"]).groupBy("query_id").agg(F.count_distinct("doc_id").alias("n_docs"))
+    every = three.join(met, "query_id").select("qid", "query_id", F.lit(1).alias("step"), "n_docs")
+    pairs = _pair_counts(p, hits).select("qid", "query_id", F.when(F.col("kind") == "key-key", 2).otherwise(4).alias("step"), "n_docs")
+    n = table(spark, d, "documents").count()
+    return select.combination_queries(cut(every.unionByName(pairs), "candidates"), int(n * BUDGET_SHARE)).select("qid", "query_id", "step", "n_docs")
+
+
 _FOLD = [("a", "w", 30), ("a", "x", 50), ("a", "y", 40), ("a", "v", 15), ("a", "u", 10), ("b", "z", 120), ("b", "t", 90), ("b", "s", 20)]
 
 

@@ -8,7 +8,7 @@ from lexmill.functions import numbers
 from lexmill.functions.text import SPACE, STOPWORDS, words
 from lexmill.operators import cnf, evaluate, index, rank, resolve
 from lexmill.plans.boolean_queries import _CEILING, _POOL, _SP, ceiling_pools, piece_pool
-from lexmill.plans.registry import KEYWORDS, SQL_PIECES, SQL_WORDS, keywords, query, stop_list, table, values
+from lexmill.plans.registry import SQL_PIECES, SQL_WORDS, keywords, query, stop_list, table, values
 from lexmill.plans.shared import cut
 from lexmill.plans.text_queries import qrels_last
 from lexmill.sources.writers import found_lists
@@ -65,22 +65,22 @@ def bm25_strategies(spark, d):
     return rank.ranked(scored, ["qid", "strategy"], 10).select("qid", "strategy", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-_ASPECT = f"""kc AS (SELECT kw.*, coalesce((SELECT count(*) FROM documents WHERE contains(lower(text), lower(keyword))), 0) n_docs FROM kw),
-    tx AS (SELECT pool.qid, doc_id, text FROM pool JOIN documents USING (doc_id)),
-    kh AS (SELECT tx.qid, doc_id, role, aspect, keyword, n_docs, (length(lower(text)) - length(replace(lower(text), lower(keyword), ''))) // length(keyword) n FROM tx JOIN kc USING (qid) WHERE contains(lower(text), lower(keyword))),
-    pt AS (SELECT qid, doc_id, count(DISTINCT CASE WHEN role = 'key' THEN aspect END) m, coalesce(sum(CASE WHEN role = 'key' THEN CASE WHEN n > 1 THEN 1 + ln(n) ELSE 1 END END), 0) k, coalesce(sum(CASE WHEN role = 'assoc' THEN CASE WHEN n > 1 THEN 1 + ln(n) ELSE 1 END END), 0) a,
-        count(*) FILTER (role = 'verb') v, coalesce(min(CASE WHEN role <> 'verb' THEN n_docs END), 999999) least FROM kh GROUP BY ALL),
-    pp AS (SELECT *, CASE WHEN least >= 999999 THEN 0 ELSE 1 / ln(2.0 + least) END sp FROM pt)"""
+_ASPECT = """qc AS (SELECT piece, count(*) c FROM sp WHERE span <= 10 GROUP BY piece), ql AS (SELECT p.qid, s.doc_id, min(c) least FROM (SELECT DISTINCT qid, piece FROM pc) p JOIN (SELECT piece, doc_id FROM sp WHERE span <= 10) s USING (piece) JOIN qc USING (piece) GROUP BY ALL),
+    tx AS (SELECT pool.qid, doc_id, text FROM pool JOIN documents USING (doc_id) WHERE text <> ''), kl AS (SELECT qid, role, aspect, lower(keyword) keyword FROM kw),
+    kh AS (SELECT tx.qid, doc_id, role, aspect, keyword, (length(lower(text)) - length(replace(lower(text), keyword, ''))) // length(keyword) n FROM tx JOIN kl USING (qid) WHERE contains(lower(text), keyword)),
+    tm AS (SELECT qid, doc_id, keyword, CASE WHEN max(n) > 1 THEN 1 + ln(max(n)) ELSE 1 END tf, bool_or(role = 'assoc') assoc FROM kh WHERE role <> 'verb' GROUP BY ALL),
+    tt AS (SELECT qid, doc_id, coalesce(sum(tf) FILTER (NOT assoc), 0) k, coalesce(sum(tf) FILTER (assoc), 0) a FROM tm GROUP BY ALL),
+    rs AS (SELECT qid, doc_id, count(DISTINCT CASE WHEN role = 'key' THEN aspect END) m, count(*) FILTER (role = 'verb') v FROM kh GROUP BY ALL),
+    pp AS (SELECT tx.qid, tx.doc_id, coalesce(m, 0) m, coalesce(k, 0) k, coalesce(a, 0) a, coalesce(v, 0) v, 1 / ln(2.0 + least) sp FROM tx JOIN ql USING (qid, doc_id) LEFT JOIN rs USING (qid, doc_id) LEFT JOIN tt USING (qid, doc_id))"""
 
 
 def _aspect_inputs(spark, d):
-    pool, _, _, _ = piece_pool(spark, d)
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    texts = cut(pool.select("qid", "doc_id").join(docs, "doc_id").select("qid", "doc_id", "text"), "pool-texts")
-    # containment is counted for all keywords in one pass over the documents
-    counts = docs.agg(*[F.count_if(F.contains(F.lower("text"), F.lit(k.lower()))).alias(str(i)) for i, (_, _, _, k) in enumerate(KEYWORDS)]).first()
-    n = spark.createDataFrame([(q, r, a, k, counts[str(i)]) for i, (q, r, a, k) in enumerate(KEYWORDS)], "qid string, role string, aspect string, keyword string, n_docs long")
-    return texts, n
+    pool, _, p, m = piece_pool(spark, d)
+    near = m.where("span <= 10")
+    counts = near.groupBy("query_id").agg(F.count("*").alias("c"))
+    least = near.join(counts, "query_id").join(p.select("qid", F.col("piece").alias("query_id")).distinct(), "query_id").groupBy("qid", "doc_id").agg(F.min("c").alias("least"))
+    texts = pool.select("qid", "doc_id").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").join(least, ["qid", "doc_id"])
+    return cut(texts.select("qid", "doc_id", "text", "least"), "pool-texts"), keywords(spark)
 
 
 @query(f"WITH {SQL_WORDS}, {SQL_PIECES}, {_SP}, {_POOL}, {_ASPECT} SELECT pool.qid, pool.doc_id, round(coalesce(m * m * 10 + k + 0.5 * a + 0.3 * v + sp, 0), 6) score FROM pool LEFT JOIN pp USING (qid, doc_id)")
@@ -173,6 +173,22 @@ def encoder_topk(spark, d):
     return rank.ranked(both.select("qid", "doc_id", numbers.cosine(F.col("q"), F.col("v")).alias("score")), ["qid"], 10)
 
 
+@query()
+def model_compare(spark, d):
+    """Two encoders over the same judged pairs: mean recall and nDCG of each."""
+    t = table(spark, d, "topics").where("text IS NOT NULL AND qid IS NOT NULL").groupBy("qid").agg(F.min("text").alias("text"))
+    p = table(spark, d, "passages").select("doc_id", F.coalesce("segment", "body").alias("text")).where("text IS NOT NULL").groupBy("doc_id").agg(F.min("text").alias("text"))
+    qrels = qrels_last(spark, d)
+    out = None
+    for dim in (16, 256):
+        make = lambda dim=dim: rank.hashed_encoder(dim)
+        both = qrels.select("qid", "doc_id").join(rank.encoded(t, "text", make).select("qid", F.col("embedding").alias("q")), "qid").join(rank.encoded(p, "text", make).select("doc_id", F.col("embedding").alias("v")), "doc_id")
+        mine = both.select(F.lit(f"hashed-{dim}").alias("model"), "qid", "doc_id", numbers.cosine(F.col("q"), F.col("v")).alias("score"))
+        out = mine if out is None else out.unionByName(mine)
+    scored = evaluate.metrics(evaluate.positions_in_run(cut(out, "models"), ["model", "qid"]), qrels, (10,), ["model"])
+    return evaluate.macro(scored, ["model"], ["recall_10", "ndcg_10"])
+
+
 @query(rf"""WITH q AS (SELECT qid, list_distinct(list_filter(string_split_regex(lower(min(text)), '{SPACE}'), lambda x: x <> '')) qw FROM topics WHERE text IS NOT NULL AND qid IS NOT NULL GROUP BY qid),
     p AS (SELECT doc_id, list_filter(string_split_regex(lower(min(coalesce(segment, body))), '{SPACE}'), lambda x: x <> '') tw FROM passages WHERE coalesce(segment, body) IS NOT NULL GROUP BY doc_id), j AS (SELECT DISTINCT qid, doc_id FROM qrels WHERE rel IS NOT NULL),
     s AS (SELECT qid, doc_id, CASE WHEN len(qw) > 0 THEN len(list_filter(qw, lambda x: list_contains(tw, x))) / len(qw)::DOUBLE ELSE 0.0 END score FROM j JOIN q USING (qid) JOIN p USING (doc_id))

@@ -43,7 +43,7 @@ def sentence_len_stats(spark, d):
     return s.groupBy("lang").agg(F.count("*").alias("sentences"), F.round(F.avg(F.size(F.split("s", " "))), 6).alias("mean_words"), F.max(F.length("s")).alias("longest"))
 
 
-@query("""WITH l AS (SELECT unnest(string_split(coalesce(text, ''), chr(10))) t FROM documents), f AS (SELECT trim(regexp_replace(t, '""" + text.SPACE + """', ' ', 'g'), ' ') t FROM l), s AS (SELECT unnest(list_filter(string_split(regexp_replace(t, '([.!?])\\s+([A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: x <> '')) s FROM f) SELECT count(*) sentences, sum(length(s)) chars FROM s""")
+@query("""WITH l AS (SELECT unnest(string_split(coalesce(text, ''), chr(10))) t FROM documents), f AS (SELECT trim(regexp_replace(t, '""" + text.SPACE + """', ' ', 'g'), ' ') t FROM l), s AS (SELECT unnest(list_filter(string_split(regexp_replace(t, '([.!?])\\s+([A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: x <> '')) s FROM f) SELECT count(*) sentences, sum(length(s))::BIGINT chars FROM s""")
 def line_sentences(spark, d):
     s = table(spark, d, "documents").select(F.explode(text.line_sentences(F.col("text"))).alias("s"))
     return s.agg(F.count("*").alias("sentences"), F.sum(F.length("s")).alias("chars"))

@@ -71,10 +71,10 @@ def test_summary_and_head_to_head(spark):
 
 
 def test_aspects(spark):
-    texts = spark.createDataFrame([("q", 1, "Heat pump, heat pump and grid"), ("q", 2, ""), ("q", 3, None)], "qid string, doc_id long, text string")
-    kw = spark.createDataFrame([("q", "key", "heat", "heat pump", 10), ("q", "key", "grid", "grid", 5), ("q", "assoc", "", "pump", 20), ("q", "verb", "v", "AND", None)], "qid string, role string, aspect string, keyword string, n_docs long")
+    texts = spark.createDataFrame([("q", 1, "Heat pump, heat pump and grid", 5), ("q", 2, "", 5), ("q", 3, None, 5), ("q", 4, "none of them", None), ("q", 5, "nothing", 3)], "qid string, doc_id long, text string, least long")
+    kw = spark.createDataFrame([("q", "key", "heat", "heat pump"), ("q", "key", "grid", "Grid"), ("q", "key", "more", "grid"), ("q", "key", "heat", "pump"), ("q", "assoc", "", "pump"), ("q", "verb", "v", "AND")], "qid string, role string, aspect string, keyword string")
     got = {r["doc_id"]: r["score"] for r in rank.scored_by_aspects(texts, kw).collect()}
-    assert got == pytest.approx({1: 40 + (1 + math.log(2)) + 1 + 0.5 * (1 + math.log(2)) + 0.3 + 1 / math.log(7), 2: 0.0, 3: 0.0})
+    assert got == pytest.approx({1: 90 + (1 + math.log(2)) + 1 + 0.5 * (1 + math.log(2)) + 0.3 + 1 / math.log(7), 2: 0.0, 3: 0.0, 4: 0.0, 5: 1 / math.log(5)})
 
 
 def greedy(sets, cost=None):
