@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from unicodedata import normalize
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,8 +122,30 @@ _SIMILAR = r"""
 """
 
 
+def _looks() -> str:
+    """Skeletons in SQL, for the characters of these documents: composed instead of decomposed, else by the same table."""
+    pairs_ = (lookalikes.CYRILLIC, lookalikes.GREEK, lookalikes.ARMENIAN, lookalikes.LATIN)
+    wide, spaces = range(0xFF01, 0xFF5F), "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+    strange = "".join(a for a, _ in pairs_) + "".join(map(chr, wide)) + spaces
+    plain = "".join(b for _, b in pairs_) + "".join(chr(c - 0xFEE0) for c in wide) + " " * len(spaces)
+    latin = str.maketrans(strange, plain)
+    for c in range(0x370, 0x530):  # look-alike letters stored together with their accents
+        made = normalize("NFC", normalize("NFD", chr(c)).translate(latin))
+        if len(made) == 1 and made != normalize("NFC", chr(c)) and chr(c) not in strange:
+            strange, plain = strange + chr(c), plain + made
+    unseen = r"[\x{AD}\x{34F}\x{61C}\x{180B}-\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}]"
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    return f"nfc_normalize(translate(regexp_replace(text, '{unseen}', '', 'g'), {quote(strange)}, {quote(plain)}))"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p8_found": f"""
+            WITH t AS (SELECT doc_id, text, {_looks()} look FROM documents WHERE text IS NOT NULL)
+            SELECT DISTINCT least(a.doc_id, b.doc_id) doc_id_a, greatest(a.doc_id, b.doc_id) doc_id_b FROM t a JOIN t b ON a.look = b.look AND a.doc_id <> b.doc_id WHERE a.text <> b.text AND regexp_matches(a.look, '[^\\s]')""",
+        "p8_groups": f"""
+            WITH t AS (SELECT doc_id, text, {_looks()} look FROM documents WHERE text IS NOT NULL), g AS (SELECT look, min(doc_id) group_id, count(DISTINCT text) n_forms FROM t WHERE regexp_matches(look, '[^\\s]') GROUP BY look)
+            SELECT DISTINCT doc_id, group_id, n_forms FROM t JOIN g USING (look)""",
         "p1_found": """
             WITH e AS (
                 SELECT qid, 'biencoder_ranked' stage, unnest(biencoder_ranked) x FROM rerank_results
