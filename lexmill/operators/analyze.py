@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.operators.cnf import pairs_of
+from lexmill.plans.shared import cut, if_small
+
 
 def keyword_table(matched: DataFrame, pieces: DataFrame) -> DataFrame:
     """``qid, doc_id, role, aspect, piece, span`` of the pieces that match each document."""
@@ -107,6 +110,83 @@ def maximal_combinations(table: DataFrame) -> DataFrame:
     return both.select("qid", "doc_id", (F.col("aspects") + (F.col("assoc") > 0).cast("long")).alias("score"), (F.col("ways") * F.greatest(F.lit(1), F.col("assoc"))).alias("combinations"))
 
 
+def _named(members: Column) -> list[Column]:
+    """``members, query_id`` of a set of pieces, the same in whatever order they come."""
+    one = F.array_sort(F.array_distinct(members))
+    return [one.alias("members"), F.array_join(one, " + ").alias("query_id")]
+
+
+def tightest_combinations(table: DataFrame) -> DataFrame:
+    """``qid, doc_id, query_id, members, score`` of the queries that :func:`maximal_combinations` counts.
+
+    Documents with the same matches have the same queries, so these are made once for each different set of matches. A
+    row grows by one aspect after the other, and the product is never held in one row.
+    """
+    per = table.groupBy("qid", "doc_id", "role", "aspect").agg(F.array_sort(F.collect_set("piece")).alias("p"))
+    keys = per.where("role = 'key'").groupBy("qid", "doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("aspect", "p"))), lambda x: x["p"]).alias("ways"))
+    assoc = table.where("role = 'assoc'").groupBy("qid", "doc_id").agg(F.array_sort(F.collect_set("piece")).alias("a"))
+    ways = F.when(F.col("a").isNotNull(), F.concat("ways", F.array("a"))).otherwise(F.col("ways"))
+    matched = cut(keys.join(assoc, ["qid", "doc_id"], "left").select("qid", "doc_id", ways.alias("ways")), "ways")
+    made = matched.select("qid", "ways").distinct().withColumn("m", F.array().cast("array<string>"))
+    for i in range(matched.agg(F.max(F.size("ways"))).first()[0] or 0):
+        made = made.select("qid", "ways", "m", F.explode_outer(F.get("ways", F.lit(i))).alias("x")).select("qid", "ways", F.when(F.col("x").isNull(), F.col("m")).otherwise(F.concat("m", F.array("x"))).alias("m"))
+    queries = cut(made.select("qid", "ways", *_named(F.col("m")), F.size("ways").cast("long").alias("score")).distinct(), "combinations")
+    return matched.join(if_small(queries), ["qid", "ways"]).select("qid", "doc_id", "query_id", "members", "score")
+
+
+def candidate_queries(pieces: DataFrame) -> DataFrame:
+    """``qid, query_id, members, type``: pairs of key pieces of different aspects, the names of all aspects, key pieces with associated ones, and pieces alone."""
+    p = pieces.select("qid", "piece", "role", "aspect_ix").distinct()
+    pairs = pairs_of(p).select("qid", F.array("a", "b").alias("m"), F.when(F.col("kind") == "key-key", "pairwise").otherwise("aspect_assoc").alias("type"))
+    names = pieces.where("role = 'key' AND lower(keyword) = lower(aspect)").groupBy("qid").agg(F.collect_set("piece").alias("m"), F.count_distinct("aspect").alias("n")).where("n >= 2").select("qid", "m", F.lit("all_aspects").alias("type"))
+    alone = p.select("qid", F.array("piece").alias("m"), F.concat(F.lit("standalone_"), "role").alias("type"))
+    return _first_type(pairs.unionByName(names).unionByName(alone).select("qid", *_named(F.col("m")), "type"))
+
+
+#: The order in which candidates are tried; ties of a cover go to the first.
+TYPES = ("pairwise", "all_aspects", "aspect_assoc", "standalone_key", "standalone_assoc", "tightest")
+
+
+def _first_type(queries: DataFrame) -> DataFrame:
+    """Each query once, under the first of its types."""
+    at = F.array_position(F.array(*[F.lit(t) for t in TYPES]), F.col("type"))
+    return queries.groupBy("qid", "query_id", "members").agg(F.min_by("type", at).alias("type"))
+
+
+def cover_queries(pieces: DataFrame, tightest: DataFrame) -> DataFrame:
+    """``qid, query_ix, query_id, members, type`` of all candidates and the tightest queries; ``query_ix`` in the order of types."""
+    more = tightest.select("qid", "query_id", "members", F.lit("tightest").alias("type")).distinct()
+    all_ = _first_type(candidate_queries(pieces).unionByName(more))
+    at = F.array_position(F.array(*[F.lit(t) for t in TYPES]), F.col("type"))
+    return all_.withColumn("query_ix", F.row_number().over(Window.partitionBy("qid").orderBy(at, "query_id")).cast("long") - 1)
+
+
+def cover_candidates(queries: DataFrame, spans: DataFrame, tightest: DataFrame, relevant: DataFrame, within: int) -> DataFrame:
+    """``qid, query_ix, doc_id, engine``: which relevant documents each query covers, and its count over all documents within the bound.
+
+    A candidate covers what it finds within the bound; a tightest query also the documents that it was made for, however
+    far apart its pieces are there, so that its count may be 0.
+    """
+    near = spans.where(F.col("span") <= within)
+    engine = near.groupBy("qid", "query_id").agg(F.count("*").alias("engine"))
+    asked = queries.where("type <> 'tightest'").select("qid", "query_id")
+    covers = near.join(asked, ["qid", "query_id"], "left_semi").select("qid", "query_id", "doc_id").unionByName(tightest.select("qid", "query_id", "doc_id")).distinct()
+    known = queries.select("qid", "query_id", "query_ix").join(engine, ["qid", "query_id"], "left").na.fill(0, ["engine"])
+    return covers.join(relevant, ["qid", "doc_id"], "left_semi").join(if_small(known), ["qid", "query_id"]).select("qid", "query_ix", "doc_id", "engine")
+
+
+def tightest_counts(tightest: DataFrame, spans: DataFrame, within: int) -> DataFrame:
+    """``qid, query_id, docs, engine, precision``: the documents each tightest query was made for, and its count within the bound."""
+    docs = tightest.groupBy("qid", "query_id").agg(F.count_distinct("doc_id").alias("docs"))
+    engine = spans.where(F.col("span") <= within).groupBy("qid", "query_id").agg(F.count("*").alias("engine"))
+    return docs.join(engine, ["qid", "query_id"], "left").na.fill(0, ["engine"]).withColumn("precision", F.when(F.col("engine") > 0, F.col("docs") / F.col("engine")).otherwise(0.0))
+
+
+def single_term_documents(covered: DataFrame) -> DataFrame:
+    """``qid, doc_id`` of the documents that no query of two pieces of a topic reaches: one aspect at most, and nothing associated."""
+    return covered.where("n_aspects <= 1 AND n_assoc = 0").select("qid", "doc_id")
+
+
 def keyword_effect(covered: DataFrame) -> DataFrame:
     """``qid, docs, any_key, any_assoc, any_term, key_and_assoc, zero`` and the share of documents with any term."""
     n, a = F.col("n_keys") > 0, F.col("n_assoc") > 0

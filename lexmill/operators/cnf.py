@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.operators.index import positions, positions_of
-from lexmill.plans.shared import if_small, sized_broadcast
+from lexmill.plans.shared import cut, if_small, sized_broadcast
 
 #: A query's clauses, each a list of phrases, each a list of words.
 Cnf = Sequence[Sequence[Sequence[str]]]
@@ -132,6 +132,28 @@ def combined_hits(hits: DataFrame, groups: DataFrame, members: Sequence[str]) ->
     return each.join(hits, ["query_id", "doc_id"]).select(F.col("g").alias("query_id"), F.col("n").alias("n_clauses"), (F.col("clause") + F.col("before")).alias("clause"), "doc_id", "pos", "length")
 
 
+def group_spans(hits: DataFrame, groups: DataFrame) -> DataFrame:
+    """``qid, query_id, doc_id, span`` of queries made of any number of pieces; ``groups`` has ``qid, query_id, members``.
+
+    Documents that hold the same pieces of a topic answer the same queries, so queries meet sets of pieces, each set once,
+    and only then documents. ``query_id`` is that of one topic.
+    """
+    per = hits.groupBy("query_id", "doc_id", "n_clauses").agg(F.count_distinct("clause").alias("c")).where("c = n_clauses").select(F.col("query_id").alias("piece"), "doc_id", "n_clauses")
+    sizes = per.select("piece", "n_clauses").distinct()
+    each = groups.select("qid", "query_id", F.explode("members").alias("piece"))
+    of = Window.partitionBy("qid", "query_id")
+    n, before = F.sum("n_clauses").over(of), F.sum("n_clauses").over(of.orderBy("piece").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_clauses")
+    parts = cut(each.join(sizes, "piece").select("qid", "query_id", "piece", n.cast("int").alias("n"), before.cast("int").alias("before")), "parts")
+    held = cut(per.join(if_small(each.select("qid", "piece").distinct()), "piece").groupBy("qid", "doc_id").agg(F.sort_array(F.collect_set("piece")).alias("held")), "held")
+    sets = held.select("qid", "held").distinct().select("qid", "held", F.explode("held").alias("first"))
+    met = sets.join(groups.select("qid", "query_id", "members", F.col("members")[0].alias("first")), ["qid", "first"]).where(F.size(F.array_except("members", "held")) == 0)
+    found = held.join(if_small(cut(met.select("qid", "held", "query_id"), "met")), ["qid", "held"]).select("qid", "query_id", "doc_id")
+    at = found.join(if_small(parts), ["qid", "query_id"]).join(hits.select(F.col("query_id").alias("piece"), "doc_id", "clause", "pos", "length"), ["piece", "doc_id"])
+    made = at.select(F.struct("qid", "query_id").alias("query_id"), F.col("n").alias("n_clauses"), (F.col("clause") + F.col("before")).alias("clause"), "doc_id", "pos", "length")
+    most = parts.agg(F.max("n")).first()[0] or 1
+    return spans(made, most).select("query_id.qid", "query_id.query_id", "doc_id", "span")
+
+
 def pairs_of(pieces: DataFrame) -> DataFrame:
     """``query_id, a, b``: pieces of different aspects of a topic, and key pieces with associated ones.
 

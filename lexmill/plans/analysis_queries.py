@@ -112,37 +112,82 @@ def candidate_outcomes(spark, d):
     return analyze.candidate_outcomes(all_.join(good, "doc_id", "left_semi"), all_, (50, 100, 200)).withColumn("precision", F.round("precision", 9))
 
 
-def _covering(spark, d):
-    """What the pieces cover of the documents with two aspects of a topic, with each piece's own count."""
-    t, p, m, _ = _table(spark, d)
-    ix = p.select("qid", "piece", "role").distinct().withColumn("query_ix", F.expr("dense_rank() OVER (PARTITION BY qid ORDER BY piece) - 1").cast("long"))
-    engine = m.groupBy(F.col("query_id").alias("piece")).agg(F.count("*").alias("engine"))
+def _tightest(spark, d):
+    """The matches of the pieces, their hits, and the tightest queries of each document."""
+    p, alts, hits, docs = _piece_hits(spark, d)
+    m = cnf.spans(hits, cnf.most_clauses(alts))
+    t = cut(analyze.keyword_table(m, p).distinct(), "keyword-table")
+    return t, p, hits, docs, cut(analyze.tightest_combinations(t), "tightest")
+
+
+def _own_spans(hits, tight):
+    return cut(cnf.group_spans(hits, tight.select("qid", "query_id", "members").distinct()), "tightest-spans")
+
+
+@query()
+def tightest_queries(spark, d):
+    """Each document's queries of one keyword for each aspect it has and one associated term, with their spans there."""
+    _, _, hits, _, tight = _tightest(spark, d)
+    return tight.join(_own_spans(hits, tight), ["qid", "query_id", "doc_id"]).select("qid", "doc_id", "query_id", "score", "span")
+
+
+@query()
+def tightest_counts(spark, d):
+    _, _, hits, _, tight = _tightest(spark, d)
+    return analyze.tightest_counts(tight, _own_spans(hits, tight), 50).withColumn("precision", F.round("precision", 9))
+
+
+@query(f"WITH {SQL_WORDS}, {SQL_PIECES}, {_TABLE} SELECT qid, doc_id FROM cv WHERE n_aspects <= 1 AND n_assoc = 0")
+def single_term_docs(spark, d):
+    return analyze.single_term_documents(_covered(spark, d)[0])
+
+
+def _cover_spans(spark, d):
+    """All candidates and tightest queries, and where each of them matches."""
+    t, p, hits, _, tight = _tightest(spark, d)
+    queries = cut(analyze.cover_queries(p, tight), "cover-queries")
+    return t, tight, queries, cut(cnf.group_spans(hits, queries.select("qid", "query_id", "members")), "cover-spans")
+
+
+@query()
+def cover_outcomes(spark, d):
+    """What :func:`candidate_outcomes` has for pairs, for all kinds of candidates and the tightest queries."""
+    _, _, queries, spans = _cover_spans(spark, d)
+    good = table(spark, d, "documents").where(F.col("source").isin("webcrawl", "newswire")).select("doc_id")
+    one = spans.select(F.struct("qid", "query_id").alias("query_id"), "doc_id", "span")
+    out = analyze.candidate_outcomes(one.join(good, "doc_id", "left_semi"), one, (50, 100, 200)).select("query_id.*", "bound", "covered", "engine", F.round("precision", 9).alias("precision"))
+    bounds = queries.select("qid", "query_id", "type", F.explode(F.array(*[F.lit(b) for b in (50, 100, 200)])).alias("bound"))
+    return bounds.join(out, ["qid", "query_id", "bound"], "left").na.fill(0, ["covered", "engine"])
+
+
+def _covering(spark, d, within):
+    """What candidates and tightest queries cover of the documents with two aspects of a topic, with each query's count within the bound."""
+    t, tight, queries, spans = _cover_spans(spark, d)
     relevant = t.where("role = 'key'").groupBy("qid", "doc_id").agg(F.count_distinct("aspect").alias("a")).where("a >= 2").select("qid", "doc_id")
-    covering = t.select("qid", "piece", "doc_id").distinct().join(relevant, ["qid", "doc_id"]).join(ix, ["qid", "piece"]).join(engine, "piece")
-    return cut(covering, "covering"), relevant, ix
+    return cut(analyze.cover_candidates(queries, spans, tight, relevant, within), "covering"), relevant, queries
 
 
 @query()
 def greedy_cover(spark, d):
-    return analyze.greedy_cover(_covering(spark, d)[0])
+    return analyze.greedy_cover(_covering(spark, d, 50)[0])
 
 
 @query()
 def cover_curve(spark, d):
-    return analyze.greedy_cover(_covering(spark, d)[0], by_cost=True)
+    return analyze.greedy_cover(_covering(spark, d, 100)[0], by_cost=True)
 
 
 @query()
 def engine_at_recall(spark, d):
-    covering, relevant, _ = _covering(spark, d)
+    covering, relevant, _ = _covering(spark, d, 100)
     return analyze.cost_at_recall(cut(analyze.greedy_cover(covering, by_cost=True), "curve"), relevant.groupBy("qid").agg(F.count("*").alias("n_docs")))
 
 
 @query()
 def cover_by_type(spark, d):
-    covering, _, ix = _covering(spark, d)
+    covering, _, queries = _covering(spark, d, 100)
     curve = cut(analyze.greedy_cover(covering, by_cost=True), "curve")
-    return analyze.step_types(curve, ix.select("qid", "query_ix", F.col("role").alias("type")))
+    return analyze.step_types(curve, queries.select("qid", "query_ix", "type"))
 
 
 @query(f"WITH {_RUNS}, p AS (SELECT stage, qid, k::DOUBLE x, sum(hit) OVER (PARTITION BY stage, qid ORDER BY k)::DOUBLE y FROM h), g AS (SELECT unnest([1, 5, 10, 20, 50])::DOUBLE gx), m AS (SELECT stage, qid, max(x) mx FROM p GROUP BY ALL), v AS (SELECT m.stage, m.qid, gx, (SELECT max(y) FROM p WHERE p.stage = m.stage AND p.qid = m.qid AND p.x <= least(gx, mx)) y FROM m, g) SELECT stage, gx, round(avg(y), 6) mean, round(quantile_cont(y, 0.25), 6) q25, round(quantile_cont(y, 0.75), 6) q75 FROM v GROUP BY ALL")

@@ -199,3 +199,67 @@ def test_numbers_over_partitions(spark):
         sums[i], total = total, total + v
     assert {r["i"]: r["s"] for r in ordered.running_total(df, ["i"], "v", "s").collect()} == sums
     assert ordered.numbered_within(df.limit(0), ["k"], ["i"], "n").count() == 0
+
+
+def test_tightest_queries_against_all_combinations(spark):
+    """Each document's combinations, their spans and counts, and the candidates of covers, against loops over all texts."""
+    from itertools import combinations, product
+
+    from lexmill.operators import build, cnf
+
+    rng = random.Random(5)
+    words = {"q1": {"x": ["xa", "xb"], "y": ["ya yb", "xa"], "z": ["za"]}, "q2": {"x": ["xa", "xb"], "y": ["yb"]}}
+    assoc = {"q1": ["s", "t u"], "q2": ["s"]}
+    filler = ["o", "p", "r"]
+    pool = ["xa", "xb", "ya", "yb", "za", "s", "t", "u", "x", "y", "z", *filler * 5]
+    texts = [[rng.choice(pool) for _ in range(rng.randint(1, 25))] for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, ws array<string>")
+    rows = [(q, "key", a, k, i) for q in words for i, a in enumerate(words[q]) for k in [a, *words[q][a]]] + [(q, "assoc", "", k, None) for q in assoc for k in assoc[q]]
+    pieces = spark.createDataFrame([(q, f"{q}: {k}", r, a, ix, k) for q, r, a, k, ix in rows], "qid string, piece string, role string, aspect string, aspect_ix int, keyword string")
+    alts = cnf.alternatives(spark, {f"{q}: {k}": [[[w]] for w in k.split()] for q, _, _, k, _ in rows})
+    hits = cnf.clause_hits(docs, alts)
+    t = analyze.keyword_table(cnf.spans(hits, 2), pieces).distinct()
+    tight = analyze.tightest_combinations(t).cache()
+    queries = analyze.cover_queries(pieces, tight).cache()
+    spans = cnf.group_spans(hits, queries.select("qid", "query_id", "members")).cache()
+
+    def span(members, ws):
+        clauses = [w for m in members for w in m.split(": ")[1].split()]
+        at = [[i for i, x in enumerate(ws) if x == w] for w in clauses]
+        return min((max(c) - min(c) for c in product(*at)), default=None)
+
+    def named(members):
+        return " + ".join(sorted(set(members)))
+
+    want, want_spans = set(), {}
+    for q in words:
+        for d, ws in enumerate(texts):
+            has = {a: sorted({f"{q}: {k}" for k in [a, *words[q][a]] if set(k.split()) <= set(ws)}) for a in words[q]}
+            ways = [v for v in has.values() if v]
+            more = [f"{q}: {k}" for k in assoc[q] if set(k.split()) <= set(ws)]
+            for c in product(*ways, *([more] if more else [])) if ways else ():
+                want.add((q, d, named(c), len(c)))
+    assert {tuple(r) for r in tight.select("qid", "doc_id", "query_id", "score").collect()} == want
+
+    made = {(r.qid, r.query_id): (r.members, r.type) for r in queries.collect()}
+    cands = set()
+    for q in words:
+        every = {a: [f"{q}: {k}" for k in [a, *words[q][a]]] for a in words[q]}
+        keys, more = [k for v in every.values() for k in v], [f"{q}: {k}" for k in assoc[q]]
+        cands |= {(q, named(m)) for m in [[k] for k in keys + more] + [[k, m] for k in keys for m in more] + [[f"{q}: {a}" for a in words[q]]]}
+        cands |= {(q, named([x, y])) for a, b in combinations(every, 2) for x in every[a] for y in every[b]}
+    assert set(made) == cands | {(q, n) for q, _, n, _ in want}
+    assert {k for k, (_, type_) in made.items() if type_ != "tightest"} == cands
+    for (q, n), (members, _) in made.items():
+        for d, ws in enumerate(texts):
+            if (s := span(members, ws)) is not None:
+                want_spans[q, n, d] = s
+    assert {(r.qid, r.query_id, r.doc_id): r.span for r in spans.collect()} == want_spans
+
+    counted = {(r.qid, r.query_id): (r.docs, r.engine) for r in analyze.tightest_counts(tight, spans, 5).collect()}
+    near = {(q, n): sum(1 for (q2, n2, _), s in want_spans.items() if (q2, n2) == (q, n) and s <= 5) for q, n in made}
+    assert counted == {(q, n): (sum(1 for x in want if (x[0], x[2]) == (q, n)), near[q, n]) for q, n in {(x[0], x[2]) for x in want}}
+    relevant = t.where("role = 'key'").groupBy("qid", "doc_id").agg(F.count_distinct("aspect").alias("a")).where("a >= 2").select("qid", "doc_id").cache()
+    covering = analyze.cover_candidates(queries, spans, tight, relevant, 5).join(queries, ["qid", "query_ix"])
+    good = {tuple(r) for r in relevant.collect()}
+    assert {(r.qid, r.query_id, r.doc_id, r.engine) for r in covering.collect()} == {(q, n, d, near[q, n]) for q, n, d in {k for k, s in want_spans.items() if s <= 5 and k[:2] in cands} | {(q, n, d) for q, d, n, _ in want} if (q, d) in good}
