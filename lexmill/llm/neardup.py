@@ -25,9 +25,9 @@ from lexmill.plans.shared import col, cut
 
 _WORDS = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Components of a block, and blocks: 1 - (1 - 0.6^4)^56 = 0.9996 of the pairs at similarity 0.6, 0.99998 at 0.65. Of
+#: Components of a block, and blocks: 1 - (1 - 0.6^4)^64 = 0.99986 of the pairs at similarity 0.6, 0.999997 at 0.65. Of
 #: unrelated records, which share some turns of phrase, four components are ten times less often equal than three.
-BLOCK_SIZE, BLOCKS = 4, 56
+BLOCK_SIZE, BLOCKS = 4, 64
 #: Components of which one bit each goes along with a block, for a first look at the distance where two blocks meet.
 SKETCH = 64
 
@@ -155,10 +155,11 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, n: int = 5, least
     classes = cut(classes.withColumn("uid", F.monotonically_increasing_id()), "neardup-classes")
 
     keyed = classes.select("uid", "fp").mapInArrow(lambda it: _block_batches(it, r, blocks), "key long, uid long, bits long")
-    # 3.7 standard deviations above the bits that differ on average in a pair at the threshold: of those pairs, 1 in 9,000 has more
+    # 4.5 standard deviations above the bits that differ on average in a pair at the threshold: at 0.6 that is 27 of 64 bits, and
+    # by the binomial distribution 0.000014 of those pairs have more
     differ = (1 - least) / 2
     bits = min(SKETCH, m)
-    bits_most = int(bits * differ + 3.7 * (bits * differ * (1 - differ)) ** 0.5)
+    bits_most = int(bits * differ + 4.5 * (bits * differ * (1 - differ)) ** 0.5)
     met = keyed.toDF("key", "a", "bits_a").join(keyed.toDF("key", "b", "bits_b"), "key").where("a < b")
     pairs = met.where(F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= bits_most).select("a", "b").distinct()
     prints_a, prints_b = (classes.select(F.col("uid").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")

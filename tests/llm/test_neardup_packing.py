@@ -143,3 +143,15 @@ def test_documents_are_split_only_if_too_large(spark):
         load[r["container"]] = load.get(r["container"], 0) + r["n_tokens"]
     assert max(load.values()) <= 100
     assert packing.pack_documents(df.limit(0), 100).count() == 0
+
+
+def test_the_first_look_keeps_pairs_at_the_threshold(spark):
+    """Pairs at similarity 0.61 of which 25 to 27 of the 64 bits differ, in fingerprints of 224 or of 256 components."""
+    docs = []
+    for seed in (5847, 7354, 7934, 4038, 4170, 4559, 11741):
+        rng = random.Random(seed)
+        w = [f"w{rng.randrange(10**6)}" for _ in range(74)]
+        docs += [(f"{seed:05}a", " ".join(w[:60])), (f"{seed:05}b", " ".join(w[:46] + w[60:]))]
+    df = spark.createDataFrame(docs, "doc_id string, text string")
+    got = {(r["doc_id_a"], r["doc_id_b"]) for r in neardup.similar_pairs(df, "doc_id", "text", 3, 0.6, 20).collect()}
+    assert got == {(a, b) for (a, _), (b, _) in zip(docs[::2], docs[1::2])}
