@@ -39,6 +39,12 @@ def _joined(text: str, at: int) -> bool:
     return unicodedata.combining(text[at]) != 0 or text[at] in "\u200d\ufe0e\ufe0f" or text[at - 1] == "\u200d" or (text[at] == "\n" and text[at - 1] == "\r")
 
 
+def _nearest(places: list[int], a: int, b: int, mid: int) -> int | None:
+    """The one of ``places`` between ``a`` and ``b`` that is nearest to ``mid``."""
+    i = bisect_left(places, mid)
+    return min((p for p in places[max(0, i - 1) : i + 1] if a < p < b), key=lambda p: abs(p - mid), default=None)
+
+
 def cut_points(text: str, size: int, reach: float = 0.25) -> list[int]:
     """Rising cut positions that leave parts of at most ``size`` characters."""
     places, strength = boundaries(text)
@@ -51,7 +57,9 @@ def cut_points(text: str, size: int, reach: float = 0.25) -> list[int]:
         lo, hi = bisect_left(places, max(a + 1, mid - far)), bisect_left(places, min(b, mid + far + 1))
         if lo < hi:
             at = places[max(range(lo, hi), key=lambda i: (strength[i], -abs(places[i] - mid)))]
-        else:  # no boundary near the midpoint: within a word, but not within a character
+        elif (near := _nearest(places, a, b, mid)) is not None:  # none near the midpoint, but one further out
+            at = near
+        else:  # no boundary in the whole part: within a word, but not within a character
             at = mid
             while at > a + 1 and _joined(text, at):
                 at -= 1

@@ -118,3 +118,14 @@ def test_pieces_of_a_table(spark):
     assert sum(r["doc_id"] == "a" for r in out) == len(splitting.split_text("x" * 30, 10, 2))
     assert splitting.split_passages(df.limit(0), limits).count() == 0
     assert splitting.split_oversized(df, "doc_id", ["segment"], {}).count() == 0
+
+
+def test_a_boundary_far_from_the_midpoint_is_taken():
+    """A run of 700 characters amid words: only a run that fits no piece is cut within."""
+    text = "word " * 60 + "x" * 700 + " word" * 60
+    cuts = splitting.cut_points(text, 1000)
+    assert cuts and all(text[c - 1] == " " for c in cuts)
+    run = text.index("x")
+    inside = [c for c in splitting.cut_points(text, 500) if run < c < run + 700]
+    assert inside == [run + 350]
+    assert all(text[c - 1] == " " for c in splitting.cut_points(text, 500) if c not in inside)
