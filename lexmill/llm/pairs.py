@@ -42,6 +42,10 @@ REFUSALS = (
     "je suis désolé", "désolé, je", "désolée, je", "je ne peux", "je ne suis pas", "il m'est impossible", "malheureusement, je", "malheureusement je", "je dois refuser", "en tant qu'assistant", "impossible de fournir",
     "lo siento", "no puedo", "no me es posible", "por desgracia no", "por desgracia, no", "lamentablemente", "debo rechazar", "como asistente", "no estoy en condiciones", "disculpa, pero", "perdón, pero",
     "mi dispiace", "non posso", "purtroppo", "desculpe", "sinto muito", "não posso", "não é possível", "infelizmente", "het spijt me", "ik kan niet", "ik kan geen", "helaas kan", "извините", "к сожалению", "я не могу", "не могу помочь", "przykro mi", "nie mogę", "niestety",
+    "jag är ledsen", "tyvärr kan jag", "jag kan inte", "jag kan tyvärr", "beklager, men", "jeg kan ikke", "jeg kan desværre", "desværre kan jeg", "dessverre kan jeg", "olen pahoillani", "valitettavasti en", "en voi auttaa",
+    "omlouvám se", "bohužel nemohu", "nemohu vám", "üzgünüm", "ne yazık ki", "yardımcı olamam", "sajnálom, de", "sajnos nem", "nem tudok segíteni", "îmi pare rău", "nu pot să", "на жаль", "я не можу", "вибачте", "λυπάμαι", "δεν μπορώ να",
+    "maaf, saya", "saya tidak dapat", "saya tidak bisa", "tôi xin lỗi", "rất tiếc", "tôi không thể", "آسف", "عذرا", "عذرًا", "لا أستطيع", "لا يمكنني", "मुझे खेद है", "मुझे माफ़", "क्षमा करें",
+    "抱歉", "对不起", "對不起", "很遗憾", "很遺憾", "我不能", "我无法", "我無法", "申し訳", "お答えできません", "できかねます", "죄송", "할 수 없습니다", "도와드릴 수 없",
 )
 #: Openings that end a list item where a refusal was cut at its comma.
 REFUSAL_OPENINGS = frozenset("sorry|i'm sorry|i am sorry|unfortunately|leider|es tut mir leid|tut mir leid|je suis désolé|je suis désolée|désolé|malheureusement|lo siento|por desgracia|lamentablemente".split("|"))
@@ -55,6 +59,8 @@ OPENERS, CLOSERS = {"(": ")", "[": "]", "{": "}", "«": "»", "“": "”", "„
 
 _SPACES = re.compile("[\\s\u00a0\u200b\ufeff]+")
 _WORDS = re.compile(r"[^\W_]+")
+#: Letters of scripts that are written without blanks.
+_UNSPACED = re.compile("[\u3040-\u30ff\u3400-\u9fff]")
 
 
 class SuffixAutomaton:
@@ -137,7 +143,30 @@ def is_refusal(term: str, automaton) -> bool:
     if low.strip(" .,!") in REFUSAL_OPENINGS:
         return True
     starts = [end - n + 1 for end, n in automaton.iter(low)]
-    return bool(starts) and len(words_of(low)) >= 4
+    return bool(starts) and (len(words_of(low)) >= 4 or len(_UNSPACED.findall(low)) >= 8)
+
+
+def is_broken_refusal(said: list[str], automaton) -> bool:
+    """Whether list items are one refusal that was cut at its commas.
+
+    The first must be an opening, or a phrase that is no opening, alone or after one; there must be such a phrase, and more
+    than half of the words must be inside a phrase or follow one in their item. A list of keywords about refusals has its
+    own words from the first item on, or in between.
+    """
+    low = ", ".join(said).lower()
+    hits = [(end - n + 1, end + 1) for end, n in automaton.iter(low)]
+    first = said[0].lower()
+    core = [b for a, b in hits if not low[a:b].startswith(tuple(REFUSAL_OPENINGS))]
+    opened = first.startswith(tuple(REFUSAL_OPENINGS)) or any(a == 0 and b >= len(first.rstrip(" .,!")) for a, b in hits)
+    if not core or not opened or (first.strip(" .,!") not in REFUSAL_OPENINGS and min(core) > len(first)):
+        return False
+    ends, at = [], -2
+    for t in said:
+        at += len(t.lower()) + 2
+        ends.append(at)
+    inside = [(a, next(e for e in ends if e >= b)) for a, b in hits]
+    at_words = [m.start() for m in _WORDS.finditer(low)]
+    return 2 * sum(any(a <= w < e for a, e in inside) for w in at_words) > len(at_words)
 
 
 def unclosed(term: str) -> bool:
@@ -211,7 +240,7 @@ def read_pair(prompt, entities, associated, later_empty: bool, automaton) -> tup
     said = terms or keys
     refusing = [is_refusal(t, automaton) for t in said] if not terms else [is_refusal(t, automaton) for t in terms]
     joined = is_refusal(", ".join(said), automaton) if said and len(said) <= 3 else False
-    if said and (all(refusing) or (joined and sum(refusing) * 2 >= len(said)) or (len(said) <= 4 and is_refusal(said[0], automaton) and joined)):
+    if said and (all(refusing) or (joined and sum(refusing) * 2 >= len(said)) or (joined and refusing[0]) or (len(said) > 3 and is_broken_refusal(said, automaton))):
         return "refusal", lang, p_words, e_words, a_words, None
     if not terms:
         return "empty", lang, p_words, e_words, a_words, None

@@ -129,3 +129,23 @@ def test_a_boundary_far_from_the_midpoint_is_taken():
     inside = [c for c in splitting.cut_points(text, 500) if run < c < run + 700]
     assert inside == [run + 350]
     assert all(text[c - 1] == " " for c in splitting.cut_points(text, 500) if c not in inside)
+
+
+@pytest.mark.parametrize(
+    ("said", "refused"),
+    [
+        (["I'm sorry", "but I cannot", "as an assistant", "help with that"], True),
+        (["Leider", "kann ich nicht", "als Assistent", "dabei helfen"], True),
+        (["I'm sorry", "but I can't help with that", "as an assistant", "at this time", "please ask something else"], True),
+        (["申し訳ありませんが、そのご質問にはお答えできません"], True),
+        (["Jag är ledsen", "men jag kan inte hjälpa till med det"], True),
+        (["I'm sorry card", "letter of regret", "cannot attend", "sorry note", "unable to come"], False),
+        (["I'm sorry", "I am sorry", "apology", "forgiveness"], False),
+        (["Unfortunately", "I cannot", "as an assistant", "help with that"], True),
+        (["I can't sleep", "I can't breathe", "I won't eat", "I cannot walk"], False),
+        (["heat pump", "I cannot provide keyword expansions for this query.", "power grid", "coal mine", "insulation"], False),
+    ],
+)
+def test_a_refusal_in_pieces(said, refused):
+    read = pairs.read_pair("heat pump cost", {"x": said}, None, False, pairs._refusal_automaton())
+    assert (read[0] == "refusal") is refused
