@@ -68,6 +68,21 @@ def with_skeleton(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInPandas(each, f"doc_id {kind}, skeleton string, text_key binary, blank boolean")
 
 
+def consistent_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, text``: the composed skeleton of each document's text, blank ones included; a row delivered twice is one.
+
+    Texts that look the same come out the same, and the result of a result is itself.
+    """
+    rows = df.select(col(id_col).alias("doc_id"), col(text_col).alias("text")).where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).distinct()
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = prototypes()
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text": [unicodedata.normalize("NFC", skeleton(t, table)) for t in b["text"]]})
+
+    return rows.mapInPandas(each, rows.schema)
+
+
 def look_alike_forms(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, look, text_key``: documents with equal ``look`` have texts equal to the eye. Blank texts are left out."""
     made = with_skeleton(df, id_col, text_col).where("NOT blank")

@@ -93,8 +93,12 @@ def p8_groups(spark, d):
     return lookalikes.look_alike_groups(_t(spark, d, "documents"))
 
 
+def p8_forms(spark, d):
+    return lookalikes.consistent_texts(_t(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = (p1_found, p2_found, p2_terms, p3_found, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_containers, p7_found, p7_shares, p7_drawn, p8_found, p8_groups)
+    names = (p1_found, p2_found, p2_terms, p3_found, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_containers, p7_found, p7_shares, p7_drawn, p8_found, p8_groups, p8_forms)
     return {f.__name__: f for f in names}
 
 
@@ -146,6 +150,7 @@ def oracle_sql() -> dict[str, str]:
         "p8_groups": f"""
             WITH t AS (SELECT doc_id, text, {_looks()} look FROM documents WHERE text IS NOT NULL), g AS (SELECT look, min(doc_id) group_id, count(DISTINCT text) n_forms FROM t WHERE regexp_matches(look, '[^\\s]') GROUP BY look)
             SELECT DISTINCT doc_id, group_id, n_forms FROM t JOIN g USING (look)""",
+        "p8_forms": f"SELECT doc_id, {_looks()} AS text FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)",
         "p1_found": """
             WITH e AS (
                 SELECT qid, 'biencoder_ranked' stage, unnest(biencoder_ranked) x FROM rerank_results

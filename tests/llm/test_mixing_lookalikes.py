@@ -113,3 +113,14 @@ def test_pairs_and_groups_against_all_pairs(spark):
     groups = {r["doc_id"]: (r["group_id"], r["n_forms"]) for r in lookalikes.look_alike_groups(df).collect()}
     assert groups == {i: (min(j for j in solid if looks[j] == looks[i]), len({text[j] for j in solid if looks[j] == looks[i]})) for i in solid}
     assert lookalikes.look_alike_pairs(df.limit(0)).count() == 0
+
+
+def test_consistent_texts_of_all_documents(spark):
+    """Every document has one text, blank ones too; equal looks give equal texts, and again the same."""
+    rows = [(1, "café price"), (2, "café price"), (3, "сafé ｐrice​"), (4, "cafe price"), (5, " ​"), (6, ""), (7, None), (1, "café price")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lookalikes.consistent_texts(df)
+    out = {r["doc_id"]: r["text"] for r in got.collect()}
+    assert got.count() == 6
+    assert out == {1: "café price", 2: "café price", 3: "café price", 4: "cafe price", 5: " ", 6: ""}
+    assert {r["doc_id"]: r["text"] for r in lookalikes.consistent_texts(got).collect()} == out
