@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexmill.functions import numbers
-from lexmill.operators import analyze, cnf, evaluate, index, lm, vectors
+from lexmill.operators import analyze, cnf, evaluate, lm, vectors
 from lexmill.plans.boolean_queries import _PAIRS, _SP, _docs, _piece_hits, _piece_spans
 from lexmill.plans.ranking_queries import _OUTCOME, _RUNS, _rounded, stage_runs
 from lexmill.plans.registry import SQL_PIECES, SQL_WORDS, lower_pieces, query, table
@@ -263,11 +263,8 @@ def beam_d3(spark, d):
 
 
 def _word_vectors(spark, d):
-    """A vector of each word without training: the share of each source among its occurrences."""
-    docs = table(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("none")).alias("source"))
-    names = ["webcrawl", "forum", "newswire", "encyclopedia", "runlog", "manual", "keyword_dump", "none"]
-    w = index.positions(_docs(spark, d)).join(docs, "doc_id").groupBy("tok").agg(*[F.count_if(F.col("source") == s).cast("double").alias(s) for s in names])
-    return w.select("tok", F.array(*names).alias("embedding"))
+    """``tok, embedding`` of every word that occurs often enough to be trained."""
+    return vectors.vectors_of(vectors.word_vectors(_docs(spark, d))).select(F.col("word").alias("tok"), F.col("vector").alias("embedding"))
 
 
 @query()
@@ -276,7 +273,7 @@ def tree_cosine(spark, d):
     v = cut(_word_vectors(spark, d), "word-vectors")
     t = cut(lm.expansion_tree(_bigrams(spark, d), "heat", 3, 3), "tree")
     goal = v.where("tok = 'pump'").select(F.col("embedding").alias("target"))
-    nodes = t.join(v, t["last"] == v["tok"]).select("path", "depth", "parent", "embedding").crossJoin(F.broadcast(goal))
+    nodes = t.join(v, t["last"] == v["tok"], "left").select("path", "depth", "parent", "embedding").crossJoin(F.broadcast(goal))
     change = cut(lm.similarity_change(nodes), "change")
     best = lm.top_leaf_paths(change.join(t.select("path", "parent"), "path").select("path", "parent", "cos"), 5)
     return change.join(best.select("path").distinct().withColumn("on_best", F.lit(True)), "path", "left").select(F.array_join("path", " ").alias("path"), "depth", "cos", "delta", F.coalesce("on_best", F.lit(False)).alias("on_best"))
@@ -304,7 +301,7 @@ def pca_projection(spark, d):
 
 @query()
 def word2vec(spark, d):
-    return vectors.word_vectors(_docs(spark, d)).getVectors().selectExpr("word")
+    return vectors.vectors_of(vectors.word_vectors(_docs(spark, d)))
 
 
 @query(f"WITH {SQL_WORDS} SELECT tok, count(*) tf FROM tok WHERE doc_id IN (SELECT doc_id FROM documents WHERE trim(coalesce(text, '')) <> '') GROUP BY tok")

@@ -263,3 +263,30 @@ def test_tightest_queries_against_all_combinations(spark):
     covering = analyze.cover_candidates(queries, spans, tight, relevant, 5).join(queries, ["qid", "query_ix"])
     good = {tuple(r) for r in relevant.collect()}
     assert {(r.qid, r.query_id, r.doc_id, r.engine) for r in covering.collect()} == {(q, n, d, near[q, n]) for q, n, d in {k for k, s in want_spans.items() if s <= 5 and k[:2] in cands} | {(q, n, d) for q, d, n, _ in want} if (q, d) in good}
+
+
+def test_word_vectors_are_whole_and_tell_contexts_apart(spark):
+    """200 dimensions for every frequent word; words of one context are nearer than words of two."""
+    from lexmill.operators import vectors
+
+    rng = random.Random(9)
+    groups = [[f"{g}{i}" for i in range(6)] for g in "ab"]
+    docs = spark.createDataFrame([([rng.choice(groups[i % 2]) for _ in range(30)] + ["rare"] * (i == 0),) for i in range(400)], "ws array<string>")
+    v = {r["word"]: r["vector"] for r in vectors.vectors_of(vectors.word_vectors(docs)).collect()}
+    assert set(v) == {w for g in groups for w in g} and {len(x) for x in v.values()} == {200}
+
+    def cos(a, b):
+        return sum(x * y for x, y in zip(v[a], v[b])) / math.sqrt(sum(x * x for x in v[a]) * sum(y * y for y in v[b]))
+
+    assert min(cos("a0", w) for w in groups[0][1:]) > max(cos("a0", w) for w in groups[1])
+
+
+def test_word2vec_has_each_word_with_its_vector(spark):
+    from tests.compare import DATA
+
+    if not (DATA / "sf0.001").exists():
+        pytest.skip("the test tables are not here")
+    from lexmill import queries as core
+
+    got = core.queries()["word2vec"](spark, str(DATA / "sf0.001"))
+    assert got.columns == ["word", "vector"] and got.where(F.size("vector") == 200).count() == got.count() > 0
