@@ -23,9 +23,9 @@ def test_suffix_automaton_against_all_substrings():
         prompt = [rng.choice("abc") for _ in range(rng.randrange(0, 9))]
         words = [rng.choice("abcd") for _ in range(rng.randrange(0, 9))]
         sam = pairs.SuffixAutomaton(prompt)
-        assert sam.longest_matches(words) == runs(prompt, words)
-        whole = bool(words) and any(prompt[i : i + len(words)] == words for i in range(len(prompt)))
-        assert sam.covered(words) == (len(words) if whole else 0)
+        longest = runs(prompt, words)
+        assert list(sam.longest_matches(words)) == longest
+        assert sam.covered(words) == len({k for i, n in enumerate(longest) for k in range(i + 1 - n, i + 1)})
 
 
 @pytest.mark.parametrize(("term", "open_"), [("a (b)", False), ("a (b", True), ('say "x"', False), ('say "x', True), ("«a", True), ("a)", False), ("", False)])
@@ -64,13 +64,76 @@ def test_each_defect(spark):
         (13, None, {"heat pump": ["cost of heat pump"]}, ["power grid"], None),
         (14, "", {"heat pump": ["cost of heat pump"]}, ["power grid " * 5000], V),
         (15, "heat pump cost", {"x": ["heat pump survey", "I cannot provide keyword expansions for this query."]}, ["power grid", "coal mine", "insulation"], V),
-        (16, "what is the heat pump cost", {"heat pump": ["heat pump", "cost of heat pump", "power grid"], "power grid": ["power grid", "insulation Zumrab"]}, None, None),
+        (16, "what is the heat pump cost", {"heat pump": ["heat pump", "cost of power grid"], "power grid": ["insulation survey"]}, None, None),
         (17, "what is the heat pump cost", {"heat pump": ["heat pump", "cost of heat pump", "power grid"], "power grid": ["power grid", "insulation Zumrab"]}, None, V),
         (18, "what is the heat pump cost", {"heat pump": ["тепловой насос", "цена насоса"]}, ["сеть", "power grid"], V),
         (19, "what is the heat pump cost", {"heat pump": ["heat pump", "cost of heat pump", "насос"]}, ["power grid", "coal mine"], V),
     ]
     got, others = found(spark, [*rows, rows[0], (None, "a", None, None, None)])
-    assert got == {1: "empty", 2: "empty", 3: "refusal", 4: "refusal", 5: None, 6: "copied", 7: "truncated", 8: "truncated", 9: None, 10: "other_language", 11: "other_language", 12: None, 13: None, 14: None, 15: None, 16: "truncated", 17: None, 18: "other_language", 19: None}
+    assert got == {1: "empty", 2: "empty", 3: "refusal", 4: "refusal", 5: None, 6: "copied", 7: "truncated", 8: "truncated", 9: None, 10: "other_language", 11: "other_language", 12: None, 13: None, 14: None, 15: None, 16: None, 17: None, 18: "other_language", 19: None}
+    assert others == {None}
+
+
+REFUSALS = [
+    ["I'm sorry", "but I cannot", "as an assistant", "help with that"],
+    ["We are not able to give such a list."],
+    ["Unfortunately this is not something that can be listed."],
+    ["Ich kann Ihnen hierzu leider keine Auskunft geben."],
+    ["Tyvärr kan jag inte hjälpa till med det här."],
+    ["Jag får inte svara på den frågan."],
+    ["Mi dispiace, non posso rispondere a questa domanda."],
+    ["Infelizmente", "não consigo responder a isso."],
+    ["Helaas kan ik deze vraag niet beantwoorden."],
+    ["Przykro mi, ale nie mogę odpowiedzieć."],
+    ["К сожалению, я не могу помочь с этим запросом."],
+    ["很抱歉，我无法提供这些词语。"],
+    ["申し訳ありませんが、その質問にはお答えできません。"],
+    ["Üzgünüm, bu konuda yardımcı olamam."],
+    ["Saya tidak dapat membantu permintaan ini."],
+    ["Sajnálom, de ebben nem tudok segíteni."],
+    ["Is oth liom nach féidir liom freagra a thabhairt."],  # a language without marks: a whole sentence in the place of terms
+]
+NO_REFUSALS = [
+    ["sorry note", "cannot attend", "unable to come", "I'm sorry card"],
+    ["I'm sorry", "my apologies", "regret letter"],
+    ["how to say no", "refusing an offer politely", "declining an invitation"],
+    ["heat pump not working", "pump will not start in winter", "cannot turn off the heat pump"],
+    ["Nichts ist unmöglich", "Wärmepumpe ohne Strom"],
+]
+
+
+def test_refusals_are_known_by_their_marks():
+    marks = pairs.Marks()
+    for said in REFUSALS[:-1]:
+        assert pairs.is_refusal(said, marks), said
+    for said in NO_REFUSALS:
+        assert not pairs.is_refusal(said, marks), said
+    own = ["warum kann ich nicht schlafen"]
+    assert not pairs.is_refusal(own, marks, frozenset(own))
+
+
+def test_adversarial_pairs(spark):
+    sound = {"heat pump": ["cost of heat pump", "heat pump survey"], "power grid": ["power grid", "insulation"]}
+    rows = [(i, "what is the heat pump cost", {"x": said}, None, None) for i, said in enumerate(REFUSALS)]
+    want = dict.fromkeys(range(len(REFUSALS)), "refusal")
+    more = [
+        ("heat pump cost in oslo", {"x": ["cost heat pump", "oslo cost"]}, ["pump oslo"], "copied"),  # in another order
+        ("best heat pump cost in oslo", {"x": ["heat pump cost", "best heat pump"]}, ["in oslo", "heat pump", "cost", "price"], "copied"),  # but for one word in eleven
+        ("heat pump cost", {"x": ["heat pump price", "heat pump survey"]}, None, None),  # two thirds
+        ("what is the heat pump cost", {"a": ["cost of heat pump", "insulation"], "b": ["power grid"]}, None, None),  # a sound short list
+        ("what is the heat pump cost", sound, ["heat pump price (especially"], "truncated"),
+        ("what is the heat pump cost", sound, ["insulation survey", "supply of irrig"], "truncated"),
+        ("what is the heat pump cost", {**sound, "z": ["supply of irrig"]}, ["insulation survey", "power grid policy"], None),  # odd, but not the end
+        ("warum kann ich nicht schlafen", {"x": ["warum kann ich nicht schlafen"]}, None, "copied"),
+        ("what is the heat pump cost", {"x": ["costo della pompa di calore", "prezzo per la rete", "storia della pompa"]}, ["qualità della rete", "mancanza di energia nel paese"], "other_language"),  # no prompt is in this language
+        ("cycling races of the world", {"x": ["Tour de France", "Vuelta a España", "Giro d'Italia"]}, ["stage race", "power grid"], None),
+    ]
+    for k, (prompt, e, a, defect) in enumerate(more, 100):
+        # what follows the answer in other fields makes no difference
+        rows += [(k, prompt, e, a, None), (k + 100, prompt, e, a, V)]
+        want[k] = want[k + 100] = defect
+    got, others = found(spark, rows)
+    assert got == want
     assert others == {None}
 
 
@@ -147,5 +210,5 @@ def test_a_boundary_far_from_the_midpoint_is_taken():
     ],
 )
 def test_a_refusal_in_pieces(said, refused):
-    read = pairs.read_pair("heat pump cost", {"x": said}, None, False, pairs._refusal_automaton())
+    read = pairs.read_pair("heat pump cost", {"x": said}, None, pairs.Marks(), 0.9, 3, 0.25)
     assert (read[0] == "refusal") is refused
