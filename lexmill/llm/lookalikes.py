@@ -8,6 +8,7 @@ super- and subscripts, digits and the number of spaces stay.
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -18,11 +19,36 @@ from pyspark.sql import functions as F
 
 from lexmill.plans.shared import col, cut, if_small
 
-# Letters of other scripts and the Latin letters that they look like, in the same order.
-CYRILLIC = ("асԁеһіјӏорԛѕԝхуѵАВСЕԌНІЈКМОРԚЅТԜХУҮӀѴ", "acdehijlopqswxyvABCEGHIJKMOPQSTWXYYIV")
-GREEK = ("ανορϲϳιΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "avopcjiABEZHIKMNOPTYXCJ")
-ARMENIAN = ("օոսհցզՕՏՍ", "onuhgqOSU")
-LATIN = ("ɡɑɩ", "gai")
+# Letters of other scripts and the Latin letters that they look like, in the same order, after the single-letter pairs
+# of the public confusables data for security mechanisms (UTS 39) that common fonts draw alike.
+LOOK_ALIKES = {
+    "Cyrillic": ("асԁеһіјӏорԛѕԝхуѵүАВСЕԌНІЈКМОРԚЅТԜХУҮӀѴ", "acdehijlopqswxyvyABCEGHIJKMOPQSTWXYYIV"),
+    "Greek": ("ανορϲϳιΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿϜϺ", "avopcjiABEZHIKMNOPTYXCJFM"),
+    "Armenian": ("օոսհցզյՕՏՍ", "onuhgqjOSU"),
+    "Coptic": ("ⲟⲣⲥⲂⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲌ", "opcBHIKMNOPCTYXZ"),
+    "Cherokee": ("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃᎥ", "ABCDEGHJKLMPRSTVWZi"),
+    "Lisu": ("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ"),
+    "Deseret and Osage": ("𐐄𐐬𐓂𐓪", "OoOo"),
+    "Latin": ("ɡɑɩıȷᴄᴏꜱᴠᴡᴢⅠⅤⅩⅬⅭⅮⅯⅰⅴⅹⅼⅽⅾⅿ", "gaiijcosvwzIVXLCDMivxlcdm"),
+}
+
+# Format characters that are seen: signs over or around numbers, marks of abbreviation, annotations, overrides of the
+# direction, joints of hieroglyphs.
+SEEN = (*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x202D, 0x202E, *range(0xFFF9, 0xFFFC), 0x110BD, 0x110CD, *range(0x13430, 0x13440))
+# Characters without a width that are not of the category of formats: joiners, fillers and variation selectors.
+UNSEEN = (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0))
+
+_PICTURE = "\u2190-\u2bff\u3030\u303d\u3297\u3299\U0001f000-\U0001faff"
+#: Where such characters change what is seen: joiners within scripts whose letters join, selectors of a letter's or a picture's form,
+#: joined pictures, the letters of a flag.
+_CHANGES = re.compile(
+    "(?<=[\u0600-\u08ff\u0900-\u0dff\u1000-\u109f\u1780-\u17ff\u1800-\u18af])[\u200c\u200d]+"
+    "|(?<=[\u1820-\u18aa])[\u180b-\u180f]"
+    "|(?<=[\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])[\ufe00-\ufe02\U000e0100-\U000e01ef]"
+    f"|(?<=[0-9#*])\ufe0f(?=\u20e3)|(?<=[{_PICTURE}])[\ufe0e\ufe0f]?\u200d(?=[{_PICTURE}])|(?<=[{_PICTURE}])[\ufe0e\ufe0f]"
+    "|(?<=\U0001f3f4)[\U000e0020-\U000e007e]+\U000e007f"
+)
+_MAY_CHANGE = re.compile("[\u180b-\u180f\u200c\u200d\ufe00-\ufe0f\U000e0020-\U000e01ef]")
 
 
 def prototypes() -> dict[int, str]:
@@ -33,22 +59,30 @@ def prototypes() -> dict[int, str]:
         kind, form = unicodedata.category(ch), unicodedata.decomposition(ch)
         if kind == "Zs":
             table[code] = " "
-        elif kind == "Cf":
+        elif kind == "Cf" and code not in SEEN:
             table[code] = ""
         elif form.startswith(("<wide>", "<narrow>")):
             table[code] = "".join(chr(int(x, 16)) for x in form.split()[1:])
-    # invisible though not of the category Cf: joiners, fillers and variation selectors
-    for code in (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)):
-        table[code] = ""
-    for strange, plain in (CYRILLIC, GREEK, ARMENIAN, LATIN):
+    table.update(dict.fromkeys(UNSEEN, ""))
+    for strange, plain in LOOK_ALIKES.values():
         table.update(zip(map(ord, strange), plain, strict=True))
     return table
 
 
 def skeleton(text: str, table: dict[int, str]) -> str:
+    """The text decomposed, replaced by prototypes, decomposed again; characters without a width stay where they change what is seen."""
     if text.isascii():  # has no decomposition, and its characters are their own prototypes
         return text
-    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(table))
+    text = unicodedata.normalize("NFD", text)
+    if _MAY_CHANGE.search(text) is None:
+        made = text.translate(table)
+    else:
+        parts, at = [], 0
+        for m in _CHANGES.finditer(text):
+            parts += [text[at : m.start()].translate(table), m.group()]
+            at = m.end()
+        made = "".join(parts) + text[at:].translate(table)
+    return unicodedata.normalize("NFD", made)
 
 
 def with_skeleton(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

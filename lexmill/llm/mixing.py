@@ -17,6 +17,8 @@ from lexmill.plans.shared import col, cut
 
 #: Hash cells into which a source's documents fall for the fractional round.
 CELLS = 4096
+#: Amounts that differ by less than this share are equal: shares of a mix add up to 1 only up to rounding.
+EQUAL = 1e-9
 
 
 def water_fill(targets: Sequence[float], caps: Sequence[float], total: float) -> list[float]:
@@ -42,18 +44,18 @@ def mix_plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """``mix_id, source, target_share, max_repeats, source_tokens, total_tokens, short, planned_tokens, rounds, fraction``.
 
     A row for each row of ``targets``. The size of a mix is that of all documents together (those of sources that no
-    mix names, or of none, included). ``short`` says that a source misses its target even when repeated fully.
-    Planned on the driver from one number for each named source: ``targets`` is a table of settings.
+    mix names, or of none, included). ``short`` says that the filling gives a source less than its target share, even though
+    it repeats it fully. Planned on the driver from one number for each named source: ``targets`` is a table of settings.
     """
     spark = sized.sparkSession
     named = targets.where("mix_id IS NOT NULL AND source IS NOT NULL").groupBy("mix_id", "source").agg(F.sum(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
-    sources = named.select("source").distinct()
+    named = named.collect()
     per = sized.groupBy("source").agg(F.sum("n_tokens").alias("n"))
     total = per.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    size = {r["source"]: r["n"] for r in per.join(F.broadcast(sources), "source").collect()}
+    size = {r["source"]: r["n"] for r in per.where(F.col("source").isin({r["source"] for r in named})).collect()}
     rows = []
     mixes: dict[int, list] = {}
-    for r in named.collect():
+    for r in named:
         mixes.setdefault(r["mix_id"], []).append(r)
     for mix, parts in sorted(mixes.items()):
         parts.sort(key=lambda r: r["source"])
@@ -63,7 +65,7 @@ def mix_plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
         for r, n, cap, g in zip(parts, own, caps, given):
             epochs = min(g / n, r["max_repeats"]) if n else 0.0
             whole = int(epochs + 1e-9)
-            rows.append((mix, r["source"], r["target_share"], r["max_repeats"], n, total, cap < r["target_share"] * total, g, whole, max(0.0, epochs - whole)))
+            rows.append((mix, r["source"], r["target_share"], r["max_repeats"], n, total, g < r["target_share"] * total * (1 - EQUAL), g, whole, max(0.0, epochs - whole)))
     return spark.createDataFrame(rows, "mix_id int, source string, target_share double, max_repeats int, source_tokens long, total_tokens long, short boolean, planned_tokens double, rounds int, fraction double")
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from unicodedata import normalize
+from unicodedata import lookup, normalize
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,8 +73,7 @@ def p6_containers(spark, d):
 
 
 def p7_found(spark, d):
-    _, report = mixing.mix(_sized(spark, d), _t(spark, d, "mix_targets"))
-    return report.where("short").select("mix_id", "source")
+    return mixing.mix_plan(_sized(spark, d), _t(spark, d, "mix_targets")).where("short").select("mix_id", "source")
 
 
 def p7_shares(spark, d):
@@ -126,18 +125,29 @@ _SIMILAR = r"""
 """
 
 
+# Look-alike letters of these documents by the ends of their Unicode names, for the SQL alone.
+_NAMED = {
+    "CYRILLIC SMALL LETTER ": {"A": "a", "ES": "c", "KOMI DE": "d", "IE": "e", "SHHA": "h", "BYELORUSSIAN-UKRAINIAN I": "i", "JE": "j", "PALOCHKA": "l", "O": "o", "ER": "p", "QA": "q", "DZE": "s", "WE": "w", "HA": "x", "U": "y", "IZHITSA": "v", "STRAIGHT U": "y"},
+    "CYRILLIC CAPITAL LETTER ": {"A": "A", "VE": "B", "ES": "C", "IE": "E", "EN": "H", "BYELORUSSIAN-UKRAINIAN I": "I", "JE": "J", "KA": "K", "EM": "M", "O": "O", "ER": "P", "QA": "Q", "DZE": "S", "TE": "T", "WE": "W", "HA": "X", "U": "Y", "STRAIGHT U": "Y", "IZHITSA": "V", "KOMI SJE": "G"},
+    "GREEK SMALL LETTER ": {"ALPHA": "a", "NU": "v", "OMICRON": "o", "RHO": "p", "IOTA": "i"},
+    "GREEK CAPITAL LETTER ": {"ALPHA": "A", "BETA": "B", "EPSILON": "E", "ZETA": "Z", "ETA": "H", "IOTA": "I", "KAPPA": "K", "MU": "M", "NU": "N", "OMICRON": "O", "RHO": "P", "TAU": "T", "UPSILON": "Y", "CHI": "X"},
+    "ARMENIAN SMALL LETTER ": {"OH": "o", "VO": "n", "SEH": "u", "HO": "h", "CO": "g", "ZA": "q"},
+    "LATIN SMALL LETTER ": {"SCRIPT G": "g", "ALPHA": "a", "DOTLESS I": "i"},
+}
+
+
 def _looks() -> str:
-    """Skeletons in SQL, for the characters of these documents: composed instead of decomposed, else by the same table."""
-    pairs_ = (lookalikes.CYRILLIC, lookalikes.GREEK, lookalikes.ARMENIAN, lookalikes.LATIN)
+    """Skeletons in SQL, for the characters of these documents: composed instead of decomposed, letters by their names."""
     wide, spaces = range(0xFF01, 0xFF5F), "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
-    strange = "".join(a for a, _ in pairs_) + "".join(map(chr, wide)) + spaces
-    plain = "".join(b for _, b in pairs_) + "".join(chr(c - 0xFEE0) for c in wide) + " " * len(spaces)
+    letters = {lookup(script + name): plain for script, names in _NAMED.items() for name, plain in names.items()}
+    strange = "".join(letters) + "".join(map(chr, wide)) + spaces
+    plain = "".join(letters.values()) + "".join(chr(c - 0xFEE0) for c in wide) + " " * len(spaces)
     latin = str.maketrans(strange, plain)
     for c in range(0x370, 0x530):  # look-alike letters stored together with their accents
         made = normalize("NFC", normalize("NFD", chr(c)).translate(latin))
         if len(made) == 1 and made != normalize("NFC", chr(c)) and chr(c) not in strange:
             strange, plain = strange + chr(c), plain + made
-    unseen = r"[\x{AD}\x{34F}\x{61C}\x{180B}-\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}]"
+    unseen = r"[\x{AD}\x{34F}\x{61C}\x{180B}-\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202C}\x{2060}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}]"
     quote = lambda t: "'" + t.replace("'", "''") + "'"
     return f"nfc_normalize(translate(regexp_replace(text, '{unseen}', '', 'g'), {quote(strange)}, {quote(plain)}))"
 
