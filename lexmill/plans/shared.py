@@ -8,6 +8,7 @@ loss of any executor; unlike an RDD checkpoint, it is columnar and compressed.
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -15,23 +16,36 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side is broadcast once it has been counted (fixed-width rows: a few tens of MB at most).
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a side is broadcast: both are known before the hint is given.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
+#: Sizes from here on stand for tables of which the planner knows none: those that the driver has made of a setting.
+_UNKNOWN = 1 << 50
 
 _OWN: dict[str, str] = {}
 _MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where that setting is absent, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
+    """The folder of ``spark.checkpoint.dir`` as a full address; one of our own only where that setting is absent in local mode, as in tests.
+
+    On a cluster a folder of one machine would take each executor's part of a table apart from the others, so that the
+    setting is required there.
+    """
     app = spark.sparkContext.applicationId
-    if app not in _OWN:
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and app not in _OWN:
+        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         _OWN[app] = f"file://{tempfile.mkdtemp(prefix='lexmill-')}"
         _MADE.append(_OWN[app])
-    return _OWN[app]
+    return _full(spark, (named or _OWN[app]).rstrip("/"))
+
+
+def _full(spark: SparkSession, path: str) -> str:
+    """A path with the file system that it is meant in: its own, else the cluster's default one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return p.makeQualified(store.getUri(), store.getWorkingDirectory()).toString()
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -59,7 +73,7 @@ def _at_end() -> None:
         pass
     for path in left:  # what a stopped session has left behind, where the folder is reached without Spark
         if "://" not in path or path.startswith("file:"):
-            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+            shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)
 
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
@@ -70,11 +84,19 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """The planner's size of ``df``: of a written table that of its files, which is known before anything runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def sized_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is; and which of the two.
+    """``df`` with a broadcast hint if it has at most ``rows`` rows and :data:`BROADCAST_BYTES`, else as it is; and which of the two.
 
-    ``df`` should come from :func:`cut`: it is counted here, which on a written table reads only footers.
+    ``df`` should come from :func:`cut`: its bytes are those of its files, and counting its rows reads only footers.
     """
+    size = planned_bytes(df)
+    if BROADCAST_BYTES < size < _UNKNOWN:
+        return df, False
     small = df.limit(rows + 1).count() <= rows
     return (F.broadcast(df), True) if small else (df, False)
 
