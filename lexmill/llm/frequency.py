@@ -2,8 +2,9 @@
 
 Method: recursive radix spilling. Each task first adds up its own records with DuckDB, so that a term found
 everywhere leaves a task as one row; the partial counts are shuffled by their hash; each receiving task adds them
-up in DuckDB, and where it gets more rows than it may hold, it spills them by the next hash bits into files and
-does the parts one after the other, splitting a part that is still too large by the bits after those.
+up in DuckDB, and where it gets more bytes than it may hold, it spills them by the next hash bits into files and
+does the parts one after the other, splitting a part that is still too large by the bits after those. DuckDB itself
+may go out of core into the scratch folder that Spark gives the task.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from lexmill.plans.shared import col, cut, fresh_path
 
 #: RE2 and Java spelling of a word: a maximal run of letters and digits.
 WORD = r"[\p{L}\p{N}]+"
-#: Rows of partial counts that one task holds at once, and spill files made by one split.
-HELD_ROWS, FAN_OUT_BITS = 1_000_000, 4
+#: Bytes of partial counts that one task holds at once, and hash bits of one split.
+HELD_BYTES, FAN_OUT_BITS = 64_000_000, 4
 #: Bytes of texts that DuckDB counts at once.
 PORTION = 16_000_000
 _NO_WORD = re.compile(r"[\W_]")
@@ -48,9 +49,14 @@ def value_records(df: DataFrame, id_col: str, values_col: str, field_name: str)
 
 
 def _connect():
+    """A connection of one task; what it can't hold goes to Spark's own scratch folder of the task."""
+    import os
+    import uuid
+
     import duckdb
 
-    con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+    scratch = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+    con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": f"{scratch}/duckdb-{uuid.uuid4().hex}" if scratch else ""})
     con.execute("SET preserve_insertion_order = false")
     return con
 
@@ -84,7 +90,7 @@ def _portions(t: pa.Table) -> Iterator[pa.Table]:
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[pa.RecordBatch]:
-    con, parts, rows = _connect(), [], 0
+    con, parts, size = _connect(), [], 0
     count = f"""
         WITH r AS (SELECT field_name, rid, CASE WHEN vals IS NULL THEN regexp_extract_all(txt, '{WORD}') ELSE vals END words FROM t),
         w AS (SELECT field_name, rid, unnest(words) term FROM r),
@@ -94,32 +100,32 @@ def _count_batches(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[pa.
     for batch in batches:
         for t in _portions(pa.Table.from_batches([batch])) if batch.num_rows else ():  # noqa: B007 - DuckDB finds t by name
             parts.append(con.sql(count).to_arrow_table().cast(_PARTIAL))
-            rows += parts[-1].num_rows
-            if rows > held:
+            size += parts[-1].nbytes
+            if size > held:
                 parts = [_add_up(con, parts)]
-                if parts[0].num_rows > held // 2:  # not worth holding on to
+                if parts[0].nbytes > held // 2:  # not worth holding on to
                     yield from parts[0].to_batches(50_000)
                     parts = []
-                rows = sum(p.num_rows for p in parts)
+                size = sum(p.nbytes for p in parts)
     if parts:
         yield from _add_up(con, parts).to_batches(50_000)
 
 
 def _radix_add_up(batches: Iterator[pa.RecordBatch], scratch: str, held: int, shift: int = 0) -> Iterator[pa.RecordBatch]:
-    """Adds up partial counts, spilling by the hash bits above ``shift`` where they are more than ``held``."""
+    """Adds up partial counts, spilling by the hash bits above ``shift`` where they have more than ``held`` bytes."""
     import uuid
 
     import pyarrow.compute as pc
     import pyarrow.feather as feather
     from pyarrow import fs
 
-    con, parts, rows = _connect(), [], 0
+    con, parts, size = _connect(), [], 0
     files, spilled, store, place = {}, set(), None, ""
 
     def spill() -> None:
         nonlocal store, place
         if store is None:
-            store, root = fs.FileSystem.from_uri(scratch) if "://" in scratch else (fs.LocalFileSystem(), scratch)
+            store, root = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", scratch))
             place = f"{root}/{uuid.uuid4().hex}"
             store.create_dir(place, recursive=True)
         held_now = _add_up(con, parts)
@@ -135,13 +141,14 @@ def _radix_add_up(batches: Iterator[pa.RecordBatch], scratch: str, held: int, sh
     for batch in batches:
         if batch.num_rows:
             parts.append(pa.Table.from_batches([batch]).cast(_PARTIAL))
-            rows += batch.num_rows
-            if rows > held:
+            size += parts[-1].nbytes
+            if size > held:
                 merged = _add_up(con, parts)
-                parts, rows = [merged], merged.num_rows
-                if rows > held // 2 and shift < 60:
+                parts, size = [merged], merged.nbytes
+                # a single term can't be split further, whatever its length
+                if size > held // 2 and shift < 40 and merged.num_rows > 1:
                     spill()
-                    parts, rows = [], 0
+                    parts, size = [], 0
     if not spilled:
         if parts:
             yield from _add_up(con, parts).select(_TOTAL.names).to_batches(50_000)
@@ -162,26 +169,26 @@ def _radix_add_up(batches: Iterator[pa.RecordBatch], scratch: str, held: int, sh
         store.delete_dir(place)
 
 
-def term_counts(records: DataFrame, held_rows: int = HELD_ROWS) -> DataFrame:
+def term_counts(records: DataFrame, held_bytes: int = HELD_BYTES) -> DataFrame:
     """``field_name, term, occurrences, records`` of each term, and for each field a row with a null term and its number of records.
 
     ``records`` as from :func:`text_records` and :func:`value_records`, or a union of such. Empty fields and empty
     tables give no terms. Words are those of :data:`WORD` in the lower-cased whole text.
     """
     scratch = fresh_path(records.sparkSession, "radix")
-    partial = records.select("field_name", "txt", "vals").mapInArrow(lambda it: _count_batches(it, held_rows), "field_name string, term string, occurrences long, records long, h long")
+    partial = records.select("field_name", "txt", "vals").mapInArrow(lambda it: _count_batches(it, held_bytes), "field_name string, term string, occurrences long, records long, h long")
     # the upper hash bits choose the task, the lower ones are left for splitting within it
     shuffled = partial.repartition(F.shiftright("h", 40))
-    return shuffled.mapInArrow(lambda it: _radix_add_up(it, scratch, held_rows), "field_name string, term string, occurrences long, records long")
+    return shuffled.mapInArrow(lambda it: _radix_add_up(it, scratch, held_bytes), "field_name string, term string, occurrences long, records long")
 
 
-def term_frequencies(records: DataFrame, common_percent: Mapping[str, float], rare_records: int = 2, held_rows: int = HELD_ROWS) -> DataFrame:
+def term_frequencies(records: DataFrame, common_percent: Mapping[str, float], rare_records: int = 2, held_bytes: int = HELD_BYTES) -> DataFrame:
     """``field_name, term, occurrences, records, mark`` of every term of every field.
 
     ``mark`` is ``rare`` if at most ``rare_records`` records hold the term, else ``common`` if more than
     ``common_percent[field]`` per cent of the field's records do, else null.
     """
-    counted = cut(term_counts(records, held_rows), "terms")
+    counted = cut(term_counts(records, held_bytes), "terms")
     total = {r["field_name"]: r["records"] for r in counted.where(F.col("term").isNull()).groupBy("field_name").agg(F.sum("records").alias("records")).collect()}  # a row a field
     mark = F.when(F.col("records") <= rare_records, F.lit("rare"))
     for field, percent in common_percent.items():
@@ -193,7 +200,7 @@ def term_frequencies(records: DataFrame, common_percent: Mapping[str, float], ra
 COMMON_PERCENT = {"segment": 20.0, "associated_terms": 1.0}
 
 
-def passage_and_expansion_terms(passages: DataFrame, expansions: DataFrame) -> DataFrame:
+def passage_and_expansion_terms(passages: DataFrame, expansions: DataFrame, held_bytes: int = HELD_BYTES) -> DataFrame:
     """The terms of ``passages.segment`` and ``api_expansions.associated_terms`` with their counts and marks."""
     records = text_records(passages, "doc_id", "segment", "segment").unionByName(value_records(expansions, "expansion_id", "associated_terms", "associated_terms"))
-    return term_frequencies(records, COMMON_PERCENT)
+    return term_frequencies(records, COMMON_PERCENT, held_bytes=held_bytes)

@@ -21,13 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.plans.shared import col, cut
+from lexmill.plans.shared import col, cut, if_small
 
 _WORDS = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Components of a block, and blocks: 1 - (1 - 0.6^4)^64 = 0.99986 of the pairs at similarity 0.6, 0.999997 at 0.65. Of
-#: unrelated records, which share some turns of phrase, four components are ten times less often equal than three.
-BLOCK_SIZE, BLOCKS = 4, 64
+#: Components of a block, and blocks: 1 - (1 - 0.6^3)^40 = 0.99994 of the pairs at similarity 0.6, 0.999997 at 0.65.
+BLOCK_SIZE, BLOCKS = 3, 40
 #: Components of which one bit each goes along with a block, for a first look at the distance where two blocks meet.
 SKETCH = 64
 
@@ -72,14 +71,14 @@ def _multipliers(m: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprints(sets: list[np.ndarray], m: int, seed: int = 7) -> np.ndarray:
-    """Row i holds 8 bits of each of the ``m`` min-hash components of set i."""
+    """Row i holds 16 bits of each of the ``m`` min-hash components of set i."""
     flat = np.concatenate(sets)
     starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
     a, b = _multipliers(m, seed)
-    out = np.empty((len(sets), m), np.uint8)
+    out = np.empty((len(sets), m), np.uint16)
     for k in range(m):
         low = np.minimum.reduceat((flat * a[k] + b[k]) >> np.uint64(16), starts)
-        out[:, k] = _mix(low).astype(np.uint8)
+        out[:, k] = _mix(low).astype(np.uint16)
     return out
 
 
@@ -107,7 +106,7 @@ def _print_batches(batches: Iterator[pd.DataFrame], n: int, min_words: int, m: i
 def _block_batches(batches: Iterator[pa.RecordBatch], r: int, blocks: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            fp = np.frombuffer(b"".join(batch["fp"].to_pylist()), np.uint8).reshape(batch.num_rows, r * blocks).astype(np.uint64)
+            fp = np.frombuffer(b"".join(batch["fp"].to_pylist()), np.uint16).reshape(batch.num_rows, r * blocks).astype(np.uint64)
             keys = np.broadcast_to(np.arange(1, blocks + 1, dtype=np.uint64) * _MIX, (batch.num_rows, blocks))
             for k in range(r):
                 keys = _mix(keys * _MIX + fp[:, k::r])
@@ -119,7 +118,7 @@ def _block_batches(batches: Iterator[pa.RecordBatch], r: int, blocks: int) -> It
 def _distance_batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            one, two = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("fp_a", "fp_b"))
+            one, two = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("fp_a", "fp_b"))
             near = (one != two).sum(axis=1) <= most
             yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(near)), batch["b"].filter(pa.array(near))], names=["a", "b"])
 
@@ -139,6 +138,74 @@ def _similar_batches(batches: Iterator[pd.DataFrame], n: int, least: float) -> I
         yield pd.DataFrame({"a": batch["a"].iloc[keep].to_numpy(), "b": batch["b"].iloc[keep].to_numpy(), "similarity": sim})
 
 
+class _Classes:
+    """The classes of equal sequence sets of a table's texts, and what it takes to compare them."""
+
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, n: int, least: float, min_words: int, r: int, blocks: int):
+        self.n, self.least, self.r, self.blocks, self.m = n, least, r, blocks, r * blocks
+        self.texts = df.select(col(id_col).cast("string").alias("doc_id"), col(text_col).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+        m = self.m
+        self.printed = cut(self.texts.mapInPandas(lambda it: _print_batches(it, n, min_words, m), _PRINT), "neardup-prints")
+        # the min of doc_id picks one text for each class; equal sets have equal fingerprints
+        classes = self.printed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"))
+        self.classes = cut(classes.withColumn("uid", F.monotonically_increasing_id()), "neardup-classes")
+
+    def members(self) -> DataFrame:
+        return self.printed.select("doc_id", "h1", "h2").distinct().join(self.classes.select("h1", "h2", "uid"), ["h1", "h2"]).select("doc_id", "uid")
+
+    def keyed(self) -> DataFrame:
+        """``key, uid, bits``: the blocks of each class, with a bit of each of :data:`SKETCH` components."""
+        r, blocks = self.r, self.blocks
+        return self.classes.select("uid", "fp").mapInArrow(lambda it: _block_batches(it, r, blocks), "key long, uid long, bits long")
+
+    def alike(self, one: str, two: str):
+        """A first look at the distance by the bits.
+
+        4.5 standard deviations above the bits that differ on average in a pair at the threshold: at 0.6 that is 27 of 64 bits, and
+        by the binomial distribution 0.000014 of those pairs have more.
+        """
+        differ, bits = (1 - self.least) / 2, min(SKETCH, self.m)
+        return F.bit_count(F.col(one).bitwiseXOR(F.col(two))) <= int(bits * differ + 4.5 * (bits * differ * (1 - differ)) ** 0.5)
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """``a, b, similarity`` of the pairs ``a, b`` that are at least as similar as asked: by the Hamming distance first, then exactly."""
+        prints_a, prints_b = (self.classes.select(F.col("uid").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
+        # 4.5 standard deviations below the components that a pair at the threshold shares on average
+        shared = self.least * self.m - 4.5 * (self.m * self.least * (1 - self.least)) ** 0.5
+        most, n, least = int(self.m - max(shared, 1)), self.n, self.least
+        near = cut(pairs.join(prints_a, "a").join(prints_b, "b").mapInArrow(lambda it: _distance_batches(it, most), "a long, b long"), "neardup-near")
+        # texts are moved only for the classes that are in a surviving pair
+        wanted = near.select(F.col("a").alias("uid")).union(near.select(F.col("b").alias("uid"))).distinct()
+        reps = self.classes.join(wanted, "uid").select("uid", "rep", "h1", "h2")
+        held = self.printed.select("doc_id", "h1", "h2").join(reps, ["h1", "h2"]).where("doc_id = rep")
+        held = held.groupBy("doc_id", "uid").agg(F.first("h1").alias("h1"), F.first("h2").alias("h2"))
+        kept = self.texts.join(held, "doc_id").mapInPandas(lambda it: _own_text_batches(it, n), "uid long, text string").dropDuplicates(["uid"])
+        text_a, text_b = (kept.select(F.col("uid").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+        return near.join(text_a, "a").join(text_b, "b").mapInPandas(lambda it: _similar_batches(it, n, least), "a long, b long, similarity double")
+
+    def all_links(self) -> DataFrame:
+        """The links between all classes that share a block: as many rows as there are such pairs."""
+        keyed = self.keyed()
+        met = keyed.toDF("key", "a", "bits_a").join(keyed.toDF("key", "b", "bits_b"), "key").where("a < b")
+        return self.links(met.where(self.alike("bits_a", "bits_b")).select("a", "b").distinct())
+
+    def connecting_links(self) -> DataFrame:
+        """Links that connect the same classes as :meth:`all_links` does, but as few as classes where a block is shared by many variants of one text.
+
+        In each block the classes are compared with one of them, chosen by a hash. Those that are similar to it are connected by that, and
+        need no comparison with each other; each of the others is compared with all of its block.
+        """
+        keyed = self.keyed()
+        chosen = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "uid").alias("h"), "uid", "bits")).alias("p"), F.count("*").alias("c")).where("c > 1")
+        star = cut(keyed.join(chosen.select("key", F.col("p.uid").alias("pivot"), F.col("p.bits").alias("pivot_bits"), "c"), "key").where("uid <> pivot"), "neardup-star")
+        pair = [F.least("uid", "pivot").alias("a"), F.greatest("uid", "pivot").alias("b")]
+        first = cut(self.links(star.where(self.alike("bits", "pivot_bits")).select(*pair).distinct()), "neardup-first")
+        apart = star.where("c > 2").withColumns(dict(zip("ab", pair))).join(first.select("a", "b"), ["a", "b"], "left_anti").select("key", F.col("uid").alias("x"), F.col("bits").alias("bits_x"))
+        met = apart.join(star.select("key", F.col("uid").alias("y"), F.col("bits").alias("bits_y")), "key").where("x <> y")
+        rest = met.where(self.alike("bits_x", "bits_y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        return first.unionByName(self.links(rest.join(first.select("a", "b"), ["a", "b"], "left_anti")))
+
+
 def similar_classes(df: DataFrame, id_col: str, text_col: str, n: int = 5, least: float = 0.8, min_words: int = 1, r: int = BLOCK_SIZE, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
     """``members(doc_id, uid)`` and ``links(a, b, similarity)`` between the classes ``uid`` of equal sequence sets, a < b.
 
@@ -147,38 +214,8 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, n: int = 5, least
     sequence belong to no class. An id with several texts is a member of several classes; a row delivered twice is
     one member. Other columns of ``df`` are ignored.
     """
-    m = r * blocks
-    texts = df.select(col(id_col).cast("string").alias("doc_id"), col(text_col).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    printed = cut(texts.mapInPandas(lambda it: _print_batches(it, n, min_words, m), _PRINT), "neardup-prints")
-    # the min of doc_id picks one text for each class; equal sets have equal fingerprints
-    classes = printed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"))
-    classes = cut(classes.withColumn("uid", F.monotonically_increasing_id()), "neardup-classes")
-
-    keyed = classes.select("uid", "fp").mapInArrow(lambda it: _block_batches(it, r, blocks), "key long, uid long, bits long")
-    # 4.5 standard deviations above the bits that differ on average in a pair at the threshold: at 0.6 that is 27 of 64 bits, and
-    # by the binomial distribution 0.000014 of those pairs have more
-    differ = (1 - least) / 2
-    bits = min(SKETCH, m)
-    bits_most = int(bits * differ + 4.5 * (bits * differ * (1 - differ)) ** 0.5)
-    met = keyed.toDF("key", "a", "bits_a").join(keyed.toDF("key", "b", "bits_b"), "key").where("a < b")
-    pairs = met.where(F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= bits_most).select("a", "b").distinct()
-    prints_a, prints_b = (classes.select(F.col("uid").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
-    # 4.5 standard deviations below the components that a pair at the threshold shares on average
-    shared = least * m - 4.5 * (m * least * (1 - least)) ** 0.5
-    most = int(m - max(shared, 1))
-    near = cut(pairs.join(prints_a, "a").join(prints_b, "b").mapInArrow(lambda it: _distance_batches(it, most), "a long, b long"), "neardup-near")
-
-    # texts are moved only for the classes that are in a surviving pair
-    wanted = near.select(F.col("a").alias("uid")).union(near.select(F.col("b").alias("uid"))).distinct()
-    reps = classes.join(wanted, "uid").select("uid", "rep", "h1", "h2")
-    held = printed.select("doc_id", "h1", "h2").join(reps, ["h1", "h2"]).where("doc_id = rep")
-    held = held.groupBy("doc_id", "uid").agg(F.first("h1").alias("h1"), F.first("h2").alias("h2"))
-    known = texts.join(held, "doc_id")
-    kept = known.mapInPandas(lambda it: _own_text_batches(it, n), "uid long, text string").dropDuplicates(["uid"])
-    text_a, text_b = (kept.select(F.col("uid").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    links = near.join(text_a, "a").join(text_b, "b").mapInPandas(lambda it: _similar_batches(it, n, least), "a long, b long, similarity double")
-    members = printed.select("doc_id", "h1", "h2").distinct().join(classes.select("h1", "h2", "uid"), ["h1", "h2"]).select("doc_id", "uid")
-    return members, links
+    c = _Classes(df, id_col, text_col, n, least, min_words, r, blocks)
+    return c.members(), c.all_links()
 
 
 def _own_text_batches(batches: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
@@ -229,21 +266,22 @@ def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         for _ in range(2):  # where the root was hooked to one that was hooked itself
             further = hooks.toDF("top", "beyond")
             hooks = hooks.join(further, "top", "left").select("root", F.coalesce("beyond", "top").alias("top"))
+        hooks = if_small(cut(hooks, "cc-hooks"))
         label = cut(label.join(hooks, "root", "left").select("u", F.coalesce("top", "root").alias("root")), "cc-label")
     raise RuntimeError("the components aren't complete")
 
 
-def similar_groups(df: DataFrame, id_col: str, text_col: str, n: int = 5, least: float = 0.8, min_words: int = 1) -> DataFrame:
-    """One row ``doc_id, class_id, group_id, copies, n_links`` for each document with a class.
+def similar_groups(df: DataFrame, id_col: str, text_col: str, n: int = 5, least: float = 0.8, min_words: int = 1, r: int = BLOCK_SIZE, blocks: int = BLOCKS) -> DataFrame:
+    """One row ``doc_id, class_id, group_id, copies, classes`` for each document with a class.
 
-    ``class_id`` is shared by documents with equal sequence sets, ``group_id`` by those connected through links;
-    ``copies`` are the members of the class and ``n_links`` its links to other classes.
+    ``class_id`` is shared by documents with equal sequence sets, ``group_id`` by those connected through links; ``copies`` are
+    the members of the class and ``classes`` the classes of the group. Many variants of one text take rows as their number,
+    not as its square: only links that connect are looked for.
     """
-    members, links = similar_classes(df, id_col, text_col, n, least, min_words)
-    members, links = cut(members, "neardup-members"), cut(links, "neardup-links")
-    roots = connected(links)
-    degree = links.select(F.col("a").alias("uid")).union(links.select(F.col("b").alias("uid"))).groupBy("uid").agg(F.count("*").alias("n_links"))
-    sizes = members.groupBy("uid").agg(F.count("*").alias("copies"))
-    per = sizes.join(degree, "uid", "left").join(roots, "uid", "left")
-    per = per.select("uid", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "uid").alias("group_id"))
-    return members.join(per, "uid").select("doc_id", F.col("uid").alias("class_id"), "group_id", "copies", "n_links")
+    c = _Classes(df, id_col, text_col, n, least, min_words, r, blocks)
+    members = cut(c.members(), "neardup-members")
+    roots = connected(cut(c.connecting_links(), "neardup-links"))
+    per = members.groupBy("uid").agg(F.count("*").alias("copies")).join(roots, "uid", "left").select("uid", "copies", F.coalesce("root", "uid").alias("group_id"))
+    per = cut(per, "neardup-per")
+    sizes = per.groupBy("group_id").agg(F.count("*").alias("classes"))
+    return members.join(per.join(sizes, "group_id"), "uid").select("doc_id", F.col("uid").alias("class_id"), "group_id", "copies", "classes")

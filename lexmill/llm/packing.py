@@ -16,10 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.plans.shared import col, cut, reading_partitions
+from lexmill.plans.shared import col, cut
 
 _STATE = "kind string, item string, size long, container long, pid int, rank long"
-#: Rows of a sweep's partition that are aimed at.
+#: Rows of a sweep's partition that are aimed at: there are as many partitions as that takes.
 SWEEP_ROWS = 40_000
 
 
@@ -132,7 +132,7 @@ def pack(items: DataFrame, capacity: int, sweep_rows: int = SWEEP_ROWS, max_roun
             more = max(1, -(-total // capacity))
             fresh = spark.range(opened, opened + more).select(F.lit("gap").alias("kind"), F.lit(None).cast("string").alias("item"), F.lit(capacity).cast("long").alias("size"), F.col("id").alias("container"), F.lit(0).alias("pid"), F.lit(0).cast("long").alias("rank"))
             state, opened, n_gaps = state.unionByName(fresh), opened + more, n_gaps + more
-        parts = max(1, min(reading_partitions(spark), -(-(n_items + n_gaps) // sweep_rows)))
+        parts = max(1, -(-(n_items + n_gaps) // sweep_rows))
         # at equal size items come before gaps, so that a gap meets an item that fills it exactly
         ordered = state.repartitionByRange(parts, F.col("size"), F.desc("kind"), F.xxhash64("item", "container")) if parts > 1 else state.coalesce(1)
         swept = cut(ordered.mapInPandas(_sweep_batches, _STATE), "pack-swept")

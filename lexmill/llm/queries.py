@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from unicodedata import lookup, normalize
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm import frequency, lookalikes, mixing, neardup, packing, pairs, splitting, tokens, topn
@@ -32,6 +32,18 @@ def p2_terms(spark, d):
     return _terms(spark, d).select("field_name", "term", "occurrences", "records", F.coalesce("mark", F.lit("-")).alias("mark"))
 
 
+def p2_spilled(spark, d):
+    """The same terms where a task may hold 256 KB of counts only, so that it spills and splits by hash bits."""
+    t = frequency.passage_and_expansion_terms(_t(spark, d, "passages"), _t(spark, d, "api_expansions"), held_bytes=256_000)
+    return t.select("field_name", "term", "occurrences", "records", F.coalesce("mark", F.lit("-")).alias("mark"))
+
+
+def p2_spilled(spark, d):
+    """The same terms where a task may hold 256 KB of counts only, so that it spills and splits by hash bits."""
+    t = frequency.passage_and_expansion_terms(_t(spark, d, "passages"), _t(spark, d, "api_expansions"), held_bytes=256_000)
+    return t.select("field_name", "term", "occurrences", "records", F.coalesce("mark", F.lit("-")).alias("mark"))
+
+
 def p3_found(spark, d):
     return pairs.pair_defects(_t(spark, d, "api_expansions")).where("defect IS NOT NULL")
 
@@ -48,6 +60,18 @@ def p4_pieces(spark, d):
     return _pieces(spark, d)
 
 
+def p4_rejoined(spark, d):
+    """What the pieces' own parts join to, and whether all pieces keep to the limit and overlap as given."""
+    limits = _t(spark, d, "split_limits").select("field_name", "max_chars", F.col("overlap_chars").alias("asked"))
+    p = _pieces(spark, d).join(F.broadcast(limits), "field_name")  # a row a field
+    # an id with different texts has several cuts; a cut is known by its number of pieces and where it ends
+    ends = F.max("end_char").over(Window.partitionBy("doc_id", "field_name", "n_pieces"))
+    own = F.struct("piece_no", F.expr("substring(piece, overlap_chars + 1)").alias("own"))
+    sound = (F.length("piece") <= F.col("max_chars")) & (F.col("overlap_chars") == F.least("asked", "start_char"))
+    per = p.withColumn("ends", ends).groupBy("doc_id", "field_name", "n_pieces", "ends").agg(F.array_sort(F.collect_list(own)).alias("l"), F.min(sound).alias("sound"))
+    return per.select("doc_id", "field_name", F.md5(F.array_join(F.transform("l", lambda x: x["own"]), "")).alias("digest"), "sound")
+
+
 def p5_found(spark, d):
     return neardup.similar_pairs(_t(spark, d, "passages"), "doc_id", "segment", n=3, least=0.6, min_words=20)
 
@@ -72,6 +96,15 @@ def p6_containers(spark, d):
     return _packed(spark, d)
 
 
+def p6_fill(spark, d):
+    """Every document once and whole, no container above its capacity, and at least 95 % of the containers' room used."""
+    capacity = packing.capacity_of(_t(spark, d, "pack_limits"))
+    p = cut(packing.pack_documents(_sized(spark, d), capacity), "packed")
+    docs = p.groupBy("doc_id").agg(F.count("*").alias("c"), F.max("n_pieces").alias("n")).agg(F.count("*").alias("documents"), F.min(F.col("c") == F.col("n")).alias("whole"))
+    load = p.groupBy("container").agg(F.sum("n_tokens").alias("load")).agg((F.max("load") <= capacity).alias("within_capacity"), (F.sum("load") >= 0.95 * capacity * F.count("*")).alias("filled"))
+    return docs.crossJoin(load)  # one row each
+
+
 def p7_found(spark, d):
     return mixing.mix_plan(_sized(spark, d), _t(spark, d, "mix_targets")).where("short").select("mix_id", "source")
 
@@ -80,6 +113,14 @@ def p7_shares(spark, d):
     return mixing.mix(_sized(spark, d), _t(spark, d, "mix_targets"))[1]
 
 
+def p7_within(spark, d):
+    """Of each mix's sources: no document drawn too often, and the target met up to a fiftieth wherever no source is short."""
+    report = mixing.mix(_sized(spark, d), _t(spark, d, "mix_targets"))[1]
+    near = F.abs(F.col("reached_share") - F.col("target_share")) <= 0.02
+    met = F.when(F.max(F.col("short").cast("int")).over(Window.partitionBy("mix_id")) == 1, True).otherwise(near)
+    return report.select("mix_id", "source", (F.col("most_copies") <= F.col("max_repeats")).alias("within_repeats"), met.alias("met"))
+
+
 def p7_drawn(spark, d):
     return mixing.mix(_sized(spark, d), _t(spark, d, "mix_targets"))[0]
 
@@ -97,7 +138,7 @@ def p8_forms(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = (p1_found, p2_found, p2_terms, p3_found, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_containers, p7_found, p7_shares, p7_drawn, p8_found, p8_groups, p8_forms)
+    names = (p1_found, p2_found, p2_terms, p2_spilled, p3_found, p4_found, p4_pieces, p4_rejoined, p5_found, p5_groups, p6_found, p6_containers, p6_fill, p7_found, p7_shares, p7_within, p7_drawn, p8_found, p8_groups, p8_forms)
     return {f.__name__: f for f in names}
 
 
@@ -176,4 +217,12 @@ def oracle_sql() -> dict[str, str]:
                 UNION ALL SELECT doc_id, 'body', trim(body, E' \t\r\n') FROM passages)
             SELECT DISTINCT doc_id, field_name FROM f JOIN split_limits USING (field_name) WHERE length(t) > max_chars""",
         "p5_found": _SIMILAR,
+        "p2_spilled": f"{_TERMS} SELECT field_name, term, occurrences, records, coalesce(mark, '-') mark FROM marked",
+        "p4_rejoined": r"""
+            WITH f AS (
+                SELECT doc_id, 'segment' field_name, trim(segment, E' \t\r\n') t FROM passages
+                UNION ALL SELECT doc_id, 'body', trim(body, E' \t\r\n') FROM passages)
+            SELECT DISTINCT doc_id, field_name, md5(t) digest, true AS sound FROM f JOIN split_limits USING (field_name) WHERE length(t) > max_chars""",
+        "p6_fill": "SELECT count(DISTINCT doc_id) documents, true AS whole, true AS within_capacity, true AS filled FROM documents",
+        "p7_within": "SELECT DISTINCT mix_id, source, true AS within_repeats, true AS met FROM mix_targets WHERE mix_id IS NOT NULL AND source IS NOT NULL",
     }

@@ -34,9 +34,27 @@ def boundaries(text: str) -> tuple[list[int], list[int]]:
     return places, [strength[p] for p in places]
 
 
+def _is_flag_letter(ch: str) -> bool:
+    return "\U0001f1e6" <= ch <= "\U0001f1ff"
+
+
 def _joined(text: str, at: int) -> bool:
     """Whether the characters around ``at`` make one visible character."""
-    return unicodedata.combining(text[at]) != 0 or text[at] in "\u200d\ufe0e\ufe0f" or text[at - 1] == "\u200d" or (text[at] == "\n" and text[at - 1] == "\r")
+    before, after = text[at - 1], text[at]
+    if before.isascii() and after.isascii():
+        return before == "\r" and after == "\n"
+    if unicodedata.category(after) in ("Mn", "Me", "Mc") or after in "\u200c\u200d" or before == "\u200d":
+        return True  # marks, variation selectors and joiners
+    if "\U0001f3fb" <= after <= "\U0001f3ff" or "\U000e0020" <= after <= "\U000e007f":
+        return True  # tones of skin, and the letters of a flag's name
+    if "\u1160" <= after <= "\u11ff" and "\u1100" <= before <= "\u11ff" or ("\u1160" <= after <= "\u11ff" and "\uac00" <= before <= "\ud7a3"):
+        return True  # Hangul letters that are not the first of a syllable
+    if _is_flag_letter(after) and _is_flag_letter(before):
+        start = at
+        while start and _is_flag_letter(text[start - 1]):
+            start -= 1
+        return (at - start) % 2 == 1  # within a pair that is a flag
+    return False
 
 
 def _nearest(places: list[int], a: int, b: int, mid: int) -> int | None:

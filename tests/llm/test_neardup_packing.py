@@ -66,6 +66,27 @@ def test_groups_are_components(spark, near_docs):
     assert {r["copies"] for r in out if r["doc_id"].startswith("copy")} == {sum(i is not None and sequences(t, 3) == sequences(near_docs[0][1], 3) for i, t in near_docs)}
 
 
+def test_many_variants_of_one_text_take_rows_as_their_number(spark, monkeypatch):
+    """3,000 texts that differ in a number: 4.5 million pairs are similar, and none but those that connect are made."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    docs = [(f"v{i:05}", " ".join([*base[:30], str(i), *base[30:]])) for i in range(3000)]
+    docs += [(f"o{i}", " ".join([*base[:3], *(f"x{rng.randrange(10**6)}" for _ in range(40))])) for i in range(50)]
+    made: dict[str, int] = {}
+
+    def counted(df, label="cut"):
+        out = cut(df, label)
+        made[label] = made.get(label, 0) + out.count()
+        return out
+
+    cut = neardup.cut
+    monkeypatch.setattr(neardup, "cut", counted)
+    out = neardup.similar_groups(spark.createDataFrame(docs, "doc_id string, text string").repartition(4), "doc_id", "text", 3, 0.6, 20).collect()
+    groups = {r["group_id"] for r in out if r["doc_id"].startswith("v")}
+    assert len(out) == 3050 and len(groups) == 1 and {r["classes"] for r in out if r["group_id"] in groups} == {3000}
+    assert made["neardup-near"] <= 60 * 3000 and made["neardup-star"] <= 60 * 3000
+
+
 def test_a_long_chain_is_one_component(spark):
     rng = random.Random(1)
     names = rng.sample(range(10_000), 200)

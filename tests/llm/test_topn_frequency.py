@@ -65,7 +65,7 @@ def test_words_against_counter(spark, held):
     rng = random.Random(1)
     docs = [(f"d{i}", t) for i, t in enumerate(TEXTS)] + [(f"r{i}", " ".join(rng.choice("abcdefghij") * rng.randrange(1, 4) for _ in range(20))) for i in range(60)]
     df = spark.createDataFrame([*docs, docs[0], docs[9], (None, "lost words")], "doc_id string, segment string").withColumn("txt", F.lit("other")).repartition(3)
-    out = frequency.term_frequencies(frequency.text_records(df, "doc_id", "segment", "segment"), {"segment": 20.0}, held_rows=held).collect()
+    out = frequency.term_frequencies(frequency.text_records(df, "doc_id", "segment", "segment"), {"segment": 20.0}, held_bytes=held).collect()
     tf, rec = collections.Counter(), collections.Counter()
     for _, t in docs:
         ws = re.findall(r"[^\W_]+", (t or "").lower())
