@@ -4,7 +4,7 @@ Method: pigeonhole blocks. A record's fingerprint is a row of min-hash component
 into blocks, records are joined on equal blocks, and a joined pair is verified by the Hamming distance of the two
 fingerprints, that is the number of components in which they differ. With ``L`` blocks, fingerprints at a distance
 below ``L`` share a block for certain; of pairs at the similarity threshold itself (where a block of r components is
-equal with probability s^r) a share of 1 - (1 - s^r)^L is found. One bit of each of 64 components goes along with a
+equal with probability s^r) a share of 1 - (1 - s^r)^L is found. One bit of each of 56 components goes along with a
 block, so that most chance meetings end where they happen. The survivors' similarity is then computed exactly.
 
 Records with equal sequence sets form one class beforehand, so that copies cost one row each and no pairs.
@@ -25,10 +25,12 @@ from lexmill.plans.shared import col, cut, if_small
 
 _WORDS = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Components of a block, and blocks: 1 - (1 - 0.6^3)^40 = 0.99994 of the pairs at similarity 0.6, 0.999997 at 0.65.
-BLOCK_SIZE, BLOCKS = 3, 40
-#: Components of which one bit each goes along with a block, for a first look at the distance where two blocks meet.
-SKETCH = 64
+#: Components of a block, and blocks: 1 - (1 - 0.6^4)^64 = 0.99986 of the pairs at similarity 0.6, 0.999997 at 0.65. Of
+#: unrelated records, which share some turns of phrase, four components are some twenty times less often equal than three.
+BLOCK_SIZE, BLOCKS = 4, 64
+#: Components of which one bit each goes along with a block, for a first look at the distance where two blocks meet. A block's
+#: key, its class and these bits share two numbers of 64 bits: what is shuffled most is as short as it can be.
+SKETCH = 56
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -71,14 +73,14 @@ def _multipliers(m: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprints(sets: list[np.ndarray], m: int, seed: int = 7) -> np.ndarray:
-    """Row i holds 16 bits of each of the ``m`` min-hash components of set i."""
+    """Row i holds 8 bits of each of the ``m`` min-hash components of set i."""
     flat = np.concatenate(sets)
     starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
     a, b = _multipliers(m, seed)
-    out = np.empty((len(sets), m), np.uint16)
+    out = np.empty((len(sets), m), np.uint8)
     for k in range(m):
         low = np.minimum.reduceat((flat * a[k] + b[k]) >> np.uint64(16), starts)
-        out[:, k] = _mix(low).astype(np.uint16)
+        out[:, k] = _mix(low).astype(np.uint8)
     return out
 
 
@@ -103,23 +105,37 @@ def _print_batches(batches: Iterator[pd.DataFrame], n: int, min_words: int, m: i
             yield pd.DataFrame({"doc_id": ids, "h1": both[:, 0], "h2": both[:, 1], "fp": [r.tobytes() for r in fp]})
 
 
-def _block_batches(batches: Iterator[pa.RecordBatch], r: int, blocks: int) -> Iterator[pa.RecordBatch]:
+def _block_batches(batches: Iterator[pa.RecordBatch], r: int, blocks: int, uid_bits: int) -> Iterator[pa.RecordBatch]:
+    """Each block as two numbers: its key above the class's upper bits, and the class's lowest 8 bits above the sketch."""
+    shift = np.uint64(uid_bits - 8)
     for batch in batches:
         if batch.num_rows:
-            fp = np.frombuffer(b"".join(batch["fp"].to_pylist()), np.uint16).reshape(batch.num_rows, r * blocks).astype(np.uint64)
+            fp = np.frombuffer(b"".join(batch["fp"].to_pylist()), np.uint8).reshape(batch.num_rows, r * blocks).astype(np.uint64)
             keys = np.broadcast_to(np.arange(1, blocks + 1, dtype=np.uint64) * _MIX, (batch.num_rows, blocks))
             for k in range(r):
                 keys = _mix(keys * _MIX + fp[:, k::r])
-            uid = np.repeat(batch["uid"].to_numpy(), blocks)
-            bits = np.repeat(((fp[:, :SKETCH] & np.uint64(1)) << np.arange(min(SKETCH, r * blocks), dtype=np.uint64)).sum(axis=1, dtype=np.uint64), blocks)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(uid), pa.array(bits.view(np.int64))], names=["key", "uid", "bits"])
+            uid = batch["uid"].to_numpy().astype(np.uint64)
+            bits = ((fp[:, :SKETCH] & np.uint64(1)) << np.arange(min(SKETCH, r * blocks), dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+            high = (keys << shift) | (uid >> np.uint64(8))[:, None]
+            low = np.repeat(((uid & np.uint64(255)) << np.uint64(56)) | bits, blocks)
+            yield pa.RecordBatch.from_arrays([pa.array(high.reshape(-1).view(np.int64)), pa.array(low.view(np.int64))], names=["high", "low"])
+
+
+def _short_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints with 4 bits of each component, two to a byte: enough for the distance, and half as much to move."""
+    for batch in batches:
+        if batch.num_rows:
+            low = np.frombuffer(b"".join(batch["fp"].to_pylist()), np.uint8).reshape(batch.num_rows, -1) & 15
+            low = np.pad(low, ((0, 0), (0, low.shape[1] % 2)))
+            yield pa.RecordBatch.from_arrays([batch["uid"], pa.array([x.tobytes() for x in (low[:, ::2] << 4) | low[:, 1::2]])], names=["uid", "fp"])
 
 
 def _distance_batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            one, two = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("fp_a", "fp_b"))
-            near = (one != two).sum(axis=1) <= most
+            one, two = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("fp_a", "fp_b"))
+            differ = one ^ two
+            near = (((differ & 15) > 0).sum(axis=1) + ((differ >> 4) > 0).sum(axis=1)) <= most
             yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(near)), batch["b"].filter(pa.array(near))], names=["a", "b"])
 
 
@@ -148,30 +164,46 @@ class _Classes:
         self.printed = cut(self.texts.mapInPandas(lambda it: _print_batches(it, n, min_words, m), _PRINT), "neardup-prints")
         # the min of doc_id picks one text for each class; equal sets have equal fingerprints
         classes = self.printed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"))
-        self.classes = cut(classes.withColumn("uid", F.monotonically_increasing_id()), "neardup-classes")
+        made = cut(classes.withColumn("id", F.monotonically_increasing_id()), "neardup-classes")
+        # partition and place as a number of as few bits as there are classes
+        part, place = F.shiftright("id", 33), F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+        most = made.agg(F.coalesce(F.max(part), F.lit(0)), F.coalesce(F.max(place), F.lit(0))).first()
+        bits = most[1].bit_length()
+        self.uid_bits = max(8, bits + most[0].bit_length())
+        self.classes = made.withColumn("uid", F.shiftleft(part, bits).bitwiseOR(place)).drop("id")
 
     def members(self) -> DataFrame:
         return self.printed.select("doc_id", "h1", "h2").distinct().join(self.classes.select("h1", "h2", "uid"), ["h1", "h2"]).select("doc_id", "uid")
 
     def keyed(self) -> DataFrame:
-        """``key, uid, bits``: the blocks of each class, with a bit of each of :data:`SKETCH` components."""
-        r, blocks = self.r, self.blocks
-        return self.classes.select("uid", "fp").mapInArrow(lambda it: _block_batches(it, r, blocks), "key long, uid long, bits long")
+        """``high, low``: the blocks of each class (:func:`_block_batches`)."""
+        r, blocks, bits = self.r, self.blocks, self.uid_bits
+        return self.classes.select("uid", "fp").mapInArrow(lambda it: _block_batches(it, r, blocks, bits), "high long, low long")
+
+    def key(self, high: str):
+        return F.shiftrightunsigned(F.col(high), self.uid_bits - 8)
+
+    def uid(self, high: str, low: str):
+        upper = F.col(high).bitwiseAND(F.lit((1 << (self.uid_bits - 8)) - 1))
+        return F.shiftleft(upper, 8).bitwiseOR(F.shiftrightunsigned(F.col(low), 56))
 
     def alike(self, one: str, two: str):
-        """A first look at the distance by the bits.
+        """A first look at the distance by the bits of the sketch.
 
-        4.5 standard deviations above the bits that differ on average in a pair at the threshold: at 0.6 that is 27 of 64 bits, and
-        by the binomial distribution 0.000014 of those pairs have more.
+        4.5 standard deviations above the bits that differ on average in a pair at the threshold: at 0.6 that is 24 of 56 bits, and
+        by the binomial distribution 0.00003 of those pairs have more.
         """
         differ, bits = (1 - self.least) / 2, min(SKETCH, self.m)
-        return F.bit_count(F.col(one).bitwiseXOR(F.col(two))) <= int(bits * differ + 4.5 * (bits * differ * (1 - differ)) ** 0.5)
+        seen = F.lit((1 << SKETCH) - 1)
+        return F.bit_count(F.col(one).bitwiseXOR(F.col(two)).bitwiseAND(seen)) <= int(bits * differ + 4.5 * (bits * differ * (1 - differ)) ** 0.5)
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """``a, b, similarity`` of the pairs ``a, b`` that are at least as similar as asked: by the Hamming distance first, then exactly."""
-        prints_a, prints_b = (self.classes.select(F.col("uid").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
-        # 4.5 standard deviations below the components that a pair at the threshold shares on average
-        shared = self.least * self.m - 4.5 * (self.m * self.least * (1 - self.least)) ** 0.5
+        short = self.classes.select("uid", "fp").mapInArrow(_short_batches, "uid long, fp binary")
+        prints_a, prints_b = (short.select(F.col("uid").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
+        # 4.5 standard deviations below the components that a pair at the threshold shares on average, by chance or not
+        equal = self.least + (1 - self.least) / 16
+        shared = equal * self.m - 4.5 * (self.m * equal * (1 - equal)) ** 0.5
         most, n, least = int(self.m - max(shared, 1)), self.n, self.least
         near = cut(pairs.join(prints_a, "a").join(prints_b, "b").mapInArrow(lambda it: _distance_batches(it, most), "a long, b long"), "neardup-near")
         # texts are moved only for the classes that are in a surviving pair
@@ -186,8 +218,8 @@ class _Classes:
     def all_links(self) -> DataFrame:
         """The links between all classes that share a block: as many rows as there are such pairs."""
         keyed = self.keyed()
-        met = keyed.toDF("key", "a", "bits_a").join(keyed.toDF("key", "b", "bits_b"), "key").where("a < b")
-        return self.links(met.where(self.alike("bits_a", "bits_b")).select("a", "b").distinct())
+        met = keyed.toDF("high_a", "low_a").join(keyed.toDF("high_b", "low_b"), (self.key("high_a") == self.key("high_b")) & (self.uid("high_a", "low_a") < self.uid("high_b", "low_b")) & self.alike("low_a", "low_b"))
+        return self.links(met.select(self.uid("high_a", "low_a").alias("a"), self.uid("high_b", "low_b").alias("b")).distinct())
 
     def connecting_links(self) -> DataFrame:
         """Links that connect the same classes as :meth:`all_links` does, but as few as classes where a block is shared by many variants of one text.
@@ -195,14 +227,14 @@ class _Classes:
         In each block the classes are compared with one of them, chosen by a hash. Those that are similar to it are connected by that, and
         need no comparison with each other; each of the others is compared with all of its block.
         """
-        keyed = self.keyed()
-        chosen = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "uid").alias("h"), "uid", "bits")).alias("p"), F.count("*").alias("c")).where("c > 1")
-        star = cut(keyed.join(chosen.select("key", F.col("p.uid").alias("pivot"), F.col("p.bits").alias("pivot_bits"), "c"), "key").where("uid <> pivot"), "neardup-star")
+        keyed = self.keyed().select(self.key("high").alias("key"), self.uid("high", "low").alias("uid"), "low")
+        chosen = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "uid").alias("h"), "uid", "low")).alias("p"), F.count("*").alias("c")).where("c > 1")
+        star = cut(keyed.join(chosen.select("key", F.col("p.uid").alias("pivot"), F.col("p.low").alias("pivot_low"), "c"), "key").where("uid <> pivot"), "neardup-star")
         pair = [F.least("uid", "pivot").alias("a"), F.greatest("uid", "pivot").alias("b")]
-        first = cut(self.links(star.where(self.alike("bits", "pivot_bits")).select(*pair).distinct()), "neardup-first")
-        apart = star.where("c > 2").withColumns(dict(zip("ab", pair))).join(first.select("a", "b"), ["a", "b"], "left_anti").select("key", F.col("uid").alias("x"), F.col("bits").alias("bits_x"))
-        met = apart.join(star.select("key", F.col("uid").alias("y"), F.col("bits").alias("bits_y")), "key").where("x <> y")
-        rest = met.where(self.alike("bits_x", "bits_y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        first = cut(self.links(star.where(self.alike("low", "pivot_low")).select(*pair).distinct()), "neardup-first")
+        apart = star.where("c > 2").withColumns(dict(zip("ab", pair))).join(first.select("a", "b"), ["a", "b"], "left_anti").select("key", F.col("uid").alias("x"), F.col("low").alias("low_x"))
+        met = apart.join(star.select("key", F.col("uid").alias("y"), F.col("low").alias("low_y")), "key").where("x <> y")
+        rest = met.where(self.alike("low_x", "low_y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         return first.unionByName(self.links(rest.join(first.select("a", "b"), ["a", "b"], "left_anti")))
 
 
