@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import STOPWORDS, case_variants, content_words, is_usable_keyword, phrase_variants, prefix_stems, raw_words, stopword_chunks
+from lexmill.functions.text import SPACE, STOPWORDS, case_variants, content_words, is_usable_keyword, phrase_variants, prefix_stems, raw_words, stopword_chunks
 
 
 def keywords_with_aspects(keywords: DataFrame) -> DataFrame:
@@ -20,8 +20,8 @@ def keywords_with_aspects(keywords: DataFrame) -> DataFrame:
 
     ``aspect_ix`` counts the key aspects of a topic by name; for others it is null.
     """
-    tidy = keywords.select("qid", "role", F.coalesce("aspect", F.lit("")).alias("aspect"), F.trim(F.regexp_replace("keyword", "\\s+", " ")).alias("keyword"))
-    named = tidy.where("role = 'key'").select("qid", "role", "aspect", F.trim(F.regexp_replace("aspect", "\\s+", " ")).alias("keyword"))
+    tidy = keywords.select("qid", "role", F.coalesce("aspect", F.lit("")).alias("aspect"), F.trim(F.regexp_replace("keyword", SPACE, " ")).alias("keyword"))
+    named = tidy.where("role = 'key'").select("qid", "role", "aspect", F.trim(F.regexp_replace("aspect", SPACE, " ")).alias("keyword"))
     all_ = tidy.unionByName(named).where("keyword <> ''").distinct()
     key = F.when(F.col("role") == "key", F.dense_rank().over(Window.partitionBy("qid", "role").orderBy("aspect")) - 1)
     return all_.select("qid", "role", "aspect", key.alias("aspect_ix"), "keyword")
@@ -45,6 +45,20 @@ def pieces(keywords: DataFrame, vocab: DataFrame, variants: Column | None = None
     return kept, alts
 
 
+def word_pieces(keywords: DataFrame, words: DataFrame) -> DataFrame:
+    """``qid, role, aspect, aspect_ix, keyword, piece, ws``: keywords as sets of their content words over a lower-cased index.
+
+    ``piece`` is the sorted different words, joined, the same for all topics and keywords that ask for them; ``ws`` the array of
+    them. Dropped are keywords as :func:`pieces` drops them. ``words`` has ``tok`` of the words that occur.
+    """
+    asked = keywords.where(is_usable_keyword(F.col("keyword")))
+    lower = F.array_sort(F.array_distinct(F.transform(content_words(F.col("keyword")), lambda w: F.lower(w))))
+    each = asked.select("qid", "role", "aspect", "aspect_ix", "keyword", lower.alias("ws")).withColumn("piece", F.array_join("ws", " "))
+    forms = each.select("piece", F.size("ws").alias("n"), F.explode("ws").alias("tok")).distinct()
+    alive = forms.join(words.select("tok"), "tok", "left_semi").groupBy("piece", "n").agg(F.count("*").alias("c")).where("c = n").select("piece")
+    return each.join(alive, "piece", "left_semi")
+
+
 def peeked_terms(terms: DataFrame, vocab: DataFrame, matched: DataFrame) -> DataFrame:
     """``term, n_words, count, invalid_word``: every term, valid or not.
 
@@ -224,18 +238,26 @@ def adaptive_queries(anchors: DataFrame, pair_counts: DataFrame, links: DataFram
     return canon.withColumn("__r", F.row_number().over(w)).where("__r = 1").select("qid", F.col("lo").alias("a"), F.when(F.col("b").isNotNull(), F.col("hi")).alias("b"), "kind", "n_docs", "score")
 
 
-def keyword_adaptive_queries(terms: DataFrame, with_keys: DataFrame, facet_pairs: DataFrame, most_alone: int, most: int | None = None) -> DataFrame:
-    """``qid, query_id, level, n_docs, score``: keywords few enough alone, the others together with any key, and facets together.
+def keyword_adaptive_queries(terms: DataFrame, term_docs: DataFrame, most_key: int, most_assoc: int, most: int | None = None) -> DataFrame:
+    """``qid, query_id, level, n_docs, score, place``: terms few enough alone, the others together with any key term, and facets together.
 
-    ``terms`` has ``qid, term, n_docs``; ``with_keys`` ``qid, term, n_docs`` of a term AND any key term; ``facet_pairs``
-    ``qid, query_id, n_docs`` of any term of a facet AND any of another. The score is what is left to the bound; the best
-    first, at most ``most``.
+    ``terms`` has ``qid, piece, role, facet, n_docs``, ``term_docs`` ``piece, doc_id``. Level 1: a term of at most ``most_key`` documents
+    (``most_assoc`` for associated ones); its score is what is left to that bound. Level 2: a wider term AND the OR of all key terms, if at
+    most ``most_key`` documents remain, for a score of ``most_key``. Level 3: the OR of a key facet's terms of at most ``most_key`` documents AND that of
+    another one, for twice ``most_key``, or AND that of the associated terms, if at most ``most_key`` remain, for ``most_key``. The best first, at
+    most ``most``.
     """
-    left = (F.lit(float(most_alone)) - F.col("n_docs")).alias("score")
-    alone = terms.where((F.col("n_docs") > 0) & (F.col("n_docs") <= most_alone)).select("qid", F.col("term").alias("query_id"), F.lit(1).alias("level"), "n_docs", left)
-    wide = terms.where(F.col("n_docs") > most_alone).select("qid", "term")
-    second = with_keys.where("n_docs > 0").join(wide, ["qid", "term"], "left_semi").select("qid", F.concat(F.col("term"), F.lit(" AND keys")).alias("query_id"), F.lit(2).alias("level"), "n_docs", left)
-    third = facet_pairs.where("n_docs > 0").select("qid", "query_id", F.lit(3).alias("level"), "n_docs", left)
+    bound = F.when(F.col("role") == "key", most_key).otherwise(most_assoc)
+    alone = terms.where((F.col("n_docs") > 0) & (F.col("n_docs") <= bound)).select("qid", F.col("piece").alias("query_id"), F.lit(1).alias("level"), "n_docs", (bound - F.col("n_docs")).cast("long").alias("score"))
+    held = terms.join(term_docs, "piece")
+    keys = held.where("role = 'key'").select("qid", "doc_id").distinct()
+    wide = held.where(F.col("n_docs") > bound).join(keys, ["qid", "doc_id"], "left_semi").groupBy("qid", "piece").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") <= most_key)
+    second = wide.select("qid", F.concat("piece", F.lit(" AND keys")).alias("query_id"), F.lit(2).alias("level"), "n_docs", F.lit(most_key).cast("long").alias("score"))
+    facets = held.where(F.col("n_docs") <= most_key).select("qid", "role", "facet", "doc_id").distinct()
+    one, two = (facets.select("qid", "doc_id", F.col("facet").alias(f"f{x}"), F.col("role").alias(f"r{x}")) for x in "ab")
+    met = one.where("ra = 'key'").join(two, ["qid", "doc_id"]).where("rb = 'assoc' OR fa < fb").groupBy("qid", "fa", "fb", "rb").agg(F.count("*").alias("n_docs"))
+    met = met.where((F.col("rb") == "key") | (F.col("n_docs") <= most_key))
+    third = met.select("qid", F.concat("fa", F.lit(" x "), "fb").alias("query_id"), F.lit(3).alias("level"), "n_docs", F.when(F.col("rb") == "key", 2 * most_key).otherwise(most_key).cast("long").alias("score"))
     out = alone.unionByName(second).unionByName(third)
     out = out.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "query_id")))
     return out if most is None else out.where(F.col("place") <= most)

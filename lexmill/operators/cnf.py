@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.operators.index import positions, positions_of
+from lexmill.operators.index import Index, positions, positions_of, postings_of
 from lexmill.plans.shared import cut, if_small, sized_broadcast
 
 #: A query's clauses, each a list of phrases, each a list of words.
@@ -30,14 +30,15 @@ def canonical(cnf: Cnf) -> tuple:
     return tuple(sorted({tuple(sorted({tuple(p) for p in clause})) for clause in cnf}))
 
 
-def phrase_hits(documents: DataFrame, phrases: DataFrame) -> DataFrame:
+def phrase_hits(documents: DataFrame | None, phrases: DataFrame, at: Index | None = None) -> DataFrame:
     """``phrase, doc_id, pos, length`` of every occurrence of every phrase; ``phrases`` has a column ``phrase``.
 
     A document's words meet the phrases' words by a join; a phrase begins where all its words meet at one start. The
     words of a document stay together up to that count, so they are added up before any exchange.
     """
-    met = positions(documents).join(if_small(_phrase_words(phrases)), "tok")
-    return _starts(met)
+    wanted = _phrase_words(phrases)
+    there = positions(documents) if at is None else positions_of(at, wanted)
+    return _starts(there.join(if_small(wanted), "tok"))
 
 
 def _phrase_words(phrases: DataFrame) -> DataFrame:
@@ -50,11 +51,10 @@ def _starts(met: DataFrame) -> DataFrame:
     return starts.where("c = length").select("phrase", "doc_id", "pos", "length")
 
 
-def clause_hits(documents: DataFrame | None, alts: DataFrame, at: DataFrame | None = None) -> DataFrame:
+def clause_hits(documents: DataFrame | None, alts: DataFrame, at: Index | None = None) -> DataFrame:
     """``query_id, n_clauses, clause, doc_id, pos, length``: the hits of each clause.
 
-    With ``at``, a position table as :func:`lexmill.operators.index.write_index` makes it, the documents themselves are
-    not read, and of that table only the words that are asked for.
+    With ``at``, a written index, the documents themselves are not read, and of the index only the words that are asked for.
     """
     few, small = sized_broadcast(alts)
     wanted = _phrase_words(alts)  # no more phrases than alternatives
@@ -63,18 +63,19 @@ def clause_hits(documents: DataFrame | None, alts: DataFrame, at: DataFrame | No
     return hits.join(few, "phrase").select("query_id", "n_clauses", "clause", "doc_id", "pos", "length").distinct()
 
 
-def spans(hits: DataFrame, most_clauses: int, ends: bool = False) -> DataFrame:
+def spans(hits: DataFrame, most_clauses: int, ends: bool = False, whole: bool = False) -> DataFrame:
     """``query_id, doc_id, span, n_occ`` of the documents in which every clause of a query has a hit.
 
     ``span`` is the smallest distance of the first and the last start of one hit for each clause (with ``ends``, from
     the first start to the last end); 0 for a single clause. ``n_occ`` are the hits of the rarest clause.
 
     Going through a document's hits in order, the last hit of each clause so far makes the smallest span that ends
-    at the current hit: one running window instead of a loop with two pointers.
+    at the current hit: one running window instead of a loop with two pointers. ``whole`` says that ``hits`` has only documents
+    with a hit of every clause.
     """
-    whole = Window.partitionBy("query_id", "doc_id")
-    seen = hits.withColumn("there", F.size(F.collect_set("clause").over(whole))).where("there = n_clauses")
-    running = whole.orderBy("pos", "clause", "length").rowsBetween(Window.unboundedPreceding, 0)
+    of = Window.partitionBy("query_id", "doc_id")
+    seen = hits if whole else hits.withColumn("there", F.size(F.collect_set("clause").over(of))).where("there = n_clauses")
+    running = of.orderBy("pos", "clause", "length").rowsBetween(Window.unboundedPreceding, 0)
     last = seen
     for i in range(most_clauses):
         mine = F.when(F.col("clause") == i, F.struct("pos", (F.col("pos") + F.col("length") - 1).alias("end")))
@@ -97,12 +98,49 @@ def most_clauses(alts: DataFrame) -> int:
     return alts.agg(F.max("n_clauses")).first()[0] or 1
 
 
-def matches(documents: DataFrame | None, alts: DataFrame, within: int | None = None, at: DataFrame | None = None) -> DataFrame:
+def matches(documents: DataFrame | None, alts: DataFrame, within: int | None = None, at: Index | None = None) -> DataFrame:
     """``query_id, doc_id, span, n_occ`` of each query's documents, with a span of at most ``within`` words if given."""
     found = spans(clause_hits(documents, alts, at), most_clauses(alts))
     return found if within is None else found.where(F.col("span") <= within)
 
 
+def word_sets(named: DataFrame, name: str, words: str) -> DataFrame:
+    """``query_id, n_clauses, clause, tok``: queries that ask for all words of an array, each word a clause."""
+    return named.select(F.col(name).alias("query_id"), F.size(words).alias("n_clauses"), F.posexplode(words).alias("clause", "tok")).distinct()
+
+
+def set_documents(at: Index, sets: DataFrame) -> DataFrame:
+    """``query_id, n_clauses, doc_id, at`` of the documents that hold all words of a query; ``at`` has ``clause, ps`` of each word.
+
+    The documents of a query's rarest word are looked up first; only for those the other words are asked, so that a common
+    word beside a rare one costs no more than the rare one has documents. A word that is asked by many queries is looked up once.
+    """
+    known = cut(sets.join(at.words.select("tok", "df"), "tok", "left"), "set-words")
+    w = Window.partitionBy("query_id")
+    ordered = known.withColumn("dead", F.max(F.col("df").isNull()).over(w)).where("NOT dead").withColumn("r", F.row_number().over(w.orderBy("df", "clause"))).drop("dead", "df")
+    ordered = cut(ordered, "set-order")
+    held = postings_of(at, ordered)
+    first, rest = ordered.where("r = 1").drop("r"), ordered.where("r > 1").drop("r")
+    found = held.join(if_small(first), "tok").select("query_id", "n_clauses", "doc_id", F.struct("clause", "ps").alias("x"))
+    more = found.where("n_clauses > 1").select("query_id", "doc_id").join(if_small(rest), "query_id").join(held, ["tok", "doc_id"]).select("query_id", "n_clauses", "doc_id", F.struct("clause", "ps").alias("x"))
+    several = found.where("n_clauses > 1").unionByName(more).groupBy("query_id", "n_clauses", "doc_id").agg(F.collect_list("x").alias("at")).where(F.size("at") == F.col("n_clauses"))
+    return found.where("n_clauses = 1").select("query_id", "n_clauses", "doc_id", F.array("x").alias("at")).unionByName(several)
+
+
+def set_matches(at: Index, sets: DataFrame) -> DataFrame:
+    """``query_id, doc_id, span, n_occ`` as :func:`matches`, for queries that are sets of words (:func:`word_sets`)."""
+    found = cut(set_documents(at, sets), "set-documents")
+    one = found.where("n_clauses = 1").select("query_id", "doc_id", F.lit(0).cast("long").alias("span"), F.size(F.col("at")[0]["ps"]).cast("long").alias("n_occ"))
+    # a word that occurs once in a document gives all spans an anchor; where all words do, no window is needed
+    several = found.where("n_clauses > 1")
+    once = F.forall("at", lambda x: F.size(x["ps"]) == 1)
+    places = F.transform("at", lambda x: x["ps"][0])
+    two = several.where(once).select("query_id", "doc_id", (F.array_max(places) - F.array_min(places)).cast("long").alias("span"), F.lit(1).cast("long").alias("n_occ"))
+    hits = several.where(~once).select("query_id", "n_clauses", "doc_id", F.explode("at").alias("x")).select("query_id", "n_clauses", "x.clause", "doc_id", F.explode("x.ps").alias("pos")).withColumn("length", F.lit(1))
+    most = several.agg(F.max("n_clauses")).first()[0] or 1
+    return one.unionByName(two).unionByName(spans(hits, most, whole=True))
+
+
 def counts(matched: DataFrame, alts: DataFrame, bounds: Sequence[int]) -> DataFrame:
     """``query_id, within, n_docs, n_occ`` for each query and bound; 0 where nothing matches."""
     asked = alts.select("query_id").distinct().select("query_id", F.explode(F.array(*[F.lit(b) for b in bounds])).alias("within"))

@@ -1,18 +1,20 @@
 """The index: documents as word arrays, positions, vocabulary, extensions.
 
-There is no suffix array. A position table is a projection of the word arrays; where it is written, it is bucketed by
-word, so that a query reads the buckets of its own words.
+There is no suffix array. A position table is a projection of the word arrays; a written index has the positions of each word in
+each document, by buckets of words, so that a query reads the buckets of its own words.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions import numbers
 from lexmill.functions.text import words
 from lexmill.plans.ordered import numbered
-from lexmill.plans.shared import col, if_small
+from lexmill.plans.shared import col, cut, if_small
 
 
 def doc_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenize=words) -> DataFrame:
@@ -33,31 +35,74 @@ def all_words(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.explode_outer("ws").alias("tok")).where("tok IS NOT NULL")
 
 
-def write_index(docs: DataFrame, name: str, buckets: int = 200, **columns) -> None:
-    """Saves ``{name}_docs`` bucketed by document and ``{name}_positions`` bucketed and sorted by word."""
+@dataclass(frozen=True)
+class Index:
+    """A written index: ``postings`` (``bucket, tok, doc_id, ps`` with sorted positions), ``docs`` (``doc_id, dl, hs``) and ``words`` (``tok, tf, df``).
+
+    ``dl`` is a document's number of words and ``hs`` the hashes of its different ones. A folder of the postings holds the words of
+    one hash bucket, so that a query reads only the folders of its own words.
+    """
+
+    postings: DataFrame
+    docs: DataFrame
+    words: DataFrame
+    buckets: int
+
+
+def _bucket(tok: Column, buckets: int) -> Column:
+    return F.pmod(F.hash(tok), F.lit(buckets)).cast("int")
+
+
+def build_index(docs: DataFrame, path: str, buckets: int = 16, splits: int = 4, **columns) -> Index:
+    """Writes the index of ``docs`` below ``path``, in one pass over their texts; positions of a word are grouped before they are exchanged.
+
+    A bucket lies in ``splits`` files by the hash of the document, so that the commonest word isn't written by one task.
+    """
     documents = doc_words(docs, **columns)
-    documents.write.mode("overwrite").bucketBy(buckets, "doc_id").saveAsTable(f"{name}_docs")
-    positions(documents).write.mode("overwrite").bucketBy(buckets, "tok").sortBy("tok", "doc_id").saveAsTable(f"{name}_positions")
+    tokens = cut(documents, "index-words")  # read twice
+    tokens.select("doc_id", F.size("ws").alias("dl"), F.transform(F.array_distinct("ws"), lambda w: F.xxhash64(w)).alias("hs")).write.parquet(f"{path}/docs")
+    per = positions(tokens).groupBy("tok", "doc_id").agg(F.array_sort(F.collect_list("pos")).alias("ps")).withColumn("bucket", _bucket(F.col("tok"), buckets))
+    per = per.repartition("bucket", F.pmod(F.hash("doc_id"), F.lit(splits))).sortWithinPartitions("bucket", "tok", "doc_id")
+    per.write.partitionBy("bucket").parquet(f"{path}/postings")
+    docs.sparkSession.read.parquet(f"{path}/postings").groupBy("tok").agg(F.sum(F.size("ps")).alias("tf"), F.count("*").alias("df")).write.parquet(f"{path}/words")
+    return read_index(docs.sparkSession, path, buckets)
+
 
+def read_index(spark: SparkSession, path: str, buckets: int = 16) -> Index:
+    read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
+    kind = spark.read.parquet(f"{path}/docs").schema["doc_id"].dataType.simpleString()
+    postings = read("postings", f"tok string, doc_id {kind}, ps array<int>, bucket int")
+    return Index(postings, read("docs", f"doc_id {kind}, dl int, hs array<bigint>"), read("words", "tok string, tf bigint, df bigint"), buckets)
 
-def positions_of(at: DataFrame, asked: DataFrame, few: int = 5_000) -> DataFrame:
-    """The rows of a written position table for the words in ``asked`` (a column ``tok``).
 
-    Up to ``few`` words are named in the filter, so that the scan reads only their buckets and row groups; more are joined.
+def postings_of(at: Index, asked: DataFrame, few: int = 1_000) -> DataFrame:
+    """``tok, doc_id, ps`` for the words in ``asked`` (a column ``tok``).
+
+    Up to ``few`` words are named in the filter with their buckets, so that only those folders are read; more are joined.
     """
-    words_ = [r["tok"] for r in asked.select("tok").distinct().limit(few + 1).collect()]
-    if len(words_) <= few:
-        return at.where(F.col("tok").isin(words_))
-    return at.join(if_small(asked.select("tok").distinct()), "tok", "left_semi")
+    words_ = asked.select("tok").distinct()
+    named = [r["tok"] for r in words_.limit(few + 1).collect()]
+    if len(named) <= few:
+        spark = asked.sparkSession
+        of = spark.createDataFrame([(w,) for w in named], "tok string").select(_bucket(F.col("tok"), at.buckets).alias("b")).distinct() if named else None
+        folders = [r["b"] for r in of.collect()] if of is not None else []
+        return at.postings.where(F.col("bucket").isin(folders) & F.col("tok").isin(named)).select("tok", "doc_id", "ps")
+    return at.postings.join(if_small(words_), "tok", "left_semi").select("tok", "doc_id", "ps")
+
+
+def positions_of(at: Index, asked: DataFrame) -> DataFrame:
+    """``doc_id, pos, tok`` of the words in ``asked``, as :func:`positions` has them of all."""
+    return postings_of(at, asked).select("doc_id", F.explode("ps").alias("pos"), "tok")
 
 
 def vocabulary(documents: DataFrame) -> DataFrame:
     """``tok, tf, df, p``: occurrences, documents, and the share of all occurrences.
 
-    A document's words are counted within the document first, so that both counts need one exchange.
+    Occurrences and first occurrences are counted together by word, so that one exchange of partial counts is needed.
     """
-    per_doc = all_words(documents).groupBy("tok", "doc_id").agg(F.count("*").alias("c"))
-    counts = per_doc.groupBy("tok").agg(F.sum("c").alias("tf"), F.count("*").alias("df"))
+    first = F.array_distinct("ws")
+    each = documents.select(F.explode_outer(F.concat(F.transform("ws", lambda w: F.struct(w.alias("tok"), F.lit(0).alias("one"))), F.transform(first, lambda w: F.struct(w.alias("tok"), F.lit(1).alias("one"))))).alias("x")).where("x IS NOT NULL")
+    counts = each.select("x.tok", "x.one").groupBy("tok").agg(F.count_if(F.col("one") == 0).alias("tf"), F.sum("one").alias("df"))
     total = documents.agg(F.sum(F.size("ws")).alias("total"))  # one row
     return counts.crossJoin(F.broadcast(total)).select("tok", "tf", "df", (F.col("tf") / F.col("total")).alias("p"))
 

@@ -1,32 +1,43 @@
 """Choosing queries under a budget of documents.
 
-A budget with skips is sequential: each candidate is taken if it still fits. It is folded over a topic's sorted list of
-candidates inside the JVM; only counts and names are in that list, never documents.
+A budget with skips is sequential: each candidate is taken if it still fits. A topic's candidates stream by in their order with one
+running total; they are counts and names, never documents.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def fold_budget(df: DataFrame, key: str, order: Sequence[str], name: str, count: str, budget: Column | int, stop: bool = False) -> DataFrame:
+def fold_budget(df: DataFrame, key: str, order: Sequence[str], name: str, count: str, budget: Column | int, stop: bool = False, most: int | None = None) -> DataFrame:
     """The rows kept of each ``key``: in order, a row is taken if its ``count`` still fits ``budget``, else skipped.
 
-    With ``stop`` the first row that doesn't fit ends the list. ``budget`` may be a column that is constant within a
-    key. Rows with a null count are skipped. ``name`` identifies a row within its key.
+    With ``stop`` the first row that doesn't fit ends the list; at most ``most`` rows are taken if given. ``budget`` may be a column that
+    is constant within a key. Rows with a null count are skipped. ``name`` orders rows that are equal in ``order``. Rows of a key
+    stream by in order, and only the running total is held.
     """
-    rows = df.where(F.col(count).isNotNull()).withColumn("__b", budget if isinstance(budget, Column) else F.lit(budget)).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(name).alias("__name"), F.col(count).cast("long").alias("__count")))).alias("l"), F.max("__b").cast("long").alias("b"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("kept"), F.lit(False).alias("over"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = (acc["used"] + x["__count"] <= F.col("b")) & (F.lit(not stop) | ~acc["over"])
-        return F.struct(F.when(fits, acc["used"] + x["__count"]).otherwise(acc["used"]).alias("used"), F.when(fits, F.array_append(acc["kept"], x["__name"].cast("string"))).otherwise(acc["kept"]).alias("kept"), (acc["over"] | ~fits).alias("over"))
-
-    kept = rows.select(key, F.explode(F.aggregate("l", start, step)["kept"]).alias("__kept"))
-    return df.join(kept, (df[key] == kept[key]) & (df[name].cast("string") == kept["__kept"]), "left_semi")
+    columns = df.columns
+    rows = df.where(F.col(count).isNotNull()).withColumn("__budget", (budget if isinstance(budget, Column) else F.lit(budget)).cast("long")).withColumn("__count", F.col(count).cast("long"))
+    sorted_ = rows.repartition(key).sortWithinPartitions(key, *order, name)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used, n, over, first = None, 0, 0, False, True
+        for b in batches:
+            flags = []
+            for k, c, room in zip(b[key].to_pylist(), b["__count"].to_pylist(), b["__budget"].to_pylist()):
+                if first or k != now:
+                    now, used, n, over, first = k, 0, 0, False, False
+                fits = room is not None and used + c <= room and not (stop and over) and (most is None or n < most)
+                over = over or not fits
+                used, n = (used + c, n + 1) if fits else (used, n)
+                flags.append(fits)
+            yield b.filter(pa.array(flags, pa.bool_())).select(columns)
+
+    return sorted_.mapInArrow(keep, df.schema)
 
 
 def early_stop(df: DataFrame, key: str, order: Sequence[str], count: str, enough: int) -> DataFrame:
@@ -82,13 +93,50 @@ def peek_and_grab(peeked: DataFrame, combos: DataFrame, budget: int = 20_000, as
     return so_far.unionByName(filled.select("qid", F.col("piece").alias("query_id"), F.lit(4).alias("phase"), "n_docs"))
 
 
-def combination_queries(candidates: DataFrame, budget: int, most_queries: int = 200) -> DataFrame:
-    """The earlier scheme: candidates ``qid, query_id, step, n_docs`` in order of step, then count, while they fit.
+def combination_candidates(peeked: DataFrame, pieces: DataFrame) -> DataFrame:
+    """``qid, step, o1, s1, o2, s2, members``: the combinations of the earlier scheme, in the order ``step, o1, s1, o2, s2`` in which they are tried.
 
-    Steps: 1 all aspects, 2 pairs of aspects, 3 expansion and another aspect's name, 4 aspect and associated, 5 expansion
-    and associated. Equal queries count once, at their first step; a topic has at most ``most_queries``, which is a
+    Only pieces that weren't taken alone and occur are combined. An aspect's name is the piece of its own name, else its cheapest. Steps:
+    1 all aspects' names, if three or more; 2 two names; 3 an expansion, the cheapest first, and another aspect's name; 4 an associated piece and a
+    name; 5 an expansion and an associated piece. ``pieces`` has ``qid, piece, role, aspect_ix, aspect, keyword``.
+    """
+    rest = peeked.where("NOT grabbed AND n_docs > 0").select("qid", "piece", "role", "aspect_ix", "n_docs")
+    own = pieces.where("role = 'key'").groupBy("qid", "piece", "aspect_ix").agg(F.max(F.lower("keyword") == F.lower("aspect")).alias("own"))
+    key = rest.where("role = 'key'").join(own, ["qid", "piece", "aspect_ix"])
+    w = Window.partitionBy("qid", "aspect_ix").orderBy(F.desc("own"), "n_docs", "piece")
+    key = key.withColumn("__r", F.row_number().over(w))
+    name = key.where("__r = 1").select("qid", F.col("aspect_ix").alias("ix"), F.col("piece").alias("name"))
+    other = key.where("__r > 1").select("qid", "piece", "aspect_ix", "n_docs")
+    assoc = rest.where("role = 'assoc'").select("qid", F.col("piece").alias("assoc"), F.col("n_docs").alias("an"))
+    no, none = F.lit(0).cast("long"), F.lit("")
+
+    def made(df: DataFrame, step: int, members: Column, o1=no, s1=none, o2=no, s2=none) -> DataFrame:
+        return df.select("qid", F.lit(step).alias("step"), o1.cast("long").alias("o1"), s1.alias("s1"), o2.cast("long").alias("o2"), s2.alias("s2"), members.alias("members"))
+
+    two = name.join(name.toDF("qid", "ix2", "name2"), "qid").where("ix < ix2")
+    x, n, a, c = F.col("piece"), F.col("name"), F.col("assoc"), F.col("n_docs")
+    parts = [
+        made(name.groupBy("qid").agg(F.collect_list("name").alias("m")).where("size(m) >= 3"), 1, F.col("m")),
+        made(two, 2, F.array("name", "name2"), F.col("ix"), none, F.col("ix2")),
+        made(other.join(name, "qid").where("ix <> aspect_ix"), 3, F.array(x, n), c, x, F.col("ix")),
+        made(assoc.join(name, "qid"), 4, F.array(n, a), F.col("an"), a, F.col("ix")),
+        made(other.join(assoc, "qid"), 5, F.array(x, a), c, x, F.col("an"), a),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def combination_queries(candidates: DataFrame, peeked: DataFrame, budget: int, most_queries: int = 200) -> DataFrame:
+    """The earlier scheme: candidates ``qid, query_id, n_docs`` and their order, while they fit what the pieces taken alone have left of the budget.
+
+    Equal queries count once, at their first place; those without documents are passed over; a topic has at most ``most_queries``, which is a
     setting of the scheme.
     """
-    once = candidates.groupBy("qid", "query_id").agg(F.min_by("n_docs", "step").alias("n_docs"), F.min("step").alias("step")).where("n_docs > 0")
-    kept = fold_budget(once, "qid", ["step", "n_docs", "query_id"], "query_id", "n_docs", budget)
-    return kept.withColumn("__n", F.row_number().over(Window.partitionBy("qid").orderBy("step", "n_docs", "query_id"))).where(F.col("__n") <= most_queries).drop("__n")
+    order = ["step", "o1", "s1", "o2", "s2"]
+    first = Window.partitionBy("qid", "query_id").orderBy(*order)
+    once = candidates.where("n_docs > 0").withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r")
+    spent = peeked.groupBy("qid").agg(F.coalesce(F.sum(F.when(F.col("grabbed"), F.col("n_docs"))), F.lit(0)).alias("spent"))
+    known = once.join(spent, "qid", "left").withColumn("left", F.lit(budget) - F.coalesce("spent", F.lit(0)))
+    return fold_budget(known, "qid", order, "query_id", "n_docs", F.col("left"), most=most_queries)

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lexmill.operators import build, cnf, index, rank, resolve, select
+from lexmill.functions.text import content_words
+from lexmill.operators import build, cnf, index, select
 from lexmill.plans.ordered import running_total
-from lexmill.plans.registry import SQL_PIECES, SQL_WORDS, keywords, lower_pieces, query, sql_spans, table, values
+from lexmill.plans.registry import SQL_PIECES, SQL_WORDS, index_for, lower_pieces, query, sql_spans, stop_list, table, values
 from lexmill.plans.shared import cut
 
-#: Phrases that are looked up, and bounds of proximity, as settings.
+#: Phrases that are looked up, as a setting.
 PHRASES = ["heat pump", "power grid", "the", "of the", "zz none such", "blood pressure and", "in"]
-BOUNDS = (10, 50, 100)
 #: Thresholds of the selection, scaled to a small corpus by share of its documents, as settings.
 KEY_SHARE, ASSOC_SHARE, BUDGET_SHARE = 0.08, 0.04, 0.25
 
@@ -32,25 +32,19 @@ def _phrases(spark):
 
 @query(f"WITH {SQL_WORDS}, {_PHRASE_HITS} SELECT phrase, count(hit.doc_id) n_occ, count(DISTINCT hit.doc_id) n_docs FROM ps LEFT JOIN hit USING (phrase) GROUP BY phrase")
 def phrase_counts(spark, d):
-    hits = cnf.phrase_hits(_docs(spark, d), _phrases(spark))
+    hits = cnf.phrase_hits(None, _phrases(spark), index_for(spark, d))
     per = hits.groupBy("phrase", "doc_id").agg(F.count("*").alias("c")).groupBy("phrase").agg(F.sum("c").alias("n_occ"), F.count("*").alias("n_docs"))
     return _phrases(spark).join(per, "phrase", "left").na.fill(0)
 
 
 @query(f"WITH {SQL_WORDS}, {_PHRASE_HITS} SELECT phrase, doc_id, pos FROM hit")
 def phrase_find(spark, d):
-    return cnf.phrase_hits(_docs(spark, d), _phrases(spark)).select("phrase", "doc_id", "pos")
+    return cnf.phrase_hits(None, _phrases(spark), index_for(spark, d)).select("phrase", "doc_id", "pos")
 
 
 @query(f"WITH {SQL_WORDS}, {_PHRASE_HITS} SELECT DISTINCT phrase, doc_id FROM hit")
 def phrase_docs(spark, d):
-    return cnf.phrase_hits(_docs(spark, d), _phrases(spark)).select("phrase", "doc_id").distinct()
-
-
-@query(f"WITH {SQL_WORDS}, {SQL_PIECES} SELECT DISTINCT qid, role, aspect, CAST(aspect_ix AS INT) aspect_ix, keyword, piece, n n_words FROM pc")
-def pieces(spark, d):
-    p, _ = lower_pieces(spark, _docs(spark, d))
-    return p.select("qid", "role", "aspect", "aspect_ix", "keyword", "piece", "n_words").distinct()
+    return cnf.phrase_hits(None, _phrases(spark), index_for(spark, d)).select("phrase", "doc_id").distinct()
 
 
 _SP = sql_spans("ph", "piece", 4)
@@ -67,17 +61,6 @@ def _piece_spans(spark, d):
     return p, alts, cut(cnf.spans(hits, cnf.most_clauses(alts)), "matches"), docs
 
 
-@query(f"WITH {SQL_WORDS}, {SQL_PIECES}, {_SP} SELECT piece query_id, doc_id, span, n_occ FROM sp")
-def cnf_matches(spark, d):
-    return _piece_spans(spark, d)[2]
-
-
-@query(f"""WITH {SQL_WORDS}, {SQL_PIECES}, {_SP}, b AS (SELECT unnest([10, 50, 100]) bound) SELECT pp.piece query_id, bound AS "within", count(*) FILTER (span <= bound) n_docs, coalesce(sum(n_occ) FILTER (span <= bound), 0)::BIGINT n_occ FROM (SELECT DISTINCT piece FROM pw) pp CROSS JOIN b LEFT JOIN sp ON sp.piece = pp.piece GROUP BY ALL""")
-def cnf_counts(spark, d):
-    _, alts, m, _ = _piece_spans(spark, d)
-    return cnf.counts(m, alts, BOUNDS)
-
-
 _OR = [("any energy", 0, "heat pump"), ("any energy", 0, "wind turbine"), ("any energy", 0, "coal mine"), ("energy and health", 0, "heat pump"), ("energy and health", 0, "power grid"), ("energy and health", 1, "fever"), ("energy and health", 1, "vaccine"), ("three", 0, "the"), ("three", 1, "near"), ("three", 1, "around"), ("three", 2, "since"), ("three", 2, "until")]
 _OR_N = {q: max(c for x, c, _ in _OR if x == q) + 1 for q, _, _ in _OR}
 
@@ -88,7 +71,7 @@ _OR_N = {q: max(c for x, c, _ in _OR if x == q) + 1 for q, _, _ in _OR}
     {sql_spans("h", "query_id", 3)} SELECT query_id, doc_id, span, n_occ FROM sp""")
 def cnf_alternatives(spark, d):
     q = {name: [[p.split(" ") for x, k, p in _OR if x == name and k == c] for c in range(n)] for name, n in _OR_N.items()}
-    return cnf.matches(_docs(spark, d), cnf.alternatives(spark, q))
+    return cnf.matches(None, cnf.alternatives(spark, q), at=index_for(spark, d))
 
 
 _PAIRS = """pr AS (
@@ -109,23 +92,6 @@ def _pair_counts(p, hits, within=100):
     return pairs.join(n, "query_id", "left").na.fill(0, ["n_docs"])
 
 
-@query(f"WITH {SQL_WORDS}, {SQL_PIECES}, {_PAIRS} SELECT pr.qid, pr.query_id, a, b, kind, count(*) FILTER (span <= 100) n_docs FROM pr LEFT JOIN ps USING (query_id) GROUP BY ALL")
-def pair_counts(spark, d):
-    p, _, hits, _ = _piece_hits(spark, d)
-    return _pair_counts(p, hits).select("qid", "query_id", "a", "b", "kind", "n_docs")
-
-
-@query(f"""WITH {SQL_WORDS}, {SQL_PIECES}, dp AS (SELECT piece, doc_id FROM ph GROUP BY piece, doc_id, n HAVING count(DISTINCT clause) = n),
-    k AS (SELECT DISTINCT qid, piece, aspect_ix FROM pc WHERE role = 'key'),
-    t AS (SELECT a.qid, a.piece a, b.piece b, c.piece c FROM k a JOIN k b ON a.qid = b.qid AND a.aspect_ix < b.aspect_ix JOIN k c ON c.qid = b.qid AND b.aspect_ix < c.aspect_ix)
-    SELECT t.qid, t.a || ' + ' || t.b || ' + ' || t.c query_id, count(x.doc_id) n_docs FROM t LEFT JOIN (SELECT p.piece a, q.piece b, r.piece c, p.doc_id FROM dp p JOIN dp q USING (doc_id) JOIN dp r USING (doc_id)) x ON x.a = t.a AND x.b = t.b AND x.c = t.c GROUP BY ALL""")
-def triple_counts(spark, d):
-    p, _, hits, _ = _piece_hits(spark, d)
-    three = build.ceiling_queries(p, ["3way_and"]).select("qid", "query_id", *[F.col("members")[i].alias(x) for i, x in enumerate("abc")])
-    met = cnf.combined_hits(hits, three.select("query_id", "a", "b", "c"), ["a", "b", "c"]).groupBy("query_id").agg(F.count_distinct("doc_id").alias("n_docs"))
-    return three.join(met, "query_id", "left").na.fill(0, ["n_docs"]).select("qid", "query_id", "n_docs")
-
-
 _LIMITS = f"lim AS (SELECT count(*) * {KEY_SHARE} key_most, count(*) * {ASSOC_SHARE} assoc_most, CAST(count(*) * {BUDGET_SHARE} AS BIGINT) budget FROM documents)"
 _PEEK = f"""{_SP}, {_LIMITS}, pk AS (SELECT DISTINCT p.qid, p.piece, p.role, p.aspect_ix, coalesce(c.n_docs, 0) n_docs FROM pc p LEFT JOIN (SELECT piece, count(*) n_docs FROM sp WHERE span <= 10 GROUP BY piece) c USING (piece)),
     pg AS (SELECT pk.*, n_docs > 0 AND n_docs <= CASE WHEN role = 'key' THEN key_most ELSE assoc_most END grabbed FROM pk, lim)"""
@@ -139,59 +105,12 @@ def _peeked(spark, d, evaluated=None):
     return select.grabbed_alone(all_, n * KEY_SHARE, n * ASSOC_SHARE), n
 
 
-@query(f"WITH {SQL_WORDS}, {SQL_PIECES}, {_PEEK} SELECT qid, piece, role, n_docs, grabbed FROM pg")
-def peeked_pieces(spark, d):
-    return _peeked(spark, d)[0].select("qid", "piece", "role", "n_docs", "grabbed")
-
-
-@query(f"""WITH RECURSIVE {SQL_WORDS}, {SQL_PIECES}, {_PAIRS}, {_PEEK},
-    pcn AS (SELECT pr.qid, pr.query_id, a, b, kind, count(*) FILTER (span <= 100) n_docs FROM pr LEFT JOIN ps USING (query_id) GROUP BY ALL),
-    rest AS (SELECT * FROM pg WHERE NOT grabbed AND n_docs > 0),
-    fst AS (SELECT qid, min(aspect_ix) ix FROM rest WHERE role = 'key' GROUP BY qid),
-    cmb AS (SELECT c.* FROM pcn c JOIN rest x ON x.qid = c.qid AND x.piece = c.a AND x.role = 'key' JOIN rest y ON y.qid = c.qid AND y.piece = c.b JOIN fst ON fst.qid = c.qid, lim
-        WHERE c.n_docs > 0 AND c.n_docs <= key_most AND (kind = 'key-key' OR (x.aspect_ix = fst.ix AND y.n_docs <= 50000))),
-    spent AS (SELECT qid, coalesce(sum(n_docs) FILTER (grabbed), 0) s FROM pg GROUP BY qid),
-    cw2 AS (SELECT cmb.*, kind = 'key-assoc' AND cmb.n_docs <= assoc_most / 2 always, sum(cmb.n_docs) OVER (PARTITION BY cmb.qid) tot, coalesce(sum(CASE WHEN kind = 'key-assoc' AND cmb.n_docs <= assoc_most / 2 THEN cmb.n_docs END) OVER (PARTITION BY cmb.qid), 0) cheap, budget - s AS room FROM cmb JOIN spent USING (qid), lim),
-    ord3 AS (SELECT qid, query_id, n_docs, room - cheap AS room, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN kind = 'key-key' THEN 0 ELSE 1 END, n_docs, query_id) i FROM cw2 WHERE tot > room AND NOT always),
-    f3 AS (SELECT qid, 0::BIGINT i, 0::HUGEINT used, NULL::VARCHAR kept FROM (SELECT DISTINCT qid FROM ord3)
-        UNION ALL SELECT f3.qid, ord3.i, CASE WHEN f3.used + n_docs <= room THEN f3.used + n_docs ELSE f3.used END, CASE WHEN f3.used + n_docs <= room THEN query_id END FROM f3 JOIN ord3 ON ord3.qid = f3.qid AND ord3.i = f3.i + 1),
-    upto AS (SELECT qid, piece query_id, 1 phase, n_docs FROM pg WHERE grabbed
-        UNION ALL SELECT qid, query_id, 2, n_docs FROM cw2 WHERE tot <= room
-        UNION ALL SELECT qid, query_id, 3, n_docs FROM cw2 WHERE tot > room AND always
-        UNION ALL SELECT o.qid, o.query_id, 3, o.n_docs FROM f3 JOIN ord3 o ON o.qid = f3.qid AND o.i = f3.i WHERE kept IS NOT NULL),
-    ord4 AS (SELECT rest.qid, piece, rest.n_docs, budget - coalesce(u.used, 0) AS room, row_number() OVER (PARTITION BY rest.qid ORDER BY rest.n_docs, piece) i FROM rest LEFT JOIN (SELECT qid, sum(n_docs) used FROM upto GROUP BY qid) u ON u.qid = rest.qid, lim),
-    f4 AS (SELECT qid, 0::BIGINT i, 0::HUGEINT used, NULL::VARCHAR kept FROM (SELECT DISTINCT qid FROM ord4)
-        UNION ALL SELECT f4.qid, ord4.i, CASE WHEN f4.used + n_docs <= room THEN f4.used + n_docs ELSE f4.used END, CASE WHEN f4.used + n_docs <= room THEN piece END FROM f4 JOIN ord4 ON ord4.qid = f4.qid AND ord4.i = f4.i + 1)
-    SELECT qid, query_id, phase, n_docs FROM upto UNION ALL SELECT o.qid, o.piece, 4, o.n_docs FROM f4 JOIN ord4 o ON o.qid = f4.qid AND o.i = f4.i WHERE kept IS NOT NULL""")
-def peek_and_grab(spark, d):
-    return selected(spark, d)[0]
-
-
 def selected(spark, d):
     pieces_, alts, hits, docs = _piece_hits(spark, d)
     p, n = _peeked(spark, d, (pieces_, alts, cnf.spans(hits, cnf.most_clauses(alts)), docs))
     p = cut(p, "peeked")
     pairs = cut(_pair_counts(pieces_, hits), "pairs")
-    combos = cut(select.combos_of_rest(p, pairs, n * KEY_SHARE), "combos")
-    return select.peek_and_grab(p, combos, int(n * BUDGET_SHARE), n * ASSOC_SHARE), p, pairs
-
-
-@query(f"""WITH RECURSIVE {SQL_WORDS}, {SQL_PIECES}, {_PAIRS}, {_LIMITS}, dp AS (SELECT piece, doc_id FROM ph GROUP BY piece, doc_id, n HAVING count(DISTINCT clause) = n), k AS (SELECT DISTINCT qid, piece, aspect_ix FROM pc WHERE role = 'key'),
-    t AS (SELECT a.qid, a.piece || ' + ' || b.piece || ' + ' || c.piece query_id, count(*) n FROM k a JOIN k b ON a.qid = b.qid AND a.aspect_ix < b.aspect_ix JOIN k c ON c.qid = b.qid AND b.aspect_ix < c.aspect_ix JOIN dp x ON x.piece = a.piece JOIN dp y ON y.piece = b.piece AND y.doc_id = x.doc_id JOIN dp z ON z.piece = c.piece AND z.doc_id = x.doc_id GROUP BY ALL),
-    cand AS (SELECT qid, query_id, 1 step, n FROM t UNION ALL SELECT pr.qid, query_id, CASE WHEN kind = 'key-key' THEN 2 ELSE 4 END, count(*) FROM pr JOIN ps USING (query_id) WHERE span <= 100 GROUP BY ALL),
-    o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY step, n, query_id) i FROM cand),
-    f AS (SELECT qid, 0::BIGINT i, 0::HUGEINT used, NULL::VARCHAR kept FROM (SELECT DISTINCT qid FROM o)
-        UNION ALL SELECT f.qid, o.i, CASE WHEN used + n <= budget THEN used + n ELSE used END, CASE WHEN used + n <= budget THEN query_id END FROM f JOIN o ON o.qid = f.qid AND o.i = f.i + 1, lim)
-    SELECT o.qid, o.query_id, o.step, o.n n_docs FROM f JOIN o ON o.qid = f.qid AND o.i = f.i WHERE kept IS NOT NULL""")
-def combination_queries(spark, d):
-    """All aspects together, then pairs, then keys with associated pieces, each from the cheapest, while the budget lasts."""
-    p, _, hits, _ = _piece_hits(spark, d)
-    three = build.ceiling_queries(p, ["3way_and"]).select("qid", "query_id", *[F.col("members")[i].alias(x) for i, x in enumerate("abc")])
-    met = cnf.combined_hits(hits, three.select("query_id", "a", "b", "c"), ["a", "b", "c"]).groupBy("query_id").agg(F.count_distinct("doc_id").alias("n_docs"))
-    every = three.join(met, "query_id").select("qid", "query_id", F.lit(1).alias("step"), "n_docs")
-    pairs = _pair_counts(p, hits).select("qid", "query_id", F.when(F.col("kind") == "key-key", 2).otherwise(4).alias("step"), "n_docs")
-    n = table(spark, d, "documents").count()
-    return select.combination_queries(cut(every.unionByName(pairs), "candidates"), int(n * BUDGET_SHARE)).select("qid", "query_id", "step", "n_docs")
+    return p, pairs
 
 
 _FOLD = [("a", "w", 30), ("a", "x", 50), ("a", "y", 40), ("a", "v", 15), ("a", "u", 10), ("b", "z", 120), ("b", "t", 90), ("b", "s", 20)]
@@ -205,53 +124,17 @@ def budget_fold(spark, d):
     return select.fold_budget(spark.createDataFrame(_FOLD, "qid string, name string, n long"), "qid", ["n", "name"], "name", "n", 100)
 
 
-@query(f"WITH {SQL_WORDS}, {SQL_PIECES}, {_PEEK}, o AS (SELECT qid, piece, n_docs, coalesce(sum(n_docs) OVER (PARTITION BY qid ORDER BY n_docs, piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT before FROM pg) SELECT qid, piece, n_docs, before FROM o, lim WHERE before < budget")
-def early_stop(spark, d):
-    p, n = _peeked(spark, d)
-    return select.early_stop(p.select("qid", "piece", "n_docs"), "qid", ["n_docs", "piece"], "n_docs", int(n * BUDGET_SHARE))
-
-
-_POOL = "pool AS (SELECT qid, doc_id, list_sort(list(DISTINCT ix)) qs FROM (SELECT p.qid, p.piece, dense_rank() OVER (PARTITION BY p.qid ORDER BY p.piece) - 1 ix FROM (SELECT DISTINCT qid, piece FROM pc) p) x JOIN (SELECT piece, doc_id FROM sp WHERE span <= 10) s USING (piece) GROUP BY qid, doc_id)"
-
-
-def piece_pool(spark, d):
-    """Each topic's pool: the documents of its pieces within ten words."""
-    p, _, m, docs = _piece_spans(spark, d)
-    q = p.select("qid", F.col("piece").alias("query_id")).distinct().withColumn("query_ix", F.dense_rank().over(Window.partitionBy("qid").orderBy("query_id")) - 1)
-    return cut(resolve.pool(m.where("span <= 10"), q), "pool"), docs, p, m
-
-
-@query(f"WITH {SQL_WORDS}, {SQL_PIECES}, {_SP}, {_POOL} SELECT qid, doc_id, list_aggregate(qs, 'string_agg', ',') from_queries FROM pool")
-def resolve_pool(spark, d):
-    return piece_pool(spark, d)[0].withColumn("from_queries", F.array_join("from_queries", ","))
-
-
-_CRUDE = """kt AS (SELECT DISTINCT qid, lower(keyword) term FROM kw), ktw AS (SELECT DISTINCT term, unnest(string_split(term, ' ')) word, len(list_distinct(string_split(term, ' '))) n FROM kt),
-    th AS (SELECT term, doc_id FROM ktw JOIN (SELECT DISTINCT doc_id, tok FROM tok) t ON t.tok = word GROUP BY term, doc_id, n HAVING count(*) = n), tn AS (SELECT term, count(*) n_docs FROM th GROUP BY term),
-    cs AS (SELECT p.qid, p.doc_id, coalesce(sum(1.0 / ln(tn.n_docs + 2.0)), 0.0) score FROM pool p LEFT JOIN (SELECT kt.qid, th.doc_id, th.term FROM th JOIN kt USING (term)) h USING (qid, doc_id) LEFT JOIN tn USING (term) GROUP BY ALL)"""
-
-
-@query(f"WITH {SQL_WORDS}, {SQL_PIECES}, {_SP}, {_POOL}, {_CRUDE} SELECT qid, doc_id, round(score, 6) score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id DESC) AS rank FROM cs QUALIFY rank <= 20")
-def crude_score_topn(spark, d):
-    pool, docs, _, _ = piece_pool(spark, d)
-    terms = keywords(spark).select("qid", F.lower("keyword").alias("term")).distinct()
-    hits = cut(resolve.term_hits(docs, terms), "terms")
-    n = hits.select("term", "doc_id").distinct().groupBy("term").agg(F.count("*").alias("n_docs"))
-    scored = resolve.crude_scores(pool, hits, terms.join(n, "term", "left")).withColumn("score", F.round("score", 9))
-    return rank.ranked(scored, ["qid"], 20).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
-
-
 @query(f"WITH {SQL_WORDS}, {_PHRASE_HITS}, e AS (SELECT phrase, list_concat(ws[pos + 1:pos + 4], list_resize([]::VARCHAR[], greatest(0, 4 - len(ws[pos + 1:pos + 4])), '<pad>')) x, len(ws) < pos + 4 cutoff FROM hit JOIN w USING (doc_id)) SELECT phrase query_id, list_aggregate(x, 'string_agg', ' ') ext, cutoff truncated, count(*) n FROM e GROUP BY ALL")
 def extensions_padded(spark, d):
     docs = _docs(spark, d)
-    hits = cnf.phrase_hits(docs, _phrases(spark)).withColumnRenamed("phrase", "query_id")
+    hits = cnf.phrase_hits(None, _phrases(spark), index_for(spark, d)).withColumnRenamed("phrase", "query_id")
     return index.extensions(hits, docs, 4).groupBy("query_id", F.array_join("ext", " ").alias("ext"), "truncated").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {SQL_WORDS}, {_PHRASE_HITS}, e AS (SELECT phrase, list_aggregate(ws[1:5], 'string_agg', ' ') ext FROM hit JOIN w USING (doc_id)), c AS (SELECT phrase query_id, ext, count(*) n FROM e GROUP BY ALL) SELECT query_id, ext, n FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, ext) <= 10")
 def ext_top(spark, d):
     docs = _docs(spark, d)
-    hits = cnf.phrase_hits(docs, _phrases(spark)).withColumnRenamed("phrase", "query_id")
+    hits = cnf.phrase_hits(None, _phrases(spark), index_for(spark, d)).withColumnRenamed("phrase", "query_id")
     exts = index.extensions(hits, docs, 5, from_start=True).withColumn("ext", F.filter("ext", lambda t: t != "<pad>"))
     return index.extension_counts(exts, 10).select("query_id", F.array_join("ext", " ").alias("ext"), "n")
 
@@ -287,25 +170,25 @@ TERMS = ["heat pump", "price of the heat pump", "insulation near battery storage
 def validated_terms(spark, d):
     terms = spark.createDataFrame([(t,) for t in TERMS], "term string")
     forms = cut(build.cascade_forms(terms).select("term", "level", "query_id", "clause", F.lower("phrase").alias("phrase"), "n_clauses").distinct(), "cascade")
-    m = cnf.matches(_docs(spark, d), forms.select("query_id", "clause", "phrase", "n_clauses"), within=100)
+    m = cnf.matches(None, forms.select("query_id", "clause", "phrase", "n_clauses"), within=100, at=index_for(spark, d))
     n = m.groupBy("query_id").agg(F.count("*").alias("n_docs"))
     return build.validated(forms, n, 1000)
 
 
-@query(f"""WITH {SQL_WORDS}, t AS (SELECT term, list_filter(string_split(term, ' '), lambda x: length(x) > 1 AND x NOT IN ('the', 'of', 'and')) ws FROM {values([(t.lower(),) for t in TERMS])} v(term)),
-    e AS (SELECT term, len(ws) n, unnest(ws) word, generate_subscripts(ws, 1) i FROM t), c AS (SELECT term, n, word, i, coalesce((SELECT count(*) FROM tok WHERE tok = word), 0) tf FROM e)
-    SELECT t.term, len(ws) n_words, CAST(coalesce(CASE WHEN bool_or(tf = 0) THEN 0 WHEN len(ws) <= 1 THEN sum(tf) ELSE -1 END, 0) AS BIGINT) AS count, arg_min(word, i) FILTER (tf = 0) invalid_word FROM t LEFT JOIN c USING (term) GROUP BY t.term, ws""")
+@query(f"""WITH {SQL_WORDS}, t AS (SELECT term, list_filter(string_split(term, ' '), lambda x: length(x) > 1 AND NOT list_contains({stop_list()}, x)) ws FROM {values([(t.lower(),) for t in TERMS])} v(term)),
+    e AS (SELECT term, len(ws) n, unnest(ws) word, generate_subscripts(ws, 1) - 1 clause FROM t), c AS (SELECT term, n, word, clause, coalesce((SELECT count(*) FROM tok WHERE tok = word), 0) tf FROM e),
+    eh AS (SELECT term, n, clause, doc_id, pos FROM e JOIN tok ON tok.tok = word), {sql_spans("eh", "term", 6, "es")}, m AS (SELECT term, count(*) docs FROM es WHERE span <= 5 GROUP BY term)
+    SELECT t.term, len(ws) n_words, CAST(CASE WHEN bool_or(tf = 0) THEN 0 WHEN len(ws) <= 1 THEN coalesce(sum(tf), 0) ELSE coalesce(any_value(docs), 0) END AS BIGINT) AS count, arg_min(word, clause) FILTER (tf = 0) invalid_word FROM t LEFT JOIN c USING (term) LEFT JOIN m USING (term) GROUP BY t.term, ws""")
 def peeked_terms(spark, d):
     terms = spark.createDataFrame([(t.lower(),) for t in TERMS], "term string")
-    docs = _docs(spark, d)
-    none = spark.createDataFrame([], "query_id string, doc_id long")
-    out = build.peeked_terms(terms, index.term_frequencies_only(docs), none)
-    return out.withColumn("count", F.when(F.col("invalid_word").isNull() & (F.col("n_words") > 1), -1).otherwise(F.col("count")))
+    at = index_for(spark, d)
+    sets = cnf.word_sets(terms.select("term", content_words(F.col("term")).alias("ws")).where("size(ws) > 0"), "term", "ws")
+    return build.peeked_terms(terms, at.words.select("tok", "tf"), cnf.set_matches(at, sets).where("span <= 5"))
 
 
 def _clusters(spark, d):
     """Pieces as clusters with counts and scores, for the builders."""
-    p, pairs = selected(spark, d)[1:]
+    p, pairs = selected(spark, d)
     at = F.dense_rank().over(Window.partitionBy("qid").orderBy("piece"))
     c = cut(p.select("qid", "piece", "role", "n_docs", at.cast("long").alias("cluster"), F.round(1 / F.log(F.col("n_docs") + 2.0), 6).alias("score")), "clusters")
     name = c.select("qid", "piece", "cluster")
@@ -345,30 +228,6 @@ def adaptive_queries(spark, d):
     return out.withColumn("score", F.round("score", 9))
 
 
-@query(f"""WITH {SQL_WORDS}, {SQL_PIECES}, {_PAIRS}, {_PEEK}, {_CLUSTERS}, mx AS (SELECT floor(count(*) * 0.05) most FROM documents),
-    wk AS (SELECT pcc.qid, cl.piece term, sum(pcc.n_docs) n_docs FROM pcc JOIN cl ON cl.qid = pcc.qid AND cl.cluster = pcc.a GROUP BY ALL),
-    al AS (SELECT qid, piece query_id, 1 AS level, n_docs FROM cl, mx WHERE n_docs > 0 AND n_docs <= most
-        UNION ALL SELECT wk.qid, wk.term || ' AND keys', 2, wk.n_docs FROM wk JOIN cl ON cl.qid = wk.qid AND cl.piece = wk.term, mx WHERE wk.n_docs > 0 AND cl.n_docs > most
-        UNION ALL SELECT qid, a || '&' || b, 3, n_docs FROM pcc WHERE n_docs > 0)
-    SELECT qid, query_id, level, n_docs::BIGINT n_docs, (most - n_docs)::DOUBLE score, row_number() OVER (PARTITION BY qid ORDER BY most - n_docs DESC, query_id) place FROM al, mx""")
-def keyword_adaptive_queries(spark, d):
-    c, pc = _clusters(spark, d)
-    n = table(spark, d, "documents").count()
-    terms = c.select("qid", F.col("piece").alias("term"), "n_docs")
-    name = c.select("qid", F.col("cluster").alias("a"), "piece")
-    with_keys = pc.join(name, ["qid", "a"]).groupBy("qid", F.col("piece").alias("term")).agg(F.sum("n_docs").alias("n_docs"))
-    facets = pc.select("qid", F.concat_ws("&", F.col("a").cast("string"), F.col("b").cast("string")).alias("query_id"), "n_docs")
-    return build.keyword_adaptive_queries(terms, with_keys, facets, int(n * 0.05))
-
-
-@query(f"""WITH {SQL_WORDS}, {SQL_PIECES}, {_PEEK}, u AS (SELECT qid, dense_rank() OVER (PARTITION BY qid ORDER BY piece) unit, round(1 / ln(n_docs + 2.0), 6) score FROM pk)
-    SELECT a.qid, a.unit || '+' || b.unit query_id, round(a.score * b.score, 9) score, row_number() OVER (PARTITION BY a.qid ORDER BY a.score * b.score DESC, a.unit || '+' || b.unit) place FROM u a JOIN u b ON a.qid = b.qid AND a.unit < b.unit""")
-def static_queries(spark, d):
-    c, _ = _clusters(spark, d)
-    units = c.select("qid", F.col("cluster").alias("unit"), "score", F.col("score").alias("max_splade"), F.lit(0.0).alias("min_tup"))
-    return build.static_queries(units, "all_pairs").select("qid", "query_id", F.round("score", 9).alias("score"), "place")
-
-
 _CEILING = f"""WITH {SQL_WORDS}, {SQL_PIECES}, {_SP}, dp AS (SELECT piece, doc_id FROM sp), k AS (SELECT DISTINCT qid, piece, role, aspect_ix, aspect, keyword FROM pc),
     m AS (SELECT qid, 'keys_only' AS mode, doc_id FROM k JOIN dp USING (piece) WHERE role = 'key' AND lower(keyword) = lower(aspect)
         UNION SELECT qid, 'keys_expanded', doc_id FROM k JOIN dp USING (piece) WHERE role = 'key' UNION SELECT qid, 'full', doc_id FROM k JOIN dp USING (piece)

@@ -5,105 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexmill.functions import numbers
-from lexmill.functions.text import SPACE, STOPWORDS, words
+from lexmill.functions.text import SPACE, words
 from lexmill.operators import cnf, evaluate, index, rank, resolve
-from lexmill.plans.boolean_queries import _CEILING, _POOL, _SP, ceiling_pools, piece_pool
-from lexmill.plans.registry import SQL_PIECES, SQL_WORDS, keywords, query, stop_list, table, values
+from lexmill.plans.boolean_queries import _CEILING, ceiling_pools
+from lexmill.plans.registry import SQL_WORDS, index_for, query, table, values
 from lexmill.plans.shared import cut
 from lexmill.plans.text_queries import qrels_last
 from lexmill.sources.writers import found_lists
 
-#: The two topics' texts, as a setting.
-TEXTS = [("q1", "heat pump and power grid in the winter heat"), ("q2", "physical therapy without fever and blood pressure")]
-
-
-def _query_words(spark):
-    t = spark.createDataFrame(TEXTS, "qid string, text string")
-    return t.select("qid", F.explode(words(F.col("text"))).alias("tok"))
-
-
-_BM25 = """inside AS (SELECT qid, doc_id, ws FROM pool JOIN w USING (doc_id)),
-    size AS (SELECT qid, count(*) n, avg(len(ws)) avgdl FROM inside GROUP BY qid),
-    tf AS (SELECT qid, doc_id, dl, t, count(*) tf FROM (SELECT qid, doc_id, len(ws) dl, unnest(ws) t FROM inside) GROUP BY ALL),
-    idf AS (SELECT qid, t, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) raw FROM tf JOIN size USING (qid) GROUP BY qid, t, n),
-    mean AS (SELECT qid, avg(raw) m FROM idf GROUP BY qid)"""
-
-
-def _bm25_of(words_sql: str, extra: str) -> str:
-    """``bm(qid, extra, doc_id, score)`` for the query words ``qw(qid, extra, tok, qtf)``."""
-    e = f"{extra}, " if extra else ""
-    return f"""{words_sql}, sc AS (SELECT tf.qid, {e}doc_id, sum(qtf * CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END * tf.tf * 2.5 / (tf.tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) s
-        FROM tf JOIN qw ON qw.qid = tf.qid AND qw.tok = tf.t JOIN idf ON idf.qid = tf.qid AND idf.t = tf.t JOIN mean ON mean.qid = tf.qid JOIN size ON size.qid = tf.qid GROUP BY ALL)"""
-
-
-_QW = f"tx AS (SELECT * FROM {values(TEXTS)} v(qid, t)), qt AS (SELECT qid, unnest(string_split(lower(t), ' ')) tok FROM tx), qw AS (SELECT qid, tok, count(*) qtf FROM qt GROUP BY ALL)"
-
-
-@query(f"""WITH {SQL_WORDS}, {SQL_PIECES}, {_SP}, {_POOL}, {_BM25}, {_bm25_of(_QW, '')}, al AS (SELECT pool.qid, doc_id, round(coalesce(s, 0), 9) score FROM pool LEFT JOIN sc USING (qid, doc_id))
-    SELECT qid, doc_id, round(score, 6) score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id DESC) AS rank FROM al QUALIFY rank <= 10""")
-def bm25_topk(spark, d):
-    pool, docs, _, _ = piece_pool(spark, d)
-    qw = _query_words(spark).groupBy("qid", "tok").agg(F.count("*").alias("qtf"))
-    scored = rank.bm25(pool, docs, qw).withColumn("score", F.round("score", 9))
-    return rank.ranked(scored, ["qid"], 10).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
-
-
-_SW = f"""tx AS (SELECT * FROM {values(TEXTS)} v(qid, t)), qt AS (SELECT qid, unnest(string_split(lower(t), ' ')) tok FROM tx),
-    kt AS (SELECT qid, unnest(string_split(lower(keyword), ' ')) tok FROM kw), kk AS (SELECT * FROM kt WHERE length(tok) > 2 AND NOT list_contains({stop_list()}, tok)),
-    qs AS (SELECT qid, 'query' strategy, tok, 1 n FROM qt UNION ALL SELECT qid, 'query_keywords', tok, 1 FROM qt UNION ALL SELECT qid, 'query_keywords', tok, 1 FROM kk UNION ALL SELECT qid, 'query3_keywords', tok, 3 FROM qt UNION ALL SELECT qid, 'query3_keywords', tok, 1 FROM kk),
-    qw AS (SELECT qid, strategy, tok, sum(n) qtf FROM qs GROUP BY ALL)"""
-
-
-@query(f"""WITH {SQL_WORDS}, {SQL_PIECES}, {_SP}, {_POOL}, {_BM25}, {_bm25_of(_SW, 'strategy')}, al AS (SELECT pool.qid, st.strategy, pool.doc_id, round(coalesce(s, 0), 9) score FROM pool CROSS JOIN (SELECT DISTINCT strategy FROM qw) st LEFT JOIN sc ON sc.qid = pool.qid AND sc.doc_id = pool.doc_id AND sc.strategy = st.strategy)
-    SELECT qid, strategy, doc_id, round(score, 6) score, row_number() OVER (PARTITION BY qid, strategy ORDER BY score DESC, doc_id DESC) AS rank FROM al QUALIFY rank <= 10""")
-def bm25_strategies(spark, d):
-    pool, docs, _, _ = piece_pool(spark, d)
-    kw = keywords(spark).select("qid", F.explode(words(F.col("keyword"))).alias("tok"))
-    qw = rank.strategy_words(_query_words(spark), kw, STOPWORDS)
-    pools = pool.select("qid", "doc_id", F.explode(F.array(*[F.lit(s) for s in ("query", "query_keywords", "query3_keywords")])).alias("strategy"))
-    scored = rank.bm25(pools, docs, qw, ("qid", "strategy")).withColumn("score", F.round("score", 9))
-    return rank.ranked(scored, ["qid", "strategy"], 10).select("qid", "strategy", "doc_id", F.round("score", 6).alias("score"), "rank")
-
-
-_ASPECT = """qc AS (SELECT piece, count(*) c FROM sp WHERE span <= 10 GROUP BY piece), ql AS (SELECT p.qid, s.doc_id, min(c) least FROM (SELECT DISTINCT qid, piece FROM pc) p JOIN (SELECT piece, doc_id FROM sp WHERE span <= 10) s USING (piece) JOIN qc USING (piece) GROUP BY ALL),
-    tx AS (SELECT pool.qid, doc_id, text FROM pool JOIN documents USING (doc_id) WHERE text <> ''), kl AS (SELECT qid, role, aspect, lower(keyword) keyword FROM kw),
-    kh AS (SELECT tx.qid, doc_id, role, aspect, keyword, (length(lower(text)) - length(replace(lower(text), keyword, ''))) // length(keyword) n FROM tx JOIN kl USING (qid) WHERE contains(lower(text), keyword)),
-    tm AS (SELECT qid, doc_id, keyword, CASE WHEN max(n) > 1 THEN 1 + ln(max(n)) ELSE 1 END tf, bool_or(role = 'assoc') assoc FROM kh WHERE role <> 'verb' GROUP BY ALL),
-    tt AS (SELECT qid, doc_id, coalesce(sum(tf) FILTER (NOT assoc), 0) k, coalesce(sum(tf) FILTER (assoc), 0) a FROM tm GROUP BY ALL),
-    rs AS (SELECT qid, doc_id, count(DISTINCT CASE WHEN role = 'key' THEN aspect END) m, count(*) FILTER (role = 'verb') v FROM kh GROUP BY ALL),
-    pp AS (SELECT tx.qid, tx.doc_id, coalesce(m, 0) m, coalesce(k, 0) k, coalesce(a, 0) a, coalesce(v, 0) v, 1 / ln(2.0 + least) sp FROM tx JOIN ql USING (qid, doc_id) LEFT JOIN rs USING (qid, doc_id) LEFT JOIN tt USING (qid, doc_id))"""
-
-
-def _aspect_inputs(spark, d):
-    pool, _, p, m = piece_pool(spark, d)
-    near = m.where("span <= 10")
-    counts = near.groupBy("query_id").agg(F.count("*").alias("c"))
-    least = near.join(counts, "query_id").join(p.select("qid", F.col("piece").alias("query_id")).distinct(), "query_id").groupBy("qid", "doc_id").agg(F.min("c").alias("least"))
-    texts = pool.select("qid", "doc_id").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").join(least, ["qid", "doc_id"])
-    return cut(texts.select("qid", "doc_id", "text", "least"), "pool-texts"), keywords(spark)
-
-
-@query(f"WITH {SQL_WORDS}, {SQL_PIECES}, {_SP}, {_POOL}, {_ASPECT} SELECT pool.qid, pool.doc_id, round(coalesce(m * m * 10 + k + 0.5 * a + 0.3 * v + sp, 0), 6) score FROM pool LEFT JOIN pp USING (qid, doc_id)")
-def aspect_scores(spark, d):
-    texts, kw = _aspect_inputs(spark, d)
-    return rank.scored_by_aspects(texts, kw).select("qid", "doc_id", F.round("score", 6).alias("score"))
-
-
-#: A grid of weights, as a setting.
-GRID = {"aspect": [5.0, 10.0], "assoc": [0.25, 0.5], "verb": [0.0, 0.3]}
-
-
-@query(f"WITH {SQL_WORDS}, {SQL_PIECES}, {_SP}, {_POOL}, {_ASPECT}, g AS (SELECT a, b, c FROM (SELECT unnest([5.0, 10.0]) a) x, (SELECT unnest([0.25, 0.5]) b) y, (SELECT unnest([0.0, 0.3]) c) z) SELECT 'aspect=' || printf('%.2f', g.a) || ' assoc=' || printf('%.2f', g.b) || ' verb=' || printf('%.2f', g.c) setting, qid, round(avg(m * m * g.a + k + g.b * pp.a + g.c * v + sp), 6) mean_score FROM pp, g GROUP BY ALL")
-def scorer_grid(spark, d):
-    texts, kw = _aspect_inputs(spark, d)
-    parts = rank.aspect_parts(texts, kw)
-    grid = rank.weight_grid(GRID)
-    name = lambda g: " ".join(f"{k}={v:.2f}" for k, v in g.items())
-    wide = parts.groupBy("qid").agg(*[F.avg(rank.aspect_score(**g)).alias(name(g)) for g in grid])
-    long = wide.select("qid", F.explode(F.map_from_arrays(F.array(*[F.lit(name(g)) for g in grid]), F.array(*[F.col(f"`{name(g)}`") for g in grid]))).alias("setting", "v"))
-    return long.select("setting", "qid", F.round("v", 6).alias("mean_score"))
-
-
 _COS = "list_sum(list_transform(list_zip(a.v, b.v), lambda x: x[1] * x[2])) / (sqrt(list_sum(list_transform(a.v, lambda x: x * x))) * sqrt(list_sum(list_transform(b.v, lambda x: x * x))))"
 
 
@@ -129,16 +38,14 @@ def label_centres(spark, d):
     s AS (SELECT qid query_id, doc_id, round(sum(w), 9) score FROM dv JOIN q USING (tok) GROUP BY ALL)
     SELECT query_id, doc_id, round(score, 6) score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC) AS rank FROM s QUALIFY rank <= 10""")
 def sparse_topk(spark, d):
-    docs = index.doc_words(table(spark, d, "documents"))
+    """Topics against documents by their words' weights; the documents' side is the index's postings of the words asked for."""
+    at = index_for(spark, d)
     q = table(spark, d, "topics").where("qid IS NOT NULL").select(F.col("qid").alias("query_id"), F.explode(words(F.col("text"))).alias("tok")).distinct().withColumn("w", F.lit(1.0))
     asked = cut(q, "query-words")
-    tf = docs.select("doc_id", F.explode("ws").alias("tok")).join(asked.select("tok").distinct(), "tok", "left_semi").groupBy("doc_id", "tok").agg(F.count("*").alias("c"))
-    tf = cut(tf, "asked-words")
-    df = tf.groupBy("tok").agg(F.count("*").alias("f"))
-    n = docs.count()
-    items = tf.join(df, "tok").select("doc_id", "tok", ((1 + F.log("c")) * F.log(F.lit(float(n)) / F.col("f"))).alias("w"))
-    met = asked.select("query_id", "tok").join(items, "tok").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 9).alias("score"))
-    return rank.ranked(met, ["query_id"], 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    n = at.docs.count()
+    weight = (1 + F.log(F.size("ps"))) * F.log(F.lit(float(n)) / F.col("df"))
+    items = index.postings_of(at, asked).join(at.words.select("tok", "df"), "tok").select("doc_id", "tok", weight.alias("w"))
+    return rank.sparse_top(asked, items, 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 _PASSAGES = f"""ps AS (SELECT phrase, string_split(phrase, ' ') ws FROM {values([(p,) for p in ("heat pump", "blood pressure")])} v(phrase)), pt AS (SELECT phrase, len(ws) n, unnest(ws) word, generate_subscripts(ws, 1) - 1 off FROM ps),
@@ -321,8 +228,3 @@ def ceiling_recall(spark, d):
     pools = cut(ceiling_pools(spark, d), "ceiling")
     relevant = pools.where("mode = '3way_and'").select("qid", "doc_id", F.lit(1).alias("rel"))
     return _rounded(evaluate.retrieval_outcome(pools, relevant, ["mode"]))
-
-
-def flagship(spark, d: str):
-    """One Boolean query end to end: words, clause hits, proximity, pool, BM25, the ten best documents of each topic."""
-    return bm25_topk(spark, d)

@@ -55,6 +55,12 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def still_there(spark: SparkSession, path: str) -> bool:
+    """Whether a written table hasn't been removed."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def release() -> None:
     """Removes all tables written so far. Results that still read from them must have been used."""
     spark = SparkSession.getActiveSession()
