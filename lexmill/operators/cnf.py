@@ -130,15 +130,28 @@ def set_documents(at: Index, sets: DataFrame) -> DataFrame:
 def set_matches(at: Index, sets: DataFrame) -> DataFrame:
     """``query_id, doc_id, span, n_occ`` as :func:`matches`, for queries that are sets of words (:func:`word_sets`)."""
     found = cut(set_documents(at, sets), "set-documents")
-    one = found.where("n_clauses = 1").select("query_id", "doc_id", F.lit(0).cast("long").alias("span"), F.size(F.col("at")[0]["ps"]).cast("long").alias("n_occ"))
-    # a word that occurs once in a document gives all spans an anchor; where all words do, no window is needed
-    several = found.where("n_clauses > 1")
-    once = F.forall("at", lambda x: F.size(x["ps"]) == 1)
-    places = F.transform("at", lambda x: x["ps"][0])
-    two = several.where(once).select("query_id", "doc_id", (F.array_max(places) - F.array_min(places)).cast("long").alias("span"), F.lit(1).cast("long").alias("n_occ"))
-    hits = several.where(~once).select("query_id", "n_clauses", "doc_id", F.explode("at").alias("x")).select("query_id", "n_clauses", "x.clause", "doc_id", F.explode("x.ps").alias("pos")).withColumn("length", F.lit(1))
-    most = several.agg(F.max("n_clauses")).first()[0] or 1
-    return one.unionByName(two).unionByName(spans(hits, most, whole=True))
+    fewest = F.array_min(F.transform("at", lambda x: F.size(x["ps"]))).cast("long")
+    ways = F.aggregate("at", F.lit(1).cast("long"), lambda a, x: F.least(a * F.size(x["ps"]), F.lit(_WAYS + 1).cast("long")))
+    marked = found.withColumn("few", (F.col("n_clauses") <= len(_SPANS)) & (ways <= _WAYS))
+    # where the words' places can be put together in a few ways, all are tried in the row; else they go through the running window
+    span = F.lit(0)
+    for n, of in _SPANS.items():
+        span = F.when(F.col("n_clauses") == n, of(lambda i: F.col("at")[i]["ps"])).otherwise(span)
+    tried = marked.where("few").select("query_id", "doc_id", span.cast("long").alias("span"), fewest.alias("n_occ"))
+    many = marked.where("NOT few")
+    hits = many.select("query_id", "n_clauses", "doc_id", F.explode("at").alias("x")).select("query_id", "n_clauses", "x.clause", "doc_id", F.explode("x.ps").alias("pos")).withColumn("length", F.lit(1))
+    most = many.agg(F.max("n_clauses")).first()[0] or 1
+    return tried.unionByName(spans(hits, most, whole=True))
+
+
+#: Ways to choose a place for each word up to which all are tried.
+_WAYS = 600
+#: The smallest distance of the first and the last place, by number of words; ``of(i)`` are the places of word ``i``.
+_SPANS = {
+    1: lambda of: F.lit(0),
+    2: lambda of: F.array_min(F.flatten(F.transform(of(0), lambda x: F.transform(of(1), lambda y: F.abs(x - y))))),
+    3: lambda of: F.array_min(F.flatten(F.transform(of(0), lambda x: F.flatten(F.transform(of(1), lambda y: F.transform(of(2), lambda z: F.greatest(x, y, z) - F.least(x, y, z))))))),
+}
 
 
 def counts(matched: DataFrame, alts: DataFrame, bounds: Sequence[int]) -> DataFrame:

@@ -64,15 +64,18 @@ def build_index(docs: DataFrame, path: str, buckets: int = 16, splits: int = 4,
     per = positions(tokens).groupBy("tok", "doc_id").agg(F.array_sort(F.collect_list("pos")).alias("ps")).withColumn("bucket", _bucket(F.col("tok"), buckets))
     per = per.repartition("bucket", F.pmod(F.hash("doc_id"), F.lit(splits))).sortWithinPartitions("bucket", "tok", "doc_id")
     per.write.partitionBy("bucket").parquet(f"{path}/postings")
-    docs.sparkSession.read.parquet(f"{path}/postings").groupBy("tok").agg(F.sum(F.size("ps")).alias("tf"), F.count("*").alias("df")).write.parquet(f"{path}/words")
+    _postings(docs.sparkSession, path, tokens.schema["doc_id"].dataType.simpleString()).groupBy("tok").agg(F.sum(F.size("ps")).alias("tf"), F.count("*").alias("df")).write.parquet(f"{path}/words")
     return read_index(docs.sparkSession, path, buckets)
 
 
+def _postings(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    return spark.read.schema(f"tok string, doc_id {kind}, ps array<int>, bucket int").parquet(f"{path}/postings")
+
+
 def read_index(spark: SparkSession, path: str, buckets: int = 16) -> Index:
     read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
     kind = spark.read.parquet(f"{path}/docs").schema["doc_id"].dataType.simpleString()
-    postings = read("postings", f"tok string, doc_id {kind}, ps array<int>, bucket int")
-    return Index(postings, read("docs", f"doc_id {kind}, dl int, hs array<bigint>"), read("words", "tok string, tf bigint, df bigint"), buckets)
+    return Index(_postings(spark, path, kind), read("docs", f"doc_id {kind}, dl int, hs array<bigint>"), read("words", "tok string, tf bigint, df bigint"), buckets)
 
 
 def postings_of(at: Index, asked: DataFrame, few: int = 1_000) -> DataFrame:

@@ -288,11 +288,11 @@ _ASPECT = """ql AS (SELECT pt.qid, doc_id, min(c) least FROM pt JOIN near USING
 
 
 def _aspect_parts(spark, d):
-    _, pool, p, m = topic_pool(spark, d)
+    _, p, m, _ = _matched(spark, d)
     near = m.where("span <= 10").select("query_id", "doc_id")
     counts = near.groupBy("query_id").agg(F.count("*").alias("c"))
     least = near.join(counts, "query_id").join(_once(p).select("qid", F.col("piece").alias("query_id")), "query_id").groupBy("qid", "doc_id").agg(F.min("c").alias("least"))
-    return cut(rank.aspect_parts(least, topic_keywords(spark, d), table(spark, d, "documents")), "aspect-parts")
+    return rank.aspect_parts(cut(least, "topic-least"), topic_keywords(spark, d), table(spark, d, "documents"))
 
 
 @query(f"WITH {_ALL}, {_SP}, {_POOL}, {_ASPECT} SELECT qid, doc_id, round(m * m * 10 + k + 0.5 * a + 0.3 * v + sp, 6) score FROM pp")
@@ -311,7 +311,7 @@ _GRID = "g AS (SELECT a, b, c, 'aspect=' || printf('%.2f', a) || ' assoc=' || pr
     SELECT setting, round(mean_recall, 6) mean_recall, row_number() OVER (ORDER BY round(mean_recall, 9) DESC, setting) place FROM e""")
 def scorer_grid(spark, d):
     """Settings of the aspect score by the mean recall of the documents that were first found for a topic; the best first."""
-    parts = _aspect_parts(spark, d)
+    parts = cut(_aspect_parts(spark, d), "aspect-parts")
     relevant = table(spark, d, "documents").where("qid IS NOT NULL").select("qid", "doc_id").distinct()
     name = lambda g: " ".join(f"{k}={v:.2f}" for k, v in g.items())
     return rank.grid_recall(parts, {name(g): rank.aspect_score(**g) for g in rank.weight_grid(GRID)}, relevant, DEPTH).withColumn("mean_recall", F.round("mean_recall", 6))

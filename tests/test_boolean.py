@@ -204,3 +204,40 @@ def test_merging(spark):
     assert [tuple(r) for r in resolve.merged_answers(df).collect()] == [("d", "t1", ["q1", "q2"])]
     df = spark.createDataFrame([("d", 2, "later", [3]), ("d", 1, "first", [1, 3])], "doc_id string, n int, text string, qs array<int>")
     assert [tuple(r) for r in resolve.once(df, ["doc_id"], "n", "qs").select("doc_id", "text", "qs").collect()] == [("d", "first", [1, 3])]
+
+
+def test_word_sets_against_loops(spark, tmp_path):
+    """Sets of one to five words, in short texts and in one where the places can't be tried in a row."""
+    from itertools import product
+
+    rng = random.Random(12)
+    docs = {i: [rng.choice("a b c d e f g".split()) for _ in range(rng.randrange(0, 25))] for i in range(40)}
+    docs[99] = ["a", "x", "b"] * 300 + ["c"]
+    at = index.build_index(spark.createDataFrame([(i, " ".join(ws)) for i, ws in docs.items()], "doc_id long, text string"), f"file://{tmp_path}/ix", 4)
+    sets = {"a": ["a"], "ab": ["a", "b"], "abc": ["a", "b", "c"], "abcd": ["a", "b", "c", "d"], "bcdef": list("bcdef"), "zz": ["a", "zz"]}
+    got = {(r["query_id"], r["doc_id"]): (r["span"], r["n_occ"]) for r in cnf.set_matches(at, cnf.word_sets(spark.createDataFrame(list(sets.items()), "q string, ws array<string>"), "q", "ws")).collect()}
+    want = {}
+    for q, ws in sets.items():
+        for i, d in docs.items():
+            places = [[k for k, w in enumerate(d) if w == x] for x in ws]
+            if all(places):
+                span = min((max(p) - min(p) for p in product(*places)), default=0) if i != 99 else {"a": 0, "ab": 1, "abc": 3}[q]
+                want[q, i] = (span, min(map(len, places)))
+    assert got == want
+
+
+def test_budget_of_a_stream(spark):
+    rng = random.Random(5)
+    rows = [(f"q{rng.randrange(6)}", f"n{i:04}", rng.choice([None, 0, 1, 5, 20, 80])) for i in range(400)]
+    df = spark.createDataFrame(rows, "q string, n string, c long").withColumn("__count", F.lit("clash"))
+    for stop, most in ((False, None), (True, None), (False, 7)):
+        want = set()
+        for q in {r[0] for r in rows}:
+            used, over, k = 0, False, 0
+            for c, n in sorted((c, n) for x, n, c in rows if x == q and c is not None):
+                fits = used + c <= 100 and not (stop and over) and (most is None or k < most)
+                over = over or not fits
+                if fits:
+                    used, k = used + c, k + 1
+                    want.add(n)
+        assert {r["n"] for r in select.fold_budget(df.drop("__count"), "q", ["c"], "n", "c", 100, stop, most).collect()} == want

@@ -34,6 +34,53 @@ def test_bm25_against_the_formula(spark):
     assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("part", [1000, 3])
+def test_bm25_by_the_index_against_the_formula(spark, tmp_path, part):
+    """Also where a pool is dealt out over several tasks."""
+    rng = random.Random(3)
+    docs = {i: [rng.choice("a b c d e f".split()) for _ in range(rng.randrange(0, 12))] for i in range(30)}
+    pools = {"q1": list(range(20)), "q2": list(range(10, 30))}
+    queries = {"q1": ["a", "b", "b", "zz"], "q2": ["c"]}
+    at = index.build_index(spark.createDataFrame([(i, " ".join(ws)) for i, ws in docs.items()], "doc_id long, text string"), f"file://{tmp_path}/ix", 3)
+    pooled = spark.createDataFrame([(q, d) for q, ds in pools.items() for d in ds], "qid string, doc_id long")
+    asked = spark.createDataFrame([(q, x, w, ws.count(w)) for q, ws in queries.items() for w in set(ws) for x in "xy"], "qid string, s string, tok string, qtf long")
+    size = pooled.groupBy("qid").agg(F.count("*").alias("n"))
+    means = {r["qid"]: r["mean"] for r in rank.pool_idf_means(at, pooled, size, part).collect()}
+    for q, ds in pools.items():
+        df = [sum(w in docs[d] for d in ds) for w in "abcdef"]
+        assert means[q] == pytest.approx(sum(math.log(len(ds) - f + 0.5) - math.log(f + 0.5) for f in df) / 6)
+    want = {(q, d): v for q, ds in pools.items() for d, v in okapi({d: docs[d] for d in ds}, queries[q]).items()}
+    got = {(r["qid"], r["doc_id"], r["s"]): r["score"] for r in rank.bm25_at(at, pooled, asked, ("s",), ("x", "y")).collect()}
+    assert got == pytest.approx({(*k, x): v for k, v in want.items() for x in "xy"})
+
+
+@pytest.mark.parametrize("block", [100, 3])
+def test_dense_top_against_all_pairs(spark, block):
+    rng = random.Random(6)
+    vec = lambda: [rng.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(4)]
+    items = [(i, vec()) for i in range(60)] + [(100, None), (101, [0.0] * 4), (102, [1.0]), (103, [1.0, None, 0.0, 0.0])]
+    asked = [(i, vec()) for i in range(7)] + [(8, [0.0] * 4), (9, None)]
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    sound = lambda rows: [(i, v) for i, v in rows if v and len(v) == 4 and None not in v and any(v)]
+    want = {q: [i for _, i in sorted(((round(cos(v, x), 9), i) for i, x in sound(items)), reverse=True)[:5]] for q, v in sound(asked)}
+    q, x = (spark.createDataFrame(rows, f"{n} long, embedding array<double>") for n, rows in (("query_id", asked), ("vec_id", items)))
+    got: dict = {}
+    for r in sorted(rank.dense_top(q, x.repartition(3), 5, block=block).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append((round(r["score"], 6), r["vec_id"]))
+    assert {k: [round(cos(dict(asked)[k], dict(items)[i]), 6) for _, i in v] for k, v in got.items()} == {k: [round(cos(dict(asked)[k], dict(items)[i]), 6) for i in v] for k, v in want.items()}
+
+
+def test_keyword_occurrences_against_count(spark):
+    docs = [(1, "Aaaa aa heat HEAT pump"), (2, None), (3, ""), (4, "heat pumpheat pump"), (5, "ab" * 3000)]
+    words = ["aa", "heat pump", "heat", "p", "ab", "zz", ""]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for held in (100, 2):
+        got = {(r["doc_id"], r["keyword"]): r["n"] for r in rank.keyword_occurrences(df, spark.createDataFrame([(w,) for w in words], "keyword string"), held).collect()}
+        assert got == {(i, w): t.lower().count(w) for i, t in docs if t for w in words if w and w in t.lower()}
+    none = spark.createDataFrame([], "keyword string")
+    assert rank.keyword_occurrences(df, none).count() == 0
+
+
 def judged(rels, order):
     """recall@3, p@3, ndcg@3, mrr and map of a ranked list."""
     good = {d for d, r in rels.items() if r and r > 0}
@@ -73,7 +120,7 @@ def test_summary_and_head_to_head(spark):
 def test_aspects(spark):
     texts = spark.createDataFrame([("q", 1, "Heat pump, heat pump and grid", 5), ("q", 2, "", 5), ("q", 3, None, 5), ("q", 4, "none of them", None), ("q", 5, "nothing", 3)], "qid string, doc_id long, text string, least long")
     kw = spark.createDataFrame([("q", "key", "heat", "heat pump"), ("q", "key", "grid", "Grid"), ("q", "key", "more", "grid"), ("q", "key", "heat", "pump"), ("q", "assoc", "", "pump"), ("q", "verb", "v", "AND")], "qid string, role string, aspect string, keyword string")
-    got = {r["doc_id"]: r["score"] for r in rank.scored_by_aspects(texts, kw).collect()}
+    got = {r["doc_id"]: r["score"] for r in rank.scored_by_aspects(texts.select("qid", "doc_id", "least"), kw, texts.select("doc_id", "text")).collect()}
     assert got == pytest.approx({1: 90 + (1 + math.log(2)) + 1 + 0.5 * (1 + math.log(2)) + 0.3 + 1 / math.log(7), 2: 0.0, 3: 0.0, 4: 0.0, 5: 1 / math.log(5)})
 
 

@@ -109,23 +109,35 @@ def test_shared_tables(spark):
     assert spark.range(1).withColumn("a.b`c", F.lit(1)).select(shared.col("a.b`c")).first()[0] == 1
 
 
-def test_wordwise_index_tables(spark):
+def test_written_index(spark, tmp_path):
     from lexmill.operators import cnf, index
 
-    docs = spark.createDataFrame([(1, "a b"), (2, "b c")], "doc_id long, text string")
-    index.write_index(docs, "t_index", 2)
-    try:
-        hits = cnf.phrase_hits(spark.table("t_index_docs"), spark.createDataFrame([("b c",)], "phrase string"))
-        assert [(r["doc_id"], r["pos"]) for r in hits.collect()] == [(2, 0)]
-        at = spark.table("t_index_positions")
-        assert at.count() == 4
-        alts = cnf.alternatives(spark, {"q": [[["b", "c"]], [["b"], ["zz"]]]})
-        assert cnf.matches(None, alts, at=at).collect() == cnf.matches(spark.table("t_index_docs"), alts).collect()
-        plan = index.positions_of(at, spark.createDataFrame([("b",)], "tok string"))._jdf.queryExecution().executedPlan().toString()
-        assert "EqualTo(tok,b)" in plan
-    finally:
-        spark.sql("DROP TABLE t_index_docs")
-        spark.sql("DROP TABLE t_index_positions")
+    docs = spark.createDataFrame([(1, "a b b"), (2, "b c"), (3, None), (4, "")], "doc_id long, text string")
+    words = index.doc_words(docs)
+    at = index.build_index(docs, f"file://{tmp_path}/ix", 4)
+    hits = cnf.phrase_hits(None, spark.createDataFrame([("b c",)], "phrase string"), at)
+    assert [(r["doc_id"], r["pos"]) for r in hits.collect()] == [(2, 0)]
+    assert {r["tok"]: (r["tf"], r["df"]) for r in at.words.collect()} == {"a": (1, 1), "b": (3, 2), "c": (1, 1)}
+    assert {r["doc_id"]: r["dl"] for r in at.docs.collect()} == {1: 3, 2: 2, 3: 0, 4: 0}
+    alts = cnf.alternatives(spark, {"q": [[["b", "c"]], [["b"], ["zz"]]]})
+    assert cnf.matches(None, alts, at=at).collect() == cnf.matches(words, alts).collect()
+    plan = index.postings_of(at, spark.createDataFrame([("b",)], "tok string"))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(tok,b)" in plan
+    assert cnf.set_matches(index.build_index(docs.limit(0), f"file://{tmp_path}/none", 4), cnf.word_sets(spark.createDataFrame([("q", ["a"])], "q string, ws array<string>"), "q", "ws")).count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Context:
+        applicationId, master = "other", "spark://host:7077"
+
+    class Session:
+        sparkContext, conf = Context(), type("C", (), {"get": staticmethod(lambda name, default=None: default)})()
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared.shared_dir(Session())
+    big = shared.cut(spark.range(3).withColumn("x", F.lit("a")))
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 10)
+    assert not shared.sized_broadcast(big)[1]
 
 
 def test_arrays_and_shards(spark, tmp_path):
