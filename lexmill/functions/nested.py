@@ -50,10 +50,10 @@ def whole_word_spans(pieces: Column, least: int, most: int, mark: str = "▁") -
 
 
 def repaired_json(answer: Column) -> Column:
-    """A model's answer as a JSON text: without fences, without what comes before the first brace, without trailing commas."""
-    bare = F.regexp_replace(answer, "```(json)?", "")
-    bare = F.regexp_extract(bare, "(?s)(\\{.*\\})", 1)
-    return F.when(bare == "", None).otherwise(F.regexp_replace(bare, ",\\s*([}\\]])", "$1"))
+    """A model's answer as a JSON text: without fences, without what comes before the first brace, without trailing commas; null if that isn't JSON."""
+    bare = F.regexp_extract(F.regexp_replace(answer, "```(json)?", ""), "(?s)(\\{.*\\})", 1)
+    tidy = F.regexp_replace(bare, ",\\s*([}\\]])", "$1")
+    return F.when(F.try_parse_json(tidy).isNotNull(), tidy)
 
 
 def first_path(json: Column, *paths: str) -> Column:

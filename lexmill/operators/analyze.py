@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.operators.cnf import pairs_of
+from lexmill.plans.ordered import numbered_within
 from lexmill.plans.shared import cut, if_small
 
 
@@ -17,16 +18,21 @@ def keyword_table(matched: DataFrame, pieces: DataFrame) -> DataFrame:
     return matched.select(F.col("query_id").alias("piece"), "doc_id", "span").join(pieces.select("qid", "piece", "role", "aspect"), "piece").select("qid", "doc_id", "role", "aspect", "piece", "span")
 
 
-def coverage(table: DataFrame, docs: DataFrame) -> DataFrame:
-    """``qid, doc_id, n_aspects, n_keys, n_assoc`` of every document of each topic; documents without a match have 0."""
-    per = table.groupBy("qid", "doc_id").agg(F.count_distinct(F.when(F.col("role") == "key", F.col("aspect"))).alias("n_aspects"), F.count_distinct(F.when(F.col("role") == "key", F.col("piece"))).alias("n_keys"), F.count_distinct(F.when(F.col("role") == "assoc", F.col("piece"))).alias("n_assoc"))
-    return docs.select("qid", "doc_id").join(per, ["qid", "doc_id"], "left").na.fill(0, ["n_aspects", "n_keys", "n_assoc"])
+def coverage(table: DataFrame) -> DataFrame:
+    """``qid, doc_id, n_aspects, n_keys, n_assoc`` of each document with a match for a topic; all others have 0."""
+    return table.groupBy("qid", "doc_id").agg(F.count_distinct(F.when(F.col("role") == "key", F.col("aspect"))).alias("n_aspects"), F.count_distinct(F.when(F.col("role") == "key", F.col("piece"))).alias("n_keys"), F.count_distinct(F.when(F.col("role") == "assoc", F.col("piece"))).alias("n_assoc"))
 
 
-def coverage_histogram(covered: DataFrame) -> DataFrame:
-    """``qid, n_aspects, docs, share`` by number of matched aspects."""
+def coverage_histogram(covered: DataFrame, totals: DataFrame) -> DataFrame:
+    """``qid, n_aspects, docs, share`` by number of matched aspects; ``totals`` has ``qid, all``, the documents looked at for each topic.
+
+    Documents without any match are those that are left of all, so that none has to be written out for each topic.
+    """
     counted = covered.groupBy("qid", "n_aspects").agg(F.count("*").alias("docs"))
-    return counted.withColumn("share", F.col("docs") / F.sum("docs").over(Window.partitionBy("qid")))
+    met = counted.groupBy("qid").agg(F.sum("docs").alias("met"))
+    none = totals.join(met, "qid", "left").select("qid", F.lit(0).cast("long").alias("n_aspects"), (F.col("all") - F.coalesce("met", F.lit(0))).alias("docs"))
+    all_ = counted.unionByName(none).groupBy("qid", "n_aspects").agg(F.sum("docs").alias("docs")).where("docs > 0")
+    return all_.join(totals, "qid").select("qid", "n_aspects", "docs", (F.col("docs") / F.col("all")).alias("share"))
 
 
 def group_coverage(table: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -57,8 +63,8 @@ def cross_distance(hits: DataFrame, pieces: DataFrame) -> DataFrame:
     return near.groupBy("qid", "doc_id", F.least("aspect", "other").alias("a"), F.greatest("aspect", "other").alias("b")).agg(F.min(F.col("at") - F.col("p")).alias("distance"))
 
 
-def strategy_coverage(covered: DataFrame, pieces: DataFrame) -> DataFrame:
-    """``qid, strategy, docs, share``: documents that each kind of query would find.
+def strategy_coverage(covered: DataFrame, pieces: DataFrame, totals: DataFrame) -> DataFrame:
+    """``qid, strategy, docs, share``: documents that each kind of query would find, of all that ``totals`` (``qid, all``) has.
 
     ``all_aspects`` needs a topic of two aspects and more, and all of them matched.
     """
@@ -75,8 +81,8 @@ def strategy_coverage(covered: DataFrame, pieces: DataFrame) -> DataFrame:
         "pairwise_key_plus_assoc": (k >= 2) & assoc,
         "all_aspects_plus_assoc": every & assoc,
     }
-    known = covered.join(F.broadcast(aspects), "qid", "left").withColumn("of", F.coalesce("of", F.lit(0)))  # a row a topic of a setting
-    counted = known.groupBy("qid").agg(F.count("*").alias("all"), *[F.count_if(c).alias(s) for s, c in rules.items()])
+    known = covered.join(if_small(aspects), "qid", "left").withColumn("of", F.coalesce("of", F.lit(0)))
+    counted = totals.join(known.groupBy("qid").agg(*[F.count_if(c).alias(s) for s, c in rules.items()]), "qid", "left").na.fill(0)
     long = counted.unpivot(["qid", "all"], list(rules), "strategy", "docs")
     return long.select("qid", "strategy", "docs", (F.col("docs") / F.col("all")).alias("share"))
 
@@ -183,15 +189,20 @@ def tightest_counts(tightest: DataFrame, spans: DataFrame, within: int) -> DataF
 
 
 def single_term_documents(covered: DataFrame) -> DataFrame:
-    """``qid, doc_id`` of the documents that no query of two pieces of a topic reaches: one aspect at most, and nothing associated."""
+    """``qid, doc_id`` of the matched documents that no query of two pieces of a topic reaches: one aspect at most, and nothing associated.
+
+    Documents without any match aren't listed; they are all that :func:`coverage` doesn't have.
+    """
     return covered.where("n_aspects <= 1 AND n_assoc = 0").select("qid", "doc_id")
 
 
-def keyword_effect(covered: DataFrame) -> DataFrame:
-    """``qid, docs, any_key, any_assoc, any_term, key_and_assoc, zero`` and the share of documents with any term."""
-    n, a = F.col("n_keys") > 0, F.col("n_assoc") > 0
-    out = covered.groupBy("qid").agg(F.count("*").alias("docs"), F.count_if(n).alias("any_key"), F.count_if(a).alias("any_assoc"), F.count_if(n | a).alias("any_term"), F.count_if(n & a).alias("key_and_assoc"), F.count_if(~(n | a)).alias("zero"))
-    return out.withColumn("share", F.col("any_term") / F.col("docs"))
+def keyword_effect(covered: DataFrame, pieces: DataFrame, totals: DataFrame) -> DataFrame:
+    """``qid, docs, any_key, any_assoc, any_term, key_and_assoc, all_keys, zero`` and the shares of all documents, in per cent, of those with any term and with every aspect."""
+    aspects = pieces.where("role = 'key'").groupBy("qid").agg(F.count_distinct("aspect").alias("of"))
+    n, a, every = F.col("n_keys") > 0, F.col("n_assoc") > 0, (F.col("n_aspects") == F.col("of")) & (F.col("of") > 0)
+    met = covered.join(if_small(aspects), "qid", "left").groupBy("qid").agg(F.count_if(n).alias("any_key"), F.count_if(a).alias("any_assoc"), F.count_if(n | a).alias("any_term"), F.count_if(n & a).alias("key_and_assoc"), F.count_if(F.coalesce(every, F.lit(False))).alias("all_keys"))
+    out = totals.join(met, "qid", "left").na.fill(0).withColumnRenamed("all", "docs").withColumn("zero", F.col("docs") - F.col("any_term"))
+    return out.withColumn("pct_any", 100.0 * F.col("any_term") / F.col("docs")).withColumn("pct_all_keys", 100.0 * F.col("all_keys") / F.col("docs"))
 
 
 def _cover(pdf: pd.DataFrame, by_cost: bool) -> list[tuple]:
@@ -242,6 +253,14 @@ def span_statistics(spans: DataFrame, keys: Sequence[str], value: str = "span")
     return out.select(*keys, "n", F.col("least").cast("long").alias("least"), *[F.col("q")[i].cast("long").alias(n) for i, n in enumerate(("median", "p75", "p90", "p95"))], F.col("most").cast("long").alias("most"))
 
 
+def index_percentiles(df: DataFrame, key: str, value: str, percents: Sequence[int]) -> DataFrame:
+    """``key, p50, …``: the value at ``n * percent / 100`` of a group's sorted values, without interpolation; numbered over range partitions."""
+    at = numbered_within(df.where(F.col(value).isNotNull()).select(key, value), [key], [value], "__place")
+    n = at.groupBy(key).agg(F.max("__place").alias("__n"))
+    place = lambda p: F.least(F.col("__n"), F.floor(F.col("__n") * p / 100) + 1)
+    return at.join(n, key).groupBy(key).agg(*[F.max(F.when(F.col("__place") == place(p), F.col(value))).alias(f"p{p}") for p in percents])
+
+
 def proximity_curve(spans: DataFrame, bounds: Sequence[int], keys: Sequence[str], value: str = "span") -> DataFrame:
     """``keys, bound, docs, share``: matches that each bound keeps."""
     counted = spans.groupBy(*keys).agg(F.count("*").alias("all"), *[F.count_if(F.col(value) <= b).alias(str(b)) for b in bounds])

@@ -19,6 +19,11 @@ def positions_in_run(run: DataFrame, keys: Sequence[str]) -> DataFrame:
     return numbered_within(best, keys, [F.desc("score"), F.desc("doc_id")], "rank")
 
 
+def ranked_by_file(run: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """``rank`` from 1 by the place in a run's file, whatever the scores."""
+    return numbered_within(run, keys, [order], "rank")
+
+
 def metrics(ranked: DataFrame, qrels: DataFrame, cutoffs: Sequence[int] = (10, 100), run_keys: Sequence[str] = (), binary: bool = False) -> DataFrame:
     """A row for each run and topic that has both results and judgments.
 

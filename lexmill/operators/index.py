@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import numbers
 from lexmill.functions.text import words
-from lexmill.plans.ordered import numbered
+from lexmill.plans.ordered import numbered, placed
 from lexmill.plans.shared import col, cut, if_small
 
 
@@ -141,10 +141,14 @@ def with_token_ids(vocab: DataFrame) -> DataFrame:
 
 
 def encode(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """``doc_id, ids``: word ids in order of position; unknown words are -1."""
-    at = positions(documents).join(ids.select("tok", "tok_id"), "tok", "left")
-    grouped = at.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("tok_id", F.lit(-1)).alias("i")))).alias("l"))
-    return grouped.select("doc_id", F.transform("l", lambda x: x["i"]).alias("ids"))
+    """``doc_id, ids``: word ids in order of position; unknown words are -1.
+
+    A document's different words, not all its words, meet the vocabulary, and come back as one map.
+    """
+    each = documents.select("doc_id", F.explode(F.array_distinct("ws")).alias("tok")).join(ids.select("tok", "tok_id"), "tok")
+    known = each.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("tok", "tok_id"))).alias("m"))
+    met = documents.where(F.size("ws") > 0).join(known, "doc_id", "left")
+    return met.select("doc_id", F.transform("ws", lambda w: F.coalesce(F.col("m")[w], F.lit(-1).cast("long"))).alias("ids"))
 
 
 def decode(coded: DataFrame, ids: DataFrame) -> DataFrame:
@@ -172,8 +176,6 @@ def extension_counts(exts: DataFrame, k: int | None = None) -> DataFrame:
     counted = exts.groupBy("query_id", "ext").agg(F.count("*").alias("n"))
     if k is None:
         return counted
-    from pyspark.sql import Window
-
     at = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), F.array_join("ext", " ")))
     return counted.withColumn("__r", at).where(F.col("__r") <= k).drop("__r")
 
@@ -187,21 +189,17 @@ def passage_counts(exts: DataFrame, pad: str = "<pad>") -> DataFrame:
 def containing_document(pointers: DataFrame, pointer: str, offsets: DataFrame, offset: str, doc_id: str) -> DataFrame:
     """Each pointer with the document of the greatest offset not above it; pointers before all offsets go to the first.
 
-    Offsets and pointers are cut into equal blocks of addresses. A block's pointers look back within the block, and
-    those before the block's first offset take the last document before the block, of which there is one row a block.
-    So no task sees more than a block, however many pointers there are.
+    Offsets and pointers are sorted together over range partitions. A pointer looks back within its partition, and those before its
+    first offset take the last document of the partitions before, of which there is one row a partition.
     """
-    block = 1 << 28
-    o = offsets.select(col(offset).cast("long").alias("at"), col(doc_id).alias("d"), F.lit(0).alias("asked")).withColumn("ptr", F.lit(None).cast("long"))
-    p = pointers.select(col(pointer).cast("long").alias("at"), F.lit(None).cast(offsets.schema[doc_id].dataType).alias("d"), F.lit(1).alias("asked"), col(pointer).cast("long").alias("ptr"))
-    both = o.unionByName(p).withColumn("b", F.floor(F.col("at") / block))
-    from pyspark.sql import Window
-
-    within = Window.partitionBy("b").orderBy("at", "asked").rowsBetween(Window.unboundedPreceding, 0)
-    near = both.withColumn("found", F.last(F.when(F.col("asked") == 0, F.col("d")), ignorenulls=True).over(within)).where("asked = 1")
-    last = o.withColumn("b", F.floor(F.col("at") / block)).groupBy("b").agg(F.max_by("d", "at").alias("last"), F.min_by("d", "at").alias("first"))
-    asked = near.select("b").distinct().select("b", F.lit(None).cast("long").alias("k"))
-    ladder = last.select("b", "last", "first").join(asked.select("b"), "b", "full")
-    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # one row a block of addresses
-    carried = ladder.withColumn("carry", F.last("last", ignorenulls=True).over(before)).withColumn("head", F.first("first", ignorenulls=True).over(Window.orderBy("b").rowsBetween(0, Window.unboundedFollowing)))
-    return near.join(carried.select("b", "carry", "head"), "b").select(F.col("ptr").alias(pointer), F.coalesce("found", "carry", "head").alias(doc_id))
+    kind = offsets.schema[doc_id].dataType
+    o = offsets.select(col(offset).cast("long").alias("at"), F.lit(0).alias("asked"), col(doc_id).alias("d"))
+    p = pointers.select(col(pointer).cast("long").alias("at"), F.lit(1).alias("asked"), F.lit(None).cast(kind).alias("d"))
+    sorted_ = placed(o.unionByName(p), ["at", "asked"])
+    back = Window.partitionBy("__pid").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    near = sorted_.withColumn("found", F.last("d", ignorenulls=True).over(back)).where("asked = 1")
+    last = sorted_.groupBy("__pid").agg(F.max_by("d", F.when(F.col("asked") == 0, F.col("__at"))).alias("last"))
+    before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    carried = F.broadcast(last.select("__pid", F.last("last", ignorenulls=True).over(before).alias("carry")))
+    head = F.broadcast(o.agg(F.min_by("d", "at").alias("head")))  # one row
+    return near.join(carried, "__pid").crossJoin(head).select(F.col("at").alias(pointer), F.coalesce("found", "carry", "head").alias(doc_id))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.numbers import term_weight
+from lexmill.plans.shared import if_small
 
 
 def pool(matched: DataFrame, queries: DataFrame) -> DataFrame:
@@ -28,7 +29,7 @@ def term_hits(documents: DataFrame, phrases: DataFrame) -> DataFrame:
     ``phrases`` has ``qid, term``. Only the words of terms are looked up, and counted before they are exchanged.
     """
     each = phrases.select("term").distinct().select("term", F.array_distinct(F.split("term", " ")).alias("w")).select("term", F.size("w").alias("n"), F.explode("w").alias("tok"))
-    seen = documents.select("doc_id", F.explode(F.array_distinct("ws")).alias("tok")).join(F.broadcast(each), "tok")
+    seen = documents.select("doc_id", F.explode(F.array_distinct("ws")).alias("tok")).join(if_small(each), "tok")
     full = seen.groupBy("term", "doc_id").agg(F.count("*").alias("c"), F.first("n").alias("n")).where("c = n")
     return full.select("term", "doc_id").join(phrases, "term").select("qid", "doc_id", "term")
 

@@ -23,14 +23,15 @@ def _table(spark, d):
 
 
 def _covered(spark, d):
+    """What is matched of each topic, its pieces, and how many documents there are for it."""
     t, p, _, docs = _table(spark, d)
-    topics = F.broadcast(p.select("qid").distinct())  # the topics of a setting
-    return analyze.coverage(t, docs.select("doc_id").crossJoin(topics)), t
+    return analyze.coverage(t), p, p.select("qid").distinct().withColumn("all", F.lit(docs.count()))
 
 
 @query(f"WITH {SQL_WORDS}, {SQL_PIECES}, {_TABLE} SELECT qid, n_aspects, count(*) docs, round(count(*) / sum(count(*)) OVER (PARTITION BY qid)::DOUBLE, 9) share FROM cv GROUP BY qid, n_aspects")
 def coverage_hist(spark, d):
-    return analyze.coverage_histogram(_covered(spark, d)[0]).withColumn("share", F.round("share", 9))
+    covered, _, totals = _covered(spark, d)
+    return analyze.coverage_histogram(covered, totals).withColumn("share", F.round("share", 9))
 
 
 @query(f"WITH {SQL_WORDS}, {SQL_PIECES}, {_TABLE} SELECT qid, role, aspect, piece, count(DISTINCT doc_id) docs FROM kt GROUP BY ALL")
@@ -54,9 +55,7 @@ def cross_distance(spark, d):
     l AS (SELECT qid, unnest(['standalone_key', 'standalone_assoc', 'any_standalone', 'pairwise_key', 'all_aspects_key', 'key_plus_assoc', 'pairwise_key_plus_assoc', 'all_aspects_plus_assoc']) strategy, unnest([k, a, k OR a, p, e, k AND a, p AND a, e AND a]) hit FROM f)
     SELECT qid, strategy, count(*) FILTER (hit) docs, round(count(*) FILTER (hit) / count(*)::DOUBLE, 9) share FROM l GROUP BY ALL""")
 def strategy_coverage(spark, d):
-    t, p, _, docs = _table(spark, d)
-    covered = analyze.coverage(t, docs.select("doc_id").crossJoin(F.broadcast(p.select("qid").distinct())))
-    return analyze.strategy_coverage(covered, p).withColumn("share", F.round("share", 9))
+    return analyze.strategy_coverage(*_covered(spark, d)).withColumn("share", F.round("share", 9))
 
 
 @query(f"""WITH {SQL_WORDS}, {SQL_PIECES}, k AS (SELECT DISTINCT qid, piece, aspect_ix FROM pc WHERE role = 'key'), a AS (SELECT qid, count(DISTINCT piece) n FROM pc WHERE role = 'assoc' GROUP BY qid),
@@ -73,9 +72,9 @@ def maximal_combos(spark, d):
     return analyze.maximal_combinations(_table(spark, d)[0])
 
 
-@query(f"WITH {SQL_WORDS}, {SQL_PIECES}, {_TABLE} SELECT qid, count(*) docs, count(*) FILTER (n_keys > 0) any_key, count(*) FILTER (n_assoc > 0) any_assoc, count(*) FILTER (n_keys > 0 OR n_assoc > 0) any_term, count(*) FILTER (n_keys > 0 AND n_assoc > 0) key_and_assoc, count(*) FILTER (n_keys = 0 AND n_assoc = 0) zero, round(count(*) FILTER (n_keys > 0 OR n_assoc > 0) / count(*)::DOUBLE, 9) share FROM cv GROUP BY qid")
+@query(f"WITH {SQL_WORDS}, {SQL_PIECES}, {_TABLE}, na AS (SELECT qid, count(DISTINCT aspect) t FROM pc WHERE role = 'key' GROUP BY qid) SELECT qid, count(*) docs, count(*) FILTER (n_keys > 0) any_key, count(*) FILTER (n_assoc > 0) any_assoc, count(*) FILTER (n_keys > 0 OR n_assoc > 0) any_term, count(*) FILTER (n_keys > 0 AND n_assoc > 0) key_and_assoc, count(*) FILTER (n_aspects = t) all_keys, count(*) FILTER (n_keys = 0 AND n_assoc = 0) zero, round(100.0 * count(*) FILTER (n_keys > 0 OR n_assoc > 0) / count(*)::DOUBLE, 6) pct_any, round(100.0 * count(*) FILTER (n_aspects = t) / count(*)::DOUBLE, 6) pct_all_keys FROM cv JOIN na USING (qid) GROUP BY qid")
 def keyword_effect(spark, d):
-    return analyze.keyword_effect(_covered(spark, d)[0]).withColumn("share", F.round("share", 9))
+    return _rounded(analyze.keyword_effect(*_covered(spark, d)))
 
 
 @query(f"WITH {SQL_WORDS}, {SQL_PIECES}, {_PAIRS}, q AS (SELECT query_id, span, quantile_cont(span, [0.5, 0.75, 0.9, 0.95]) OVER (PARTITION BY query_id) q FROM ps) SELECT query_id, count(*) n, min(span)::BIGINT least, trunc(any_value(q)[1])::BIGINT median, trunc(any_value(q)[2])::BIGINT p75, trunc(any_value(q)[3])::BIGINT p90, trunc(any_value(q)[4])::BIGINT p95, max(span)::BIGINT most FROM q GROUP BY query_id")
@@ -137,7 +136,7 @@ def tightest_counts(spark, d):
     return analyze.tightest_counts(tight, _own_spans(hits, tight), 50).withColumn("precision", F.round("precision", 9))
 
 
-@query(f"WITH {SQL_WORDS}, {SQL_PIECES}, {_TABLE} SELECT qid, doc_id FROM cv WHERE n_aspects <= 1 AND n_assoc = 0")
+@query(f"WITH {SQL_WORDS}, {SQL_PIECES}, {_TABLE} SELECT qid, doc_id FROM cv WHERE n_aspects <= 1 AND n_assoc = 0 AND n_keys > 0")
 def single_term_docs(spark, d):
     return analyze.single_term_documents(_covered(spark, d)[0])
 
@@ -213,8 +212,8 @@ def length_density(spark, d):
 @query(f"{_OUTCOME}, z AS (SELECT stage, list_sort(list(recall)) r FROM o GROUP BY stage) SELECT stage, round(r[least(len(r), floor(len(r) * 0.5)::INT + 1)], 6) p50, round(r[least(len(r), floor(len(r) * 0.9)::INT + 1)], 6) p90 FROM z")
 def index_percentiles(spark, d):
     runs, qrels = stage_runs(spark, d)
-    o = evaluate.retrieval_outcome(runs, qrels, ["stage"]).groupBy("stage").agg(F.collect_list("recall").alias("r"))
-    return o.select("stage", F.round(numbers.index_percentile(F.col("r"), 50), 6).alias("p50"), F.round(numbers.index_percentile(F.col("r"), 90), 6).alias("p90"))
+    o = evaluate.retrieval_outcome(runs, qrels, ["stage"])
+    return _rounded(analyze.index_percentiles(o, "stage", "recall", (50, 90)))
 
 
 _BI = "bg AS (SELECT a.tok, b.tok nxt, count(*) n FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 GROUP BY ALL), bp AS (SELECT tok, nxt, n, n / sum(n) OVER (PARTITION BY tok)::DOUBLE p FROM bg)"

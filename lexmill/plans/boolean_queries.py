@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import content_words
+from lexmill.functions.text import SPACE, content_words, words
 from lexmill.operators import build, cnf, index, select
 from lexmill.plans.ordered import running_total
 from lexmill.plans.registry import SQL_PIECES, SQL_WORDS, index_for, lower_pieces, query, sql_spans, stop_list, table, values
@@ -146,12 +146,12 @@ def ptr_to_doc(spark, d):
     return index.containing_document(p, "ptr", o, "off", "doc_id")
 
 
-@query(f"""WITH {SQL_WORDS}, sw AS (SELECT unnest([2, 4, 6]) k), f AS (SELECT doc_id, ws[1:3] x FROM w WHERE len(ws) >= 3), v AS (SELECT tok, count(*) / (SELECT count(*) FROM tok)::DOUBLE p FROM tok GROUP BY tok),
-    e AS (SELECT doc_id, unnest(x) t FROM f) SELECT doc_id, round(ln(product(p)), 6) log_p FROM e JOIN v ON v.tok = t GROUP BY doc_id""")
+@query(rf"""WITH {SQL_WORDS}, v AS (SELECT tok, count(*) / (SELECT count(*) FROM tok)::DOUBLE p FROM tok GROUP BY tok), t AS (SELECT qid, min(text) t FROM topics WHERE qid IS NOT NULL AND text IS NOT NULL GROUP BY qid),
+    e AS (SELECT qid, unnest(list_filter(string_split_regex(lower(t), '{SPACE}'), lambda x: x <> '')) tok FROM t) SELECT t.qid, round(coalesce(sum(ln(p)), 0), 6) log_p FROM t LEFT JOIN (SELECT qid, p FROM e JOIN v USING (tok)) USING (qid) GROUP BY t.qid""")
 def span_probability(spark, d):
-    docs = _docs(spark, d)
-    first = docs.where(F.size("ws") >= 3).select("doc_id", F.slice("ws", 1, 3).alias("x"))
-    return index.word_probability(first, "doc_id", "x", index.vocabulary(docs)).select("doc_id", F.round(F.log("p"), 6).alias("log_p"))
+    """The topics' texts as spans, by the probabilities of their words in the documents."""
+    t = table(spark, d, "topics").where("qid IS NOT NULL AND text IS NOT NULL").groupBy("qid").agg(F.min("text").alias("text")).select("qid", words(F.col("text")).alias("x"))
+    return index.word_probability(t, "qid", "x", index.vocabulary(_docs(spark, d))).select("qid", F.round(F.log("p"), 6).alias("log_p"))
 
 
 @query(f"""WITH {SQL_WORDS}, v AS (SELECT tok, row_number() OVER (ORDER BY count(*) DESC, tok) - 1 tok_id FROM tok GROUP BY tok)

@@ -16,7 +16,7 @@ from lexmill.plans.shared import cut, if_small
 _LOW = (1 << 33) - 1
 
 
-def _placed(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+def placed(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     """``df`` sorted and written, with ``__pid`` and ``__at``: partition, and place within it from 0."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
     written = cut(ranged, "ordered")
@@ -31,9 +31,9 @@ def _before(per: DataFrame, value: str) -> DataFrame:
 
 def numbered(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
     """``name``: 0, 1, 2, … in the order of ``order``. Rows that are equal in it are numbered in any order."""
-    placed = _placed(df, order)
-    before = _before(placed.groupBy("__pid").agg(F.count("*").alias("n")), "n")
-    return placed.join(before, "__pid").withColumn(name, F.col("__before") + F.col("__at")).drop("__pid", "__at", "__before")
+    sorted_ = placed(df, order)
+    before = _before(sorted_.groupBy("__pid").agg(F.count("*").alias("n")), "n")
+    return sorted_.join(before, "__pid").withColumn(name, F.col("__before") + F.col("__at")).drop("__pid", "__at", "__before")
 
 
 def numbered_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str) -> DataFrame:
@@ -45,8 +45,8 @@ def numbered_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
 
 def running_total(df: DataFrame, order: Sequence[Column | str], value: str, name: str) -> DataFrame:
     """``name``: the total of ``value`` over all rows before, 0 for the first."""
-    placed = _placed(df, order)
-    before = _before(placed.groupBy("__pid").agg(F.sum(value).alias("n")), "n")
+    sorted_ = placed(df, order)
+    before = _before(sorted_.groupBy("__pid").agg(F.sum(value).alias("n")), "n")
     w = Window.partitionBy("__pid").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
-    inside = placed.withColumn("__in", F.coalesce(F.sum(value).over(w), F.lit(0)))
+    inside = sorted_.withColumn("__in", F.coalesce(F.sum(value).over(w), F.lit(0)))
     return inside.join(before, "__pid").withColumn(name, F.col("__before") + F.col("__in")).drop("__pid", "__at", "__before", "__in")

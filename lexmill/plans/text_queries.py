@@ -129,10 +129,10 @@ def stopword_chunks(spark, d):
 @query(f"""WITH {SQL_WORDS}, g AS (
         SELECT a.tok || ' ' || b.tok ngram FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1
         UNION ALL SELECT a.tok || ' ' || b.tok || ' ' || c.tok FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 JOIN tok c ON a.doc_id = c.doc_id AND c.pos = a.pos + 2)
-    SELECT ngram, count(*) n FROM g GROUP BY ngram HAVING count(*) >= 5""")
+    SELECT ngram, count(*) n FROM g GROUP BY ngram""")
 def ngrams_2_3(spark, d):
     w = index.doc_words(table(spark, d, "documents"))
-    return w.select(F.explode(nested.ngrams(F.col("ws"), 2, 3)).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("n")).where("n >= 5")
+    return w.select(F.explode(nested.ngrams(F.col("ws"), 2, 3)).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("n"))
 
 
 _PIECES = ["▁he ▁walk ed ▁home", "▁a ▁b c\n ▁d", "▁one", "x ▁y", "▁long er ▁word s ▁here"]
@@ -147,12 +147,12 @@ def word_spans(spark, d):
     return p.select("s", F.explode(nested.whole_word_spans(F.split("s", " "), 1, 3)).alias("x")).select("s", F.array_join("x", " ").alias("span"))
 
 
-_ANSWERS = ['```json\n{"a": [1, 2,],}\n```', 'Here you are: {"a": "b"} .', "no object", '{"x": {"y": 1,\n}}', None]
+_ANSWERS = ['{"a": [1, 2}', 'text {"a": } more', '```json\n{"a": [1, 2,],}\n```', 'Here you are: {"a": "b"} .', "no object", '{"x": {"y": 1,\n}}', None]
 
 
 @query("""WITH a AS (SELECT * FROM """ + values([(i, s) for i, s in enumerate(_ANSWERS)]) + r""" v(i, s)),
     b AS (SELECT i, regexp_extract(regexp_replace(s, '```(json)?', '', 'g'), '(?s)(\{.*\})', 1) j FROM a)
-    SELECT i, CASE WHEN j <> '' THEN regexp_replace(j, ',\s*([}\]])', '\1', 'g') END json FROM b""")
+    SELECT i, CASE WHEN j <> '' AND json_valid(regexp_replace(j, ',\s*([}\]])', '\1', 'g')) THEN regexp_replace(j, ',\s*([}\]])', '\1', 'g') END json FROM b""")
 def json_repair(spark, d):
     return spark.createDataFrame(list(enumerate(_ANSWERS)), "i int, s string").select("i", nested.repaired_json(F.col("s")).alias("json"))
 

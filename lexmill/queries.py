@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.plans import analysis_queries, boolean_queries, ranking_queries, text_queries, topic_queries  # noqa: F401 - they register their queries
+from lexmill.plans import analysis_queries, boolean_queries, ranking_queries, source_queries, text_queries, topic_queries  # noqa: F401 - they register their queries
 from lexmill.plans.topic_queries import flagship  # noqa: F401
 from lexmill.plans.registry import REGISTERED
 

@@ -5,12 +5,15 @@ All take paths that Spark reads (files, folders, globs; gzip and zstd by their e
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import re
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import qid_of_path
+from lexmill.plans.ordered import numbered, numbered_within, running_total
 from lexmill.plans.shared import col
 
 #: The typed schema of a raw corpus row.
@@ -123,17 +126,19 @@ def lookup_ids(spark: SparkSession, root: str, ids: Iterable[str], pattern: str
 
 
 def file_batches(files: DataFrame, subset: str, path: str, per_batch: int) -> DataFrame:
-    """``batch, subset, path``: the files of each subset in batches of at most ``per_batch``, named ``batch_0000_subset``."""
-    at = F.row_number().over(Window.partitionBy(subset).orderBy(path)) - 1
-    numbered = files.withColumn("__b", F.floor(at / per_batch).cast("long"))
-    name = F.concat(F.lit("batch_"), F.lpad(F.col("__b").cast("string"), 4, "0"), F.lit("_"), col(subset))
-    return numbered.select(name.alias("batch"), col(subset).alias("subset"), col(path).alias("path"))
+    """``batch, subset, path``: the files of each subset in batches of at most ``per_batch``, named ``batch_0000_subset``.
+
+    Files are numbered over range partitions, so that no subset has to fit into one task.
+    """
+    number = numbered_within(files.select(col(subset).alias("subset"), col(path).alias("path")), ["subset"], ["path"], "__n")
+    name = F.concat(F.lit("batch_"), F.lpad(F.floor((F.col("__n") - 1) / per_batch).cast("string"), 4, "0"), F.lit("_"), "subset")
+    return number.select(name.alias("batch"), "subset", "path")
 
 
 def strided_order(batches: DataFrame, order: str, offset: int) -> DataFrame:
     """``position`` for each batch: first every ``offset``-th, then those after them, and so on; every batch once."""
-    at = F.row_number().over(Window.orderBy(order)) - 1
-    return batches.withColumn("__at", at).withColumn("position", F.row_number().over(Window.orderBy(F.col("__at") % offset, "__at"))).drop("__at")
+    at = numbered(batches, [order], "__no")
+    return numbered(at.withColumn("__rest", F.col("__no") % offset), ["__rest", "__no"], "__p").withColumn("position", F.col("__p") + 1).drop("__no", "__rest", "__p")
 
 
 def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int) -> DataFrame:
@@ -142,7 +147,12 @@ def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
 
 
 def take_until(df: DataFrame, order: Sequence[Column | str], size: str, enough: float, keys: Sequence[str] = ()) -> DataFrame:
-    """Rows in order while the total before them is below ``enough``: the row that reaches it is still taken."""
+    """Rows in order while the total before them is below ``enough``: the row that reaches it is still taken.
+
+    Without ``keys`` the total runs over range partitions.
+    """
+    if not keys:
+        return running_total(df, order, size, "__before").where(F.col("__before") < enough).drop("__before")
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("__before", F.coalesce(F.sum(size).over(w), F.lit(0))).where(F.col("__before") < enough).drop("__before")
 
@@ -164,7 +174,10 @@ def beir_topics(topics: DataFrame, qrels: DataFrame) -> DataFrame:
 
 
 def read_arrays(spark: SparkSession, path: str) -> DataFrame:
-    """``filename, size, n, values`` of a folder's ``.npy`` files of whole numbers; files that aren't arrays are left out."""
+    """``filename, size, n, values`` of a folder's ``.npy`` files of whole numbers; files that aren't arrays are left out.
+
+    An array is one value of a row, so it must be smaller than 2 GB; shards of any size are read by :func:`shard_sentences`.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "length", "content")
 
     def parse(batches):
@@ -186,13 +199,62 @@ def read_arrays(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(parse, "filename string, size long, n long, values array<long>")
 
 
-def sentences_of_shard(arrays: DataFrame, ids: str = "_ids.npy", offsets: str = "_offsets.npy") -> DataFrame:
-    """``shard, sentence, tokens`` from pairs of id and offset arrays; empty sentences, as at joints of batches, are left out."""
-    of = lambda end, name: arrays.where(F.endswith("filename", F.lit(end))).select(F.regexp_replace("filename", end.replace(".", "\\.") + "$", "").alias("shard"), F.col("values").alias(name))
-    both = of(ids, "ids").join(of(offsets, "offs"), "shard")
-    at = both.select("shard", "ids", "offs", F.posexplode(F.slice("offs", F.lit(1), F.greatest(F.size("offs") - 1, F.lit(0)))).alias("sentence", "begin"))
-    end = F.get("offs", F.col("sentence") + 1)
-    return at.where(end > F.col("begin")).select("shard", "sentence", F.slice("ids", (F.col("begin") + 1).cast("int"), (end - F.col("begin")).cast("int")).alias("tokens"))
+def _open(path: str):
+    """A file of any file system that pyarrow knows, for random access."""
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+    return store.open_input_file(at)
+
+
+def _header(f) -> tuple[object, int, int]:
+    """Type, length and beginning of the values of a ``.npy`` file of one dimension."""
+    from numpy.lib import format as npy
+
+    version = npy.read_magic(f)
+    shape, _, kind = npy.read_array_header_1_0(f) if version == (1, 0) else npy.read_array_header_2_0(f)
+    return kind, int(shape[0]) if shape else 0, f.tell()
+
+
+def _values(f, head: tuple, first: int, n: int):
+    import numpy as np
+
+    kind, _, begin = head
+    f.seek(begin + first * kind.itemsize)
+    return np.frombuffer(f.read(n * kind.itemsize), kind)
+
+
+def shard_sentences(spark: SparkSession, path: str, ids: str = "_ids.npy", offsets: str = "_offsets.npy", per_task: int = 50_000) -> DataFrame:
+    """``shard, sentence, tokens`` from pairs of id and offset arrays of any size; empty sentences, as at joints of batches, are left out.
+
+    A task reads the byte ranges of ``per_task`` sentences, so that no file is read as a whole. The driver reads the headers.
+    """
+    store = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = store.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*{offsets}"))
+    parts = []
+    for status in there:
+        name = status.getPath().toString()
+        with _open(name) as f:
+            n = _header(f)[1] - 1
+        parts += [(name[: -len(offsets)], first, min(per_task, n - first)) for first in range(0, max(n, 0), per_task)]
+    schema = "shard string, sentence bigint, tokens array<bigint>"
+    if not parts:
+        return spark.createDataFrame([], schema)
+    ranges = spark.createDataFrame(parts, "stem string, first bigint, n bigint").repartition(len(parts), "stem", "first")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for stem, first, n in zip(*(c.to_pylist() for c in b.columns)):
+                with _open(stem + offsets) as f, _open(stem + ids) as g:
+                    at = _values(f, _header(f), first, n + 1).astype("int64")
+                    words_ = _values(g, _header(g), int(at[0]), int(at[-1] - at[0])).astype("int64")
+                full = at[1:] > at[:-1]
+                lists = pa.ListArray.from_arrays(pa.array(at - at[0], pa.int32()), pa.array(words_))
+                number = pa.array(range(first, first + n), pa.int64())
+                keep = pa.array(full)
+                yield pa.RecordBatch.from_arrays([pa.array([stem.rsplit("/", 1)[-1]] * int(full.sum()), pa.string()), number.filter(keep), lists.filter(keep)], names=["shard", "sentence", "tokens"])
+
+    return ranges.mapInArrow(read, schema)
 
 
 def read_unigrams(spark: SparkSession, path: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +66,53 @@ def append_done(results: DataFrame, path: str) -> None:
     results.write.mode("append").json(path)
 
 
-def write_token_shards(tokens: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
-    """Token ids and sentence offsets as Parquet files of bounded length."""
-    tokens.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)
+def write_token_shards(coded: DataFrame, path: str, ids: str = "ids", tokens_per_shard: int = 1 << 27, kind: str = "uint16") -> DataFrame:
+    """``shard, sentences, tokens`` of the shards written: ``_ids.npy``, ``_offsets.npy`` and ``_meta.json`` for each, of about ``tokens_per_shard`` tokens.
+
+    ``coded`` has an array of token ids a row, a sentence. Each task writes the shards of its own rows, one after the other; one whose meta
+    file is there is not written again, so that a job that is repeated goes on where it stopped. Ids that ``kind`` can't hold raise.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import io
+        import json
+
+        import numpy as np
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        store, root = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+        store.create_dir(root, recursive=True)
+        pid, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def save(name: str, content: bytes) -> None:
+            with store.open_output_stream(name) as out:
+                out.write(content)
+
+        def flush() -> pa.RecordBatch:
+            nonlocal number, held, size
+            name, number = f"shard_{pid:05}_{number:05}", number + 1
+            offsets = np.cumsum([0, *(len(x) for x in held)]).astype("int64")
+            if store.get_file_info(f"{root}/{name}_meta.json").type == fs.FileType.NotFound:
+                flat = np.concatenate(held)
+                if len(flat) and (flat.min() < 0 or flat.max() > np.iinfo(kind).max):
+                    raise ValueError(f"token ids don't fit into {kind}")
+                for end, values in (("ids", flat.astype(kind)), ("offsets", offsets)):
+                    buffer = io.BytesIO()
+                    np.save(buffer, values)
+                    save(f"{root}/{name}_{end}.npy", buffer.getvalue())
+                save(f"{root}/{name}_meta.json", json.dumps({"sentences": len(held), "tokens": int(offsets[-1]), "dtype": kind}).encode())
+            row = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(held)], pa.int64()), pa.array([int(offsets[-1])], pa.int64())], names=["shard", "sentences", "tokens"])
+            held, size = [], 0
+            return row
+
+        for b in batches:
+            for x in b[ids].to_pylist():
+                held.append(np.array(x or [], dtype="int64"))
+                size += len(held[-1])
+                if size >= tokens_per_shard:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return coded.select(ids).mapInArrow(write, "shard string, sentences bigint, tokens bigint")

@@ -76,8 +76,14 @@ def test_enrich_pending_and_tables(spark, tmp_path):
     writers.append_done(texts, str(tmp_path / "done"))
     writers.append_done(texts, str(tmp_path / "done"))
     assert spark.read.json(str(tmp_path / "done")).count() == 4
-    writers.write_token_shards(spark.range(10), str(tmp_path / "shards"), 4)
-    assert spark.read.parquet(str(tmp_path / "shards")).count() == 10
+    coded = spark.createDataFrame([(i, list(range(i % 4))) for i in range(40)], "doc_id long, ids array<int>").repartition(2)
+    path = f"file://{tmp_path}/shards"
+    made = writers.write_token_shards(coded, path, tokens_per_shard=20).collect()
+    assert sum(r["sentences"] for r in made) == 40 and sum(r["tokens"] for r in made) == 60 and len(made) > 2
+    assert sorted(tuple(r["tokens"]) for r in readers.shard_sentences(spark, path, per_task=3).collect()) == sorted(tuple(range(i % 4)) for i in range(40) if i % 4)
+    before = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "shards").iterdir()}
+    assert sorted(map(tuple, writers.write_token_shards(coded, path, tokens_per_shard=20).collect())) == sorted(map(tuple, made))
+    assert {p.name: p.stat().st_mtime_ns for p in (tmp_path / "shards").iterdir()} == before  # a shard that is there stays
 
 
 def test_stream_counts_new_files_once(spark, tmp_path):
@@ -148,7 +154,7 @@ def test_arrays_and_shards(spark, tmp_path):
     (tmp_path / "odd.npy").write_bytes(b"not an array")
     arrays = readers.read_arrays(spark, str(tmp_path))
     assert {r["filename"]: r["n"] for r in arrays.collect()} == {"s0_ids.npy": 4, "s0_offsets.npy": 4}
-    got = sorted((r["shard"], r["sentence"], r["tokens"]) for r in readers.sentences_of_shard(arrays).collect())
+    got = sorted((r["shard"], r["sentence"], r["tokens"]) for r in readers.shard_sentences(spark, str(tmp_path)).collect())
     assert got == [("s0", 0, [5, 6, 7]), ("s0", 2, [8])]
 
 
