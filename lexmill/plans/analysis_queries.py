@@ -8,7 +8,7 @@ from lexmill.functions import numbers
 from lexmill.operators import analyze, cnf, evaluate, lm, vectors
 from lexmill.plans.boolean_queries import _PAIRS, _SP, _docs, _piece_hits, _piece_spans
 from lexmill.plans.ranking_queries import _OUTCOME, _RUNS, _rounded, stage_runs
-from lexmill.plans.registry import SQL_PIECES, SQL_WORDS, lower_pieces, query, table
+from lexmill.plans.registry import SQL_PIECES, SQL_WORDS, lower_pieces, query, sql_sets, table
 from lexmill.plans.shared import cut, fresh_path
 from lexmill.streaming.ingest import streamed_vocabulary
 
@@ -123,14 +123,22 @@ def _own_spans(hits, tight):
     return cut(cnf.group_spans(hits, tight.select("qid", "query_id", "members").distinct()), "tightest-spans")
 
 
-@query()
+_TIGHT = f"""{_SP}, tk AS (SELECT DISTINCT k.qid, s.doc_id, k.role, k.aspect_ix, k.piece FROM sp s JOIN (SELECT DISTINCT qid, role, aspect_ix, piece FROM pc) k USING (piece)), d0 AS (SELECT DISTINCT qid, doc_id FROM tk WHERE role = 'key'),
+    cm AS (SELECT DISTINCT d0.qid, d0.doc_id, list_sort(list_distinct(list_filter([a.piece, b.piece, c.piece, s.piece], lambda x: x IS NOT NULL))) m, (a.piece IS NOT NULL)::BIGINT + (b.piece IS NOT NULL)::BIGINT + (c.piece IS NOT NULL)::BIGINT + (s.piece IS NOT NULL)::BIGINT score
+        FROM d0 LEFT JOIN tk a ON a.qid = d0.qid AND a.doc_id = d0.doc_id AND a.aspect_ix = 0 LEFT JOIN tk b ON b.qid = d0.qid AND b.doc_id = d0.doc_id AND b.aspect_ix = 1 LEFT JOIN tk c ON c.qid = d0.qid AND c.doc_id = d0.doc_id AND c.aspect_ix = 2 LEFT JOIN tk s ON s.qid = d0.qid AND s.doc_id = d0.doc_id AND s.role = 'assoc'),
+    tq AS (SELECT qid, doc_id, list_aggregate(m, 'string_agg', ' + ') query_id, m, score FROM cm), tm AS (SELECT qid, query_id, unnest(m) piece FROM (SELECT DISTINCT qid, query_id, m FROM tq)),
+    tw AS (SELECT qid, query_id, list_aggregate(list_sort(list(DISTINCT word)), 'string_agg', ' ') sk FROM tm JOIN pw USING (piece) GROUP BY ALL), pdt AS MATERIALIZED (SELECT DISTINCT tok, doc_id FROM tok),
+    tws AS (SELECT sk, len(l) n, unnest(l) word, generate_subscripts(l, 1) - 1 clause FROM (SELECT DISTINCT sk, string_split(sk, ' ') l FROM tw)), {sql_sets("tws", "sk", "tx")}"""
+
+
+@query(f"WITH {SQL_WORDS}, {SQL_PIECES}, {_TIGHT} SELECT tq.qid, tq.doc_id, tq.query_id, tq.score, tx.span::BIGINT span FROM tq JOIN tw ON tw.qid = tq.qid AND tw.query_id = tq.query_id JOIN tx ON tx.sk = tw.sk AND tx.doc_id = tq.doc_id")
 def tightest_queries(spark, d):
     """Each document's queries of one keyword for each aspect it has and one associated term, with their spans there."""
     _, _, hits, _, tight = _tightest(spark, d)
     return tight.join(_own_spans(hits, tight), ["qid", "query_id", "doc_id"]).select("qid", "doc_id", "query_id", "score", "span")
 
 
-@query()
+@query(f"WITH {SQL_WORDS}, {SQL_PIECES}, {_TIGHT}, td AS (SELECT qid, query_id, count(DISTINCT doc_id) docs FROM tq GROUP BY ALL), te AS (SELECT sk, count(*) FILTER (span <= 50) engine FROM tx GROUP BY sk) SELECT td.qid, td.query_id, docs, coalesce(engine, 0) engine, round(CASE WHEN engine > 0 THEN docs / engine::DOUBLE ELSE 0 END, 9) AS precision FROM td JOIN tw USING (qid, query_id) LEFT JOIN te USING (sk)")
 def tightest_counts(spark, d):
     _, _, hits, _, tight = _tightest(spark, d)
     return analyze.tightest_counts(tight, _own_spans(hits, tight), 50).withColumn("precision", F.round("precision", 9))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import SPACE, content_words, words
+from lexmill.functions.text import SPACE, STOPWORDS, content_words, words
 from lexmill.operators import build, cnf, index, select
 from lexmill.plans.ordered import running_total
 from lexmill.plans.registry import SQL_PIECES, SQL_WORDS, index_for, lower_pieces, query, sql_spans, stop_list, table, values
@@ -166,7 +166,25 @@ def encoded_documents(spark, d):
 TERMS = ["heat pump", "price of the heat pump", "insulation near battery storage", "the of", "zz none", "coal mine and wind turbine", "Blood Pressure", "fever", "power zz grid"]
 
 
-@query()
+def _forms() -> list[tuple]:
+    """What each term asks for, in lower case: itself, its runs between stopwords, its content words; for the SQL alone."""
+    rows = []
+    for t in TERMS:
+        ws, runs = t.lower().split(), [[]]
+        for w in ws:
+            runs = [*runs, []] if w in STOPWORDS else [*runs[:-1], [*runs[-1], w]]
+        runs = [" ".join(r) for r in runs if r]
+        single = [w for w in ws if w not in STOPWORDS and len(w) > 1]
+        rows += [(t, k, c, p, len(ps)) for k, ps in ((1, [t.lower()]), (2, runs), (3, single)) for c, p in enumerate(ps)]
+    return rows
+
+
+@query(f"""WITH {SQL_WORDS}, fm AS (SELECT * FROM {values(_forms())} v(term, level, clause, phrase, n)), vp AS (SELECT *, level || '/' || term query_id, string_split(phrase, ' ') l FROM fm),
+    vw AS (SELECT query_id, n, clause, phrase, len(l) size, unnest(l) word, generate_subscripts(l, 1) - 1 off FROM vp),
+    vh AS (SELECT DISTINCT query_id, n, clause, doc_id, pos FROM (SELECT query_id, n, clause, phrase, doc_id, pos - off pos FROM vw JOIN tok ON tok.tok = word GROUP BY query_id, n, clause, phrase, doc_id, pos - off, size HAVING count(*) = size)),
+    {sql_spans("vh", "query_id", 5, "vs")}, vn AS (SELECT query_id, count(*) n_docs FROM vs WHERE span <= 100 GROUP BY query_id),
+    sh AS (SELECT term, level, query_id, max(len(l)) longest FROM vp GROUP BY ALL), me AS (SELECT * FROM sh JOIN vn USING (query_id) WHERE n_docs > 0 AND (level = 1 OR n_docs <= 1000) QUALIFY row_number() OVER (PARTITION BY term ORDER BY level) = 1)
+    SELECT term, level, n_docs AS count, CASE level WHEN 1 THEN n_docs <= 1000 WHEN 2 THEN longest > 1 ELSE false END standalone FROM me""")
 def validated_terms(spark, d):
     terms = spark.createDataFrame([(t,) for t in TERMS], "term string")
     forms = cut(build.cascade_forms(terms).select("term", "level", "query_id", "clause", F.lower("phrase").alias("phrase"), "n_clauses").distinct(), "cascade")

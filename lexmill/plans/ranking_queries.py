@@ -70,30 +70,52 @@ def similar_extensions(spark, d):
     return rank.ranked(scored, ["query_id"], 10, tie="passage").select("query_id", "passage", "n", F.round("score", 6).alias("score"), "rank")
 
 
-@query()
-def encoder_topk(spark, d):
-    """Topics against passages by a model that is plugged in; here one that needs no weights."""
-    t = table(spark, d, "topics").where("text IS NOT NULL AND qid IS NOT NULL").select("qid", "text").distinct()
+def _hashed(source: str, ident: str, dim: int, name: str) -> str:
+    """``name(id, slot, v)``: unit vectors of hashed words in SQL, from ``source(id, text)``."""
+    return f"""{name}_w AS (SELECT {ident}, unnest(list_filter(string_split_regex(lower(text), '{SPACE}'), lambda x: x <> '')) word FROM {source}), {name}_h AS (SELECT {ident}, md5(word) h FROM {name}_w),
+    {name}_d AS (SELECT {ident}, (list_reduce(list_transform(string_split(h[1:8], ''), lambda c: (strpos('0123456789abcdef', c) - 1)::BIGINT), lambda a, x: a * 16 + x)) % {dim} AS slot, sum(CASE WHEN h[9:9] >= '8' THEN 1.0 ELSE -1.0 END) v FROM {name}_h GROUP BY ALL),
+    {name} AS (SELECT {ident}, slot, v / sqrt(sum(v * v) OVER (PARTITION BY {ident})) v FROM {name}_d WHERE v <> 0)"""
+
+
+_ENCODED = """tt AS (SELECT qid, min(text) AS text FROM topics WHERE text IS NOT NULL AND qid IS NOT NULL GROUP BY qid), pt AS (SELECT doc_id, min(coalesce(segment, body)) AS text FROM passages WHERE coalesce(segment, body) IS NOT NULL GROUP BY doc_id),
+    ql AS (SELECT qid, doc_id, arg_max(rel, line_no) rel FROM qrels WHERE rel IS NOT NULL AND qid IS NOT NULL AND doc_id IS NOT NULL GROUP BY qid, doc_id)"""
+
+
+def _encoded_pairs(spark, d, dim: int, judged):
+    """The judged pairs with the cosines of their vectors; null where a text has no words."""
+    t = table(spark, d, "topics").where("text IS NOT NULL AND qid IS NOT NULL").groupBy("qid").agg(F.min("text").alias("text"))
     p = table(spark, d, "passages").select("doc_id", F.coalesce("segment", "body").alias("text")).where("text IS NOT NULL").groupBy("doc_id").agg(F.min("text").alias("text"))
-    pool = qrels_last(spark, d).where("rel > 0").select("qid", "doc_id")
-    both = pool.join(rank.encoded(t, "text", rank.hashed_encoder).select("qid", F.col("embedding").alias("q")), "qid").join(rank.encoded(p, "text", rank.hashed_encoder).select("doc_id", F.col("embedding").alias("v")), "doc_id")
-    return rank.ranked(both.select("qid", "doc_id", numbers.cosine(F.col("q"), F.col("v")).alias("score")), ["qid"], 10)
+    make = lambda: rank.hashed_encoder(dim)
+    both = judged.select("qid", "doc_id").join(rank.encoded(t, "text", make).select("qid", F.col("embedding").alias("q")), "qid").join(rank.encoded(p, "text", make).select("doc_id", F.col("embedding").alias("v")), "doc_id")
+    return both.select("qid", "doc_id", F.round(numbers.cosine(F.col("q"), F.col("v")), 9).alias("score")).where("score IS NOT NULL")
+
 
+def _cosines(dim: int, name: str) -> str:
+    """``name(qid, doc_id, score)`` of the judged pairs whose texts both have a vector."""
+    return f"""{_hashed("tt", "qid", dim, name + "q")}, {_hashed("pt", "doc_id", dim, name + "p")}, {name} AS (SELECT j.qid, j.doc_id, round(coalesce(s, 0), 9) score FROM ql j JOIN (SELECT DISTINCT qid FROM {name}q) USING (qid) JOIN (SELECT DISTINCT doc_id FROM {name}p) USING (doc_id)
+        LEFT JOIN (SELECT ql.qid, ql.doc_id, sum(a.v * b.v) s FROM ql JOIN {name}q a ON a.qid = ql.qid JOIN {name}p b ON b.doc_id = ql.doc_id AND a.slot = b.slot GROUP BY ALL) x ON x.qid = j.qid AND x.doc_id = j.doc_id)"""
 
-@query()
+
+@query(f"WITH {_ENCODED}, {_cosines(64, 'e')} SELECT qid, doc_id, round(score, 6) score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id DESC) AS rank FROM e JOIN ql USING (qid, doc_id) WHERE rel > 0 QUALIFY rank <= 10")
+def encoder_topk(spark, d):
+    """Topics against their relevant passages by a model that is plugged in; here one that needs no weights."""
+    both = _encoded_pairs(spark, d, 64, qrels_last(spark, d).where("rel > 0"))
+    return rank.ranked(both, ["qid"], 10).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {_ENCODED}, {_cosines(16, 'a')}, {_cosines(256, 'b')}, s AS (SELECT 'hashed-16' model, * FROM a UNION ALL SELECT 'hashed-256', * FROM b), r AS (SELECT *, row_number() OVER (PARTITION BY model, qid ORDER BY score DESC, doc_id DESC) k FROM s),
+    g AS (SELECT *, greatest(rel, 0)::DOUBLE gain FROM ql), i AS (SELECT qid, count(*) FILTER (gain > 0) n_rel, sum(gain / log2(k + 1)) FILTER (k <= 10) best FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY gain DESC) k FROM g) GROUP BY qid),
+    m AS (SELECT model, qid, coalesce(sum(CASE WHEN gain > 0 THEN 1 ELSE 0 END) FILTER (k <= 10), 0) f, coalesce(sum(gain / log2(k + 1)) FILTER (k <= 10), 0) d FROM r JOIN g USING (qid, doc_id) GROUP BY ALL)
+    SELECT model, count(*) topics, round(avg(CASE WHEN n_rel > 0 THEN f / n_rel ELSE 0 END), 6) recall_10, round(avg(CASE WHEN best > 0 THEN d / best ELSE 0 END), 6) ndcg_10 FROM m JOIN i USING (qid) GROUP BY model""")
 def model_compare(spark, d):
     """Two encoders over the same judged pairs: mean recall and nDCG of each."""
-    t = table(spark, d, "topics").where("text IS NOT NULL AND qid IS NOT NULL").groupBy("qid").agg(F.min("text").alias("text"))
-    p = table(spark, d, "passages").select("doc_id", F.coalesce("segment", "body").alias("text")).where("text IS NOT NULL").groupBy("doc_id").agg(F.min("text").alias("text"))
     qrels = qrels_last(spark, d)
     out = None
     for dim in (16, 256):
-        make = lambda dim=dim: rank.hashed_encoder(dim)
-        both = qrels.select("qid", "doc_id").join(rank.encoded(t, "text", make).select("qid", F.col("embedding").alias("q")), "qid").join(rank.encoded(p, "text", make).select("doc_id", F.col("embedding").alias("v")), "doc_id")
-        mine = both.select(F.lit(f"hashed-{dim}").alias("model"), "qid", "doc_id", numbers.cosine(F.col("q"), F.col("v")).alias("score"))
+        mine = _encoded_pairs(spark, d, dim, qrels).select(F.lit(f"hashed-{dim}").alias("model"), "qid", "doc_id", "score")
         out = mine if out is None else out.unionByName(mine)
     scored = evaluate.metrics(evaluate.positions_in_run(cut(out, "models"), ["model", "qid"]), qrels, (10,), ["model"])
-    return evaluate.macro(scored, ["model"], ["recall_10", "ndcg_10"])
+    return _rounded(evaluate.macro(scored, ["model"], ["recall_10", "ndcg_10"]))
 
 
 @query(rf"""WITH q AS (SELECT qid, list_distinct(list_filter(string_split_regex(lower(min(text)), '{SPACE}'), lambda x: x <> '')) qw FROM topics WHERE text IS NOT NULL AND qid IS NOT NULL GROUP BY qid),
