@@ -156,7 +156,17 @@ def _cover_spans(spark, d):
     return t, tight, queries, cut(cnf.group_spans(hits, queries.select("qid", "query_id", "members")), "cover-spans")
 
 
-@query()
+_QUERIES = f"""{_TIGHT}, k1 AS (SELECT DISTINCT qid, piece, role, aspect_ix FROM pc), nm AS (SELECT qid, list_sort(list(DISTINCT piece)) m FROM pc WHERE role = 'key' AND lower(keyword) = lower(aspect) GROUP BY qid HAVING count(DISTINCT aspect) >= 2),
+    cq0 AS (SELECT a.qid, list_sort(list_distinct([a.piece, b.piece])) m, CASE WHEN b.role = 'key' THEN 1 ELSE 3 END ty FROM k1 a JOIN k1 b ON a.qid = b.qid AND a.role = 'key' AND ((b.role = 'key' AND a.aspect_ix < b.aspect_ix) OR b.role = 'assoc')
+        UNION ALL SELECT qid, m, 2 FROM nm UNION ALL SELECT qid, [piece], CASE WHEN role = 'key' THEN 4 ELSE 5 END FROM k1 UNION ALL SELECT DISTINCT qid, m, 6 FROM tq),
+    cq AS (SELECT qid, list_aggregate(m, 'string_agg', ' + ') query_id, m, min(ty) ty FROM cq0 GROUP BY qid, m), cqi AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ty, query_id) - 1 query_ix, ['pairwise', 'all_aspects', 'aspect_assoc', 'standalone_key', 'standalone_assoc', 'tightest'][ty] AS type FROM cq),
+    cw3 AS (SELECT qid, query_id, list_aggregate(list_sort(list(DISTINCT word)), 'string_agg', ' ') sk FROM (SELECT qid, query_id, unnest(m) piece FROM cq) JOIN pw USING (piece) GROUP BY ALL),
+    cws AS (SELECT sk, len(l) n, unnest(l) word, generate_subscripts(l, 1) - 1 clause FROM (SELECT DISTINCT sk, string_split(sk, ' ') l FROM cw3)), {sql_sets("cws", "sk", "cx")}, cs AS (SELECT cw3.qid, cw3.query_id, doc_id, span FROM cw3 JOIN cx USING (sk))"""
+
+
+@query(f"""WITH {SQL_WORDS}, {SQL_PIECES}, {_QUERIES}, g AS (SELECT doc_id FROM documents WHERE source IN ('webcrawl', 'newswire')), b AS (SELECT unnest([50, 100, 200]) bound),
+    o AS (SELECT cs.qid, cs.query_id, bound, count(*) FILTER (span <= bound) engine, count(*) FILTER (span <= bound AND g.doc_id IS NOT NULL) covered FROM cs LEFT JOIN g USING (doc_id), b GROUP BY ALL)
+    SELECT cqi.qid, cqi.query_id, cqi.type, b.bound, coalesce(covered, 0) covered, coalesce(engine, 0) engine, round(CASE WHEN engine > 0 THEN covered / engine::DOUBLE END, 9) AS precision FROM cqi CROSS JOIN b LEFT JOIN o ON o.qid = cqi.qid AND o.query_id = cqi.query_id AND o.bound = b.bound""")
 def cover_outcomes(spark, d):
     """What :func:`candidate_outcomes` has for pairs, for all kinds of candidates and the tightest queries."""
     _, _, queries, spans = _cover_spans(spark, d)
@@ -174,23 +184,39 @@ def _covering(spark, d, within):
     return cut(analyze.cover_candidates(queries, spans, tight, relevant, within), "covering"), relevant, queries
 
 
-@query()
+def _greedy(within: int, by_cost: bool) -> str:
+    """``st(qid, step, query_ix, new_docs, covered, engine_total)``: the greedy choice, a step a recursion."""
+    worth = "new / greatest(1, engine)::DOUBLE" if by_cost else "new"
+    return f"""{_QUERIES}, rl AS (SELECT qid, doc_id FROM tk WHERE role = 'key' GROUP BY ALL HAVING count(DISTINCT aspect_ix) >= 2), en AS (SELECT qid, query_id, count(*) engine FROM cs WHERE span <= {within} GROUP BY ALL),
+    co AS (SELECT cs.qid, cs.query_id, doc_id FROM cs JOIN cqi USING (qid, query_id) WHERE ty < 6 AND span <= {within} UNION SELECT qid, query_id, doc_id FROM tq),
+    cd AS MATERIALIZED (SELECT co.qid, query_ix, list(DISTINCT doc_id) docs, coalesce(any_value(engine), 0) engine FROM co JOIN rl USING (qid, doc_id) JOIN cqi USING (qid, query_id) LEFT JOIN en USING (qid, query_id) GROUP BY co.qid, query_ix),
+    st AS (SELECT DISTINCT qid, 0 step, NULL::BIGINT query_ix, 0::BIGINT new_docs, []::BIGINT[] cov, []::BIGINT[] used, 0::BIGINT engine_total FROM cd
+        UNION ALL SELECT qid, step + 1, query_ix, new, list_distinct(list_concat(cov, docs)), list_append(used, query_ix), engine_total + engine FROM (
+            SELECT st.qid, step, cov, used, engine_total, c.query_ix, c.docs, c.engine, len(list_filter(c.docs, lambda x: NOT list_contains(cov, x))) new, row_number() OVER (PARTITION BY st.qid ORDER BY {worth} DESC, c.query_ix) r FROM st JOIN cd c ON c.qid = st.qid AND NOT list_contains(st.used, c.query_ix)) WHERE r = 1 AND new > 0)"""
+
+
+_STEPS = "SELECT qid, step, query_ix, new_docs, len(cov) covered, engine_total FROM st WHERE step > 0"
+
+
+@query(f"WITH RECURSIVE {SQL_WORDS}, {SQL_PIECES}, {_greedy(50, False)} {_STEPS}")
 def greedy_cover(spark, d):
     return analyze.greedy_cover(_covering(spark, d, 50)[0])
 
 
-@query()
+@query(f"WITH RECURSIVE {SQL_WORDS}, {SQL_PIECES}, {_greedy(100, True)} {_STEPS}")
 def cover_curve(spark, d):
     return analyze.greedy_cover(_covering(spark, d, 100)[0], by_cost=True)
 
 
-@query()
+@query(f"""WITH RECURSIVE {SQL_WORDS}, {SQL_PIECES}, {_greedy(100, True)}, t AS (SELECT unnest([0.5, 0.8, 0.95])::DOUBLE target), n AS (SELECT qid, count(*) n FROM rl GROUP BY qid)
+    SELECT qid, target, coalesce(min(engine_total) FILTER (len(cov) / n::DOUBLE >= target), max(engine_total)) engine_total FROM st JOIN n USING (qid), t WHERE step > 0 GROUP BY ALL""")
 def engine_at_recall(spark, d):
     covering, relevant, _ = _covering(spark, d, 100)
     return analyze.cost_at_recall(cut(analyze.greedy_cover(covering, by_cost=True), "curve"), relevant.groupBy("qid").agg(F.count("*").alias("n_docs")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SQL_WORDS}, {SQL_PIECES}, {_greedy(100, True)}, o AS (SELECT qid, query_ix, new_docs, engine_total - lag(engine_total, 1, 0) OVER (PARTITION BY qid ORDER BY step) engine FROM st WHERE step > 0)
+    SELECT type, count(*) steps, sum(new_docs)::BIGINT new_docs, sum(engine)::BIGINT engine FROM o JOIN cqi USING (qid, query_ix) GROUP BY type""")
 def cover_by_type(spark, d):
     covering, _, queries = _covering(spark, d, 100)
     curve = cut(analyze.greedy_cover(covering, by_cost=True), "curve")
