@@ -223,7 +223,11 @@ _CLUSTERS = """cl AS (SELECT qid, piece, role, n_docs, dense_rank() OVER (PARTIT
 _LINKS = [("q1", 0, 1, 2), ("q1", 1, 2, 3), ("q1", 2, 5, 6), ("q1", 3, 6, 1), ("q2", 0, 1, 3)]
 
 
-@query()
+@query(f"""WITH RECURSIVE l AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ord) i FROM {values(_LINKS)} v(qid, ord, a, b)),
+    f AS (SELECT DISTINCT qid, 0::BIGINT i, []::BIGINT[][] us FROM l
+        UNION ALL SELECT f.qid, l.i, CASE WHEN len(list_filter(us, lambda u: list_contains(u, a) OR list_contains(u, b))) = 0 THEN list_append(us, list_distinct([a::BIGINT, b::BIGINT]))
+            ELSE list_transform(us, lambda u, k: CASE WHEN k = list_position(list_transform(us, lambda x: list_contains(x, a) OR list_contains(x, b)), true) THEN list_concat(u, list_filter(list_distinct([a::BIGINT, b::BIGINT]), lambda x: NOT list_contains(u, x))) ELSE u END) END FROM f JOIN l ON l.qid = f.qid AND l.i = f.i + 1),
+    z AS (SELECT qid, us FROM f QUALIFY row_number() OVER (PARTITION BY qid ORDER BY i DESC) = 1), e AS (SELECT qid, unnest(us) u, generate_subscripts(us, 1) - 1 unit FROM z) SELECT qid, unit::INT unit, unnest(u) AS cluster FROM e""")
 def linked_units(spark, d):
     return build.link_units(spark.createDataFrame(_LINKS, "qid string, ord int, a long, b long"))
 
