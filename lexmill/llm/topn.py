@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from lexmill.plans.shared import BROADCAST_ROWS, col, cut, sized_broadcast
 
-#: A group gets a threshold only if it has this many rows for each place; smaller groups are ranked as they are.
+#: Where the thresholds of all groups are too many to broadcast, groups with fewer rows than this for each place are ranked without one:
+#: that saves a shuffle of all rows to meet the thresholds, and ranking keeps n rows of a group in each task anyway.
 HEAVY_FACTOR = 20
 #: Salts a threshold is repeated over where the thresholds are too many to broadcast.
 SALTS = 16
@@ -54,11 +55,14 @@ def top_n_per_group(df: DataFrame, group_cols: Sequence[str], item_col: str, sco
     falling = Window.partitionBy(*g).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*g)
     hist = hist.withColumn("have", F.sum("slots").over(falling)).withColumn("rows", F.sum("c").over(whole))
-    floors = hist.where((F.col("have") >= n) & (F.col("rows") >= HEAVY_FACTOR * n)).groupBy(*g).agg(F.max("bucket").alias("floor"))
-    floors, small = sized_broadcast(cut(floors, "topn-floors"), broadcast_rows)
+    floors = cut(hist.where(F.col("have") >= n).groupBy(*g).agg(F.max("bucket").alias("floor"), F.max("rows").alias("rows")), "topn-floors")
+    floors, small = sized_broadcast(floors, broadcast_rows)
+    if not small:
+        floors, small = sized_broadcast(cut(floors.where(F.col("rows") >= HEAVY_FACTOR * n), "topn-heavy"), broadcast_rows)
+    floors = floors.drop("rows")
 
     if small:
-        kept = rows.join(floors, g, "left")
+        kept = rows.join(F.broadcast(floors), g, "left")
     else:  # salted, as one group may hold much of all rows
         floors = floors.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
         kept = rows.withColumn("salt", F.pmod("slot", F.lit(SALTS))).join(floors, [*g, "salt"], "left")
