@@ -8,7 +8,7 @@ from lexmill.functions import numbers
 from lexmill.operators import analyze, cnf, evaluate, lm, vectors
 from lexmill.plans.boolean_queries import _PAIRS, _SP, _docs, _piece_hits, _piece_spans
 from lexmill.plans.ranking_queries import _OUTCOME, _RUNS, _rounded, stage_runs
-from lexmill.plans.registry import SQL_PIECES, SQL_WORDS, lower_pieces, query, sql_sets, table
+from lexmill.plans.registry import SQL_PIECES, SQL_WORDS, index_for, lower_pieces, query, sql_sets, table
 from lexmill.plans.shared import cut, fresh_path
 from lexmill.streaming.ingest import streamed_vocabulary
 
@@ -63,7 +63,7 @@ def strategy_coverage(spark, d):
         (SELECT count(*) FROM k x JOIN k y ON x.qid = y.qid AND x.aspect_ix < y.aspect_ix JOIN k z ON z.qid = y.qid AND y.aspect_ix < z.aspect_ix WHERE x.qid = q.qid) t, (SELECT product(s) FROM (SELECT count(*) s FROM k WHERE k.qid = q.qid GROUP BY aspect_ix))::BIGINT w FROM a q)
     SELECT qid, o standalone_key, n standalone_assoc, p pairwise_key, t triple_key, w all_aspects_key, o * n key_plus_assoc, p * n pairwise_key_plus_assoc, w * n all_aspects_plus_assoc FROM c""")
 def strategy_query_counts(spark, d):
-    p, _ = lower_pieces(spark, _docs(spark, d))
+    p, _ = lower_pieces(spark, index_for(spark, d))
     return analyze.strategy_query_counts(p)
 
 

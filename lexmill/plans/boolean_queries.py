@@ -51,9 +51,9 @@ _SP = sql_spans("ph", "piece", 4)
 
 
 def _piece_hits(spark, d):
-    docs = _docs(spark, d)
-    p, alts = lower_pieces(spark, docs)
-    return p, alts, cut(cnf.clause_hits(docs, alts), "hits"), docs
+    at = index_for(spark, d)
+    p, alts = lower_pieces(spark, at)
+    return p, alts, cut(cnf.clause_hits(None, alts, at), "hits"), at.docs
 
 
 def _piece_spans(spark, d):

@@ -93,14 +93,14 @@ def sql_spans(source: str, key: str, clauses: int, name: str = "sp") -> str:
     {name} AS (SELECT {key}, doc_id, min(CASE WHEN n = 1 THEN 0 WHEN {there} THEN pos - least({', '.join(f'l{i}' for i in range(clauses))}) END) span, any_value(n_occ) n_occ FROM {name}_ev JOIN {name}_n USING ({key}, doc_id) GROUP BY {key}, doc_id HAVING span IS NOT NULL)"""
 
 
-def lower_pieces(spark: SparkSession, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+def lower_pieces(spark: SparkSession, at) -> tuple[DataFrame, DataFrame]:
     """The pieces of :data:`KEYWORDS` over a lower-cased index, and their alternatives."""
-    from lexmill.operators import build, index
-    from lexmill.plans.shared import cut
+    from lexmill.operators import build
+    from lexmill.plans.shared import cut, if_small
 
     given = cut(build.keywords_with_aspects(keywords(spark).where("role <> 'verb'")), "keywords")
-    asked = given.select(F.explode(F.split(F.lower("keyword"), " ")).alias("tok"))
-    known = cut(index.frequencies_of(documents, asked), "known-words")
+    asked = given.select(F.explode(F.split(F.lower("keyword"), " ")).alias("tok")).distinct()
+    known = cut(at.words.select("tok").join(if_small(asked), "tok", "left_semi"), "known-words")
     p, alts = build.pieces(given, known, F.lower("w"))
     return cut(p, "pieces"), cut(alts, "alts")
 
