@@ -15,6 +15,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -123,19 +124,25 @@ class SuffixAutomaton:
         self.length.append(length)
         return len(self.next) - 1
 
-    def longest_matches(self, words: list[str]) -> Iterator[int]:
+    def longest_matches(self, words: list[str]) -> list[int]:
         """For each position, the length of the longest run of words ending there that the prompt holds."""
-        state = size = 0
+        following, link, length = self.next, self.link, self.length
+        out, state, size = [], 0, 0
         for w in words:
-            while state and w not in self.next[state]:
-                state = self.link[state]
-                size = self.length[state]
-            if w in self.next[state]:
-                state, size = self.next[state][w], size + 1
-            yield size
+            to = following[state].get(w)
+            while to is None and state:
+                state = link[state]
+                size = length[state]
+                to = following[state].get(w)
+            if to is not None:
+                state, size = to, size + 1
+            out.append(size)
+        return out
 
     def covered(self, words: list[str]) -> int:
         """How many of ``words`` lie in runs of the prompt."""
+        if self.next[0].keys().isdisjoint(words):
+            return 0
         n = free = 0
         for i, run in enumerate(self.longest_matches(words), 1):
             if run:
@@ -310,11 +317,7 @@ for _lang, _list in STOPWORDS.items():
 
 def stop_votes(words: list[str]) -> Counter[str]:
     """Votes of stopwords for languages; a word of several languages votes for each."""
-    votes: Counter[str] = Counter()
-    for w in words:
-        if w in _LANGS_OF:
-            votes.update(_LANGS_OF[w])
-    return votes
+    return Counter(chain.from_iterable([_LANGS_OF[w] for w in words if w in _LANGS_OF]))
 
 
 def prompt_language(words: list[str]) -> str | None:
