@@ -12,6 +12,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,15 +63,32 @@ def still_there(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _remove(path: str) -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def release() -> None:
     """Removes all tables written so far. Results that still read from them must have been used."""
-    spark = SparkSession.getActiveSession()
-    while _MADE and spark is not None:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    while _MADE and SparkSession.getActiveSession() is not None:
+        _remove(_MADE.pop())
     _OWN.clear()
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Removes at its end the tables written within it, so that a long session doesn't fill the shared folder. Results must have been used by then."""
+    before = set(_MADE) | set(_OWN.values())
+    try:
+        yield
+    finally:
+        for path in [p for p in _MADE if p not in before and p not in _OWN.values()]:
+            _MADE.remove(path)
+            _remove(path)
+
+
 @atexit.register
 def _at_end() -> None:
     left = list(_MADE)

@@ -115,6 +115,15 @@ def test_shared_tables(spark):
     assert spark.range(1).withColumn("a.b`c", F.lit(1)).select(shared.col("a.b`c")).first()[0] == 1
 
 
+def test_tables_of_a_scratch_are_removed(spark):
+    kept = shared.cut(spark.range(3))
+    with shared.scratch():
+        inner = shared.cut(spark.range(5))
+        path = inner.inputFiles()[0]
+        assert inner.count() == 5 and shared.still_there(spark, path)
+    assert not shared.still_there(spark, path) and kept.count() == 3
+
+
 def test_written_index(spark, tmp_path):
     from lexmill.operators import cnf, index
 
