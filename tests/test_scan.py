@@ -57,7 +57,7 @@ def test_rows_of_one_document_are_read_together(spark):
 
 
 #: Queries that evaluate the sets of all topics; none of them may write the index, or what the sets find, to disk.
-LEAN = ["cnf_counts", "peeked_pieces", "static_queries", "cnf_matches", "early_stop", "static_anchor_pairs", "triple_counts"]
+LEAN = ["cnf_counts", "peeked_pieces", "static_queries", "cnf_matches", "early_stop", "static_anchor_pairs", "triple_counts", "combination_queries"]
 
 
 @pytest.mark.skipif(not SMALL.exists(), reason="the test tables are not here")
